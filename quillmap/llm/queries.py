@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmap.llm import langid, mixing, packing, quality, simhash
+from quillmap.llm import langid, lm, mixing, packing, quality, simhash
 from quillmap.llm.shared import remainder, table
 
 
@@ -20,6 +20,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -40,7 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op4_packing, op7_simhash, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op2_language_id, op4_packing, op5_language_model, op7_simhash, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
