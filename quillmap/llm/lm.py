@@ -236,8 +236,7 @@ def _score(part: Part, ids: list, held: list, answers: pd.DataFrame, discount: f
     base = np.add.reduceat(np.asarray(auto.root)[part.at], first) if len(first) else first
     known = np.add.reduceat((word_total > 0).astype(np.int64)[part.at], first) if len(first) else first
     score = [auto.walk(part.at[i : i + n].tolist()) for i, n in zip(first.tolist(), part.n.tolist())]
-    found = pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": part.n, "n_known": known, "train_tokens": tokens_, "base_score": base, "score": score})
-    return found.astype({"doc_id": "Int64"})
+    return pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": part.n, "n_known": known, "train_tokens": tokens_, "base_score": base, "score": score})
 
 
 def totals(docs: DataFrame, train: Column, shards: int) -> tuple[int, int]:
@@ -271,7 +270,8 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, part_bytes: in
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
+    # ids go as text: pandas would make a column of longs with nulls one of doubles
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // part_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     shards = parts
@@ -294,5 +294,5 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, part_bytes: in
     contexts = bigrams.where("part < 0").mapInPandas(_by_context(shards), REQUEST)
     words = rows.groupBy("part").applyInPandas(asks(False), REQUEST).unionByName(contexts).groupBy("shard").applyInPandas(_answer_words, ANSWER)
     answers = bigrams.where("part >= 0").unionByName(words)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(finish, schema)
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(finish, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

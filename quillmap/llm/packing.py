@@ -100,8 +100,7 @@ def pack_shard(pdf: pd.DataFrame, capacity: int, source_conflict: bool) -> pd.Da
         for piece in range(int(whole[i])):
             out.append((ids[i], piece, full, 0, capacity))
             full += 1
-    found = pd.DataFrame(out, columns=["doc_id", "piece", "bin", "start", "n_tokens"])
-    return found.astype({"doc_id": "Int64"})
+    return pd.DataFrame(out, columns=["doc_id", "piece", "bin", "start", "n_tokens"])
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -117,8 +116,9 @@ def measured(docs: DataFrame) -> DataFrame:
                 cluster.append(xxhash.xxh64_intdigest(b" ".join(words), 0) - (1 << 63))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": n, "cluster": cluster})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInPandas(run, "doc_id long, source string, n_tokens long, cluster long")
+    # ids go as text: pandas would make a column of longs with nulls one of doubles
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInPandas(run, "doc_id string, source string, n_tokens long, cluster long")
     return rows.withColumn("hash", F.xxhash64("doc_id", "cluster", "source"))
 
 
@@ -144,4 +144,5 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_rows: int = 20000, source_
         found["bin_id"] = found.pop("bin") + (int(key[0]) << 32)
         return found[["doc_id", "piece", "bin_id", "start", "n_tokens"]]
 
-    return rows.groupBy("shard").applyInPandas(run, "doc_id long, piece long, bin_id long, start long, n_tokens long")
+    found = rows.groupBy("shard").applyInPandas(run, "doc_id string, piece long, bin_id long, start long, n_tokens long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmap.llm import langid, lm, mixing, packing, quality, simhash
+from quillmap.llm import langid, lm, mixing, packing, quality, simhash, topk, warc
 from quillmap.llm.shared import remainder, table
 
 
@@ -24,6 +24,11 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -34,6 +39,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code("embedding").alias("code"))
+    found = topk.search(codes, codes.where("id % 100 = 0"), k=10)
+    return found.select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
@@ -44,8 +55,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op4_packing, op5_language_model, op7_simhash, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op2_language_id, op4_packing, op5_language_model, op6_warc, op7_simhash, op8_mixing, op9_topk, op10_quality)}
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id, count(*) OVER (PARTITION BY payload_digest) AS n FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM g
+"""
+
+TOPK_SQL = """
+WITH c AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(round(list_sum(q.bits) + list_sum(c.bits) - 2 * list_dot_product(q.bits, c.bits)) AS INTEGER) AS distance
+  FROM c AS q JOIN c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d
+)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Learned models, fingerprints and packing have no SQL form; their tests use brute force."""
+    return {"op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
