@@ -30,14 +30,7 @@ BITS = 64
 def sign_code(vector: str, bits: int = BITS) -> Column:
     """A code of the signs of a vector's first ``bits`` components, bit i for
     component i; null components and missing ones give 0, a null vector null."""
-    x = F.col(vector)
-    # the highest bit goes in as a sign, as 2**63 is no long
-    power = [1 << i if i < 63 else -(1 << 63) for i in range(bits)]
-    parts = [F.when(F.try_element_at(x, F.lit(i + 1)) > 0, F.lit(power[i]).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(bits)]
-    code = parts[0]
-    for p in parts[1:]:
-        code = code.bitwiseOR(p)
-    return F.when(x.isNotNull(), code)
+    return F.expr(f"aggregate(transform(slice(`{vector}`, 1, {bits}), (v, i) -> if(v > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
 
 
 def shells(width: int, radius: int) -> list[int]:
@@ -80,9 +73,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | No
     index = cut(distinct.select("code", "ids", F.inline(cuts)))
     open_, best, radius = asked, None, 0
     while True:
-        halves = F.transform(cuts, lambda c: c)
-        probes = open_.select("query_id", F.col("qcode"), F.col("qcode").alias("code")).select("query_id", "qcode", F.inline(halves))
-        shell = F.explode(F.array(*[F.lit(x).cast("long") for x in shells(width, radius)]))
+        probes = open_.select("query_id", "qcode", F.col("qcode").alias("code")).select("query_id", "qcode", F.inline(cuts))
+        # one literal, folded once, instead of thousands of expressions
+        shell = F.explode(F.split(F.lit(",".join(map(str, shells(width, radius)))), ",").cast("array<bigint>"))
         probes = probes.select("query_id", "qcode", "seg", "key", shell.alias("flip")).select("query_id", "qcode", "seg", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
         met = probes.join(index, ["seg", "key"]).select("query_id", "qcode", F.bit_count(F.col("qcode").bitwiseXOR(F.col("code"))).alias("distance"), "code", "ids")
         # a code met in several segments or rounds counts once; of it the k smallest other ids matter
