@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmap.llm import langid, lm, mixing, packing, quality, simhash, topk, warc
+from quillmap.llm import graphdedup, langid, lm, mixing, packing, quality, simhash, topk, warc
 from quillmap.llm.shared import remainder, table
 
 
+def op1_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
@@ -55,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op4_packing, op5_language_model, op6_warc, op7_simhash, op8_mixing, op9_topk, op10_quality)}
+    return {f.__name__: f for f in (op1_graph_dedup, op2_language_id, op4_packing, op5_language_model, op6_warc, op7_simhash, op8_mixing, op9_topk, op10_quality)}
 
 
 WARC_SQL = """
@@ -84,6 +88,29 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+#: Links by brute force; components by spreading the smallest id along links.
+GRAPH_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), c AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Learned models, fingerprints and packing have no SQL form; their tests use brute force."""
-    return {"op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
+    return {"op1_graph_dedup": GRAPH_SQL, "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
