@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmap.llm import graphdedup, langid, lm, mixing, packing, quality, simhash, topk, warc
+from quillmap.llm import chat, graphdedup, langid, lm, mixing, packing, quality, simhash, topk, warc
 from quillmap.llm.shared import remainder, table
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_graph_dedup, op2_language_id, op4_packing, op5_language_model, op6_warc, op7_simhash, op8_mixing, op9_topk, op10_quality)}
+    return {f.__name__: f for f in (op1_graph_dedup, op2_language_id, op3_chat, op4_packing, op5_language_model, op6_warc, op7_simhash, op8_mixing, op9_topk, op10_quality)}
 
 
 WARC_SQL = """
@@ -111,6 +115,15 @@ FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
 """
 
 
+#: For turns without tool markup, as in the given tables; tests cover turns with it.
+CHAT_SQL = """
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool,
+  CAST(0 AS INTEGER) AS level, 'ok' AS status,
+  '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
+FROM conversations
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Learned models, fingerprints and packing have no SQL form; their tests use brute force."""
-    return {"op1_graph_dedup": GRAPH_SQL, "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
+    return {"op1_graph_dedup": GRAPH_SQL, "op3_chat": CHAT_SQL, "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
