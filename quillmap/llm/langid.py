@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmap.llm.text import encode, gram_bins
@@ -148,13 +149,16 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     clean = docs.drop("lang_pred", "lang_score", "lang_rejected")
     schema = clean.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_rejected": F.lit(False)}).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for pdf in batches:
-            got = [m.predict(x) for x in pdf["text"]]
-            yield pdf.assign(lang_pred=[g[0] for g in got], lang_score=[g[1] for g in got], lang_rejected=[g[2] for g in got])
+        for batch in batches:
+            got = [m.predict(x) for x in batch.column("text").to_pylist()]
+            new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names)
 
-    return clean.mapInPandas(run, schema)
+    return clean.mapInArrow(run, schema)
 
 
 def in_fold(remainder: Column, value: int) -> Column:

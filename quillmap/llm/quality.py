@@ -20,6 +20,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillmap.llm.text import encode, gram_counts
@@ -130,13 +131,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.drop("quality_score").withColumn("quality_score", F.lit(0.0)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for pdf in batches:
-            texts, out = pdf["text"].tolist(), []
-            for k in range(0, len(texts), BLOCK):
-                out.append(m.score(np.stack([counts(x) for x in texts[k : k + BLOCK]])))
-            pdf["quality_score"] = np.concatenate(out) if out else np.zeros(0)
-            yield pdf
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            out = [m.score(np.stack([counts(x) for x in texts[k : k + BLOCK]])) for k in range(0, len(texts), BLOCK)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *out]))], names)
 
-    return docs.drop("quality_score").mapInPandas(run, schema)
+    return docs.drop("quality_score").mapInArrow(run, schema)
