@@ -1 +1 @@
-"""functions"""
+"""Column functions: text, numbers, dates, geometry; numpy algorithms."""
