@@ -10,12 +10,14 @@ import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as ST
 
 from quillmap.functions.algos import indel_ratio
 
 C = Column | str
 
+_FOLDED = ST.StructType([ST.StructField("text", ST.StringType()), ST.StructField("char_map", ST.ArrayType(ST.IntegerType())), ST.StructField("original", ST.StringType())])
+
 # Glyphs that stand for other characters, or for none.
 GLYPHS = {
     "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
@@ -40,6 +42,11 @@ def _c(c: C) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(c: C) -> Column:
     """Glyphs replaced, lower case, ß as ss. Differs from ``fold_mapped`` only on
     characters with other compatibility forms."""
@@ -52,7 +59,7 @@ def fold(c: C) -> Column:
     return F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("text string, char_map array<int>, original string")
+@F.pandas_udf(_FOLDED)
 def fold_mapped(texts: pd.Series) -> pd.DataFrame:
     """Character by character: glyphs, NFKC, casefold; each character's source place (Arrow)."""
     out = []
@@ -95,10 +102,10 @@ def repair_digits(c: C) -> Column:
 
 def number(c: C) -> Column:
     """The number that a text is, after ``money`` and, if need be, ``repair_digits``; else null."""
-    t = F.regexp_replace(F.regexp_replace(money(c), r"^[~≈]+", ""), r"[%'\"]+$", "")
     plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-    fixed = repair_digits(t)
-    return F.when(t.rlike(plain), t.try_cast("double")).when(fixed.rlike(plain), fixed.try_cast("double"))
+    bare = F.regexp_replace(let(_c(c), money), r"^[~≈]+|[%'\"]+$", "")
+    cast = lambda t: F.when(t.rlike(plain), t.try_cast("double"))
+    return let(bare, lambda t: F.coalesce(cast(t), let(repair_digits(t), cast)))
 
 
 def number_key(c: C) -> Column:
@@ -150,12 +157,11 @@ DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d-M-yyyy", "MMM d, yyyy", "MMMM d, yyyy
 
 def date(c: C) -> Column:
     """The date of a text in one of the fixed formats, years 1900 to 2100; else null."""
-    t = clear_specks(c)
-    d = F.coalesce(*[F.try_to_date(t, f) for f in DATE_FORMATS])
-    return F.when(plausible_date(t) & F.year(d).between(1900, 2100), d)
+    parse = lambda t: F.when(plausible_date(t), F.coalesce(*[F.try_to_date(t, f) for f in DATE_FORMATS]))
+    return let(let(clear_specks(c), parse), lambda d: F.when(F.year(d).between(1900, 2100), d))
 
 
-@F.pandas_udf("date")
+@F.pandas_udf(ST.DateType())
 def date_fuzzy(texts: pd.Series) -> pd.Series:
     """A date anywhere in a text, by dateutil (Arrow); apply behind ``plausible_date``."""
     from dateutil import parser
@@ -242,7 +248,7 @@ def skeleton(c: C) -> Column:
     return F.regexp_replace(F.upper(_c(c)), r"[^B-DF-HJ-NP-TV-Z0-9]", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(ST.DoubleType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     """Normalised insertion and deletion similarity, 0 to 1 (Arrow)."""
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)])

@@ -1 +1 @@
-"""operators"""
+"""Operators: each takes and gives DataFrames keyed by document."""
