@@ -1 +1 @@
-"""plans"""
+"""Whole queries put together from operators."""

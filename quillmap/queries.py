@@ -373,3 +373,16 @@ def cand_drift(spark, d):
 def cand_gated_pages(spark, d):
     t = S.invoice_tokens(spark, d)
     return C.gated_pages(totals(S.invoice_fields(spark, d)), I.token_postings(t), I.number_postings(t))
+
+
+@query(INV + """, c AS (
+  SELECT f.doc_id, f.field, f.value, f.page_hint, n.page, n.line_index, n.token_idx, n.text, n.x, n.y, n.w, n.h FROM fld AS f JOIN numtok AS n
+  ON f.doc_id = n.doc_id AND n.page = f.page_hint AND CAST(round(CAST(f.value AS DOUBLE) * 1000000) AS BIGINT) = CAST(round(n.number * 1000000) AS BIGINT) WHERE f.field LIKE '%.total'
+), k AS (SELECT *, CAST(count(*) OVER (PARTITION BY doc_id, field) AS BIGINT) AS n_cand FROM c)
+SELECT doc_id, field, value, 'normalized' AS status, page, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, text AS matched_text FROM k WHERE line_index = 0 AND token_idx = 4""")
+def resolve_totals(spark, d):
+    """Where is each order's total printed?"""
+    from quillmap.plans.resolve import resolve_numbers
+
+    got = resolve_numbers(S.invoice_tokens(spark, d), totals(S.invoice_fields(spark, d)))
+    return flat(got.select("doc_id", "field", "value", "status", "page", "box", "matched_text"))

@@ -1 +1 @@
-"""streaming"""
+"""Documents that arrive one after another."""
