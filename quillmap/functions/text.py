@@ -280,13 +280,15 @@ _TYPE_WORDS = {
 }
 
 
-def field_type(name: C, kind: C, value: C) -> Column:
-    """Type of a field from its name, the kind of its JSON value and the value."""
+def field_type(name: C, kind: C, value: C, as_number: C | None = None, as_date: C | None = None) -> Column:
+    """Type of a field from its name, the kind of its JSON value and the value; its number and
+    date may be given."""
     n = F.lower(_c(name))
-    numeric = _c(kind).isin("int", "float") | number(value).isNotNull()
+    as_number, as_date = number(value) if as_number is None else _c(as_number), date(value) if as_date is None else _c(as_date)
+    numeric = _c(kind).isin("int", "float") | as_number.isNotNull()
     return (
         F.when((_c(kind) == "bool") | n.rlike(_TYPE_WORDS["boolean"]), "boolean")
-        .when(n.rlike(_TYPE_WORDS["date"]) | date(value).isNotNull(), "date")
+        .when(n.rlike(_TYPE_WORDS["date"]) | as_date.isNotNull(), "date")
         .when(n.rlike(_TYPE_WORDS["currency"]) & numeric, "currency")
         .when(n.rlike(_TYPE_WORDS["identifier"]), "identifier")
         .when(numeric, "numeric").when(n.contains("["), "table_cell").when(_c(value).isNull(), "unknown").otherwise("string")
