@@ -386,3 +386,239 @@ def resolve_totals(spark, d):
 
     got = resolve_numbers(S.invoice_tokens(spark, d), totals(S.invoice_fields(spark, d)))
     return flat(got.select("doc_id", "field", "value", "status", "page", "box", "matched_text"))
+
+
+@query(INV + "SELECT doc_id, field, 'normalized' AS status, page_hint AS page FROM fld WHERE field NOT LIKE '%.price'")
+def resolve_fields(spark, d):
+    """The whole plan over totals and dates: every one is found on its page."""
+    from quillmap.plans.resolve import resolve
+
+    f = S.invoice_fields(spark, d).where(~F.col("field").endswith(".price"))
+    return resolve(S.invoice_tokens(spark, d), f).select("doc_id", "field", "status", "page")
+
+
+def _rows(spark, d) -> DataFrame:
+    """Rows of invoices with the tokens' boxes: doc_id, table, page, row, column, box."""
+    t = S.invoice_tokens(spark, d).where("line_index > 0")
+    return t.select("doc_id", F.concat(F.lit("p"), F.col("page")).alias("table"), "page", (F.col("line_index") - 1).alias("row"), F.col("token_idx").alias("column"), "box", "text")
+
+
+@query(INV + """, r AS (SELECT doc_id, page - 1 AS row, CASE WHEN page % 3 = 2 THEN page END AS p FROM pg)
+SELECT doc_id, 'orders' AS "table", row, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(p IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS page FROM r""")
+def tbl_filled_pages(spark, d):
+    from quillmap.operators import tables as B
+
+    r = S.invoice_pages(spark, d).select("doc_id", F.lit("orders").alias("table"), (F.col("page") - 1).alias("row"), F.when(F.col("page") % 3 == 2, F.col("page")).alias("page"))
+    return B.filled_pages(r)
+
+
+@query(INV + """SELECT f.doc_id, 'orders' AS "table", f.page_hint - 1 AS row, min(n.page) AS page FROM fld AS f JOIN numtok AS n ON f.doc_id = n.doc_id AND CAST(f.value AS DOUBLE) = n.number
+WHERE f.kind = 'float' GROUP BY f.doc_id, f.page_hint HAVING count(DISTINCT n.page) = 1""")
+def tbl_row_pages(spark, d):
+    from quillmap.operators import tables as B
+
+    got = C.numbers(S.invoice_fields(spark, d).where("kind = 'float'"), I.number_postings(S.invoice_tokens(spark, d))).where("similarity = 1")
+    return B.row_pages(got.select("doc_id", F.lit("orders").alias("table"), (F.col("page_hint") - 1).alias("row"), "page"))
+
+
+@query(INV + """SELECT doc_id, 'p' || page AS "table", line_index - 1 AS row, page, line_index, round(0.106::DOUBLE + line_index * 0.03::DOUBLE, 6) AS y, 8.0::DOUBLE AS score FROM li""")
+def tbl_aligned_rows(spark, d):
+    from quillmap.operators import tables as B
+
+    t = S.invoice_tokens(spark, d)
+    r = _rows(spark, d).groupBy("doc_id", "table", "page", "row").agg(F.array(F.max(F.when(F.col("column") == 0, F.col("text"))), F.max(F.when(F.col("column") == 1, F.col("text")))).alias("values"))
+    got = B.aligned_rows(r.select("doc_id", "table", "row", "page", "values"), I.lines(t))
+    return got.withColumn("y", r6("y"))
+
+
+@query(INV + """, m AS (SELECT *, max(line_index) OVER (PARTITION BY doc_id, page) AS n FROM li)
+SELECT doc_id, 'p' || page AS "table", page, line_index - 1 AS row, CASE WHEN line_index % 2 = 1 THEN 'aligned' WHEN n = 2 THEN 'none' ELSE 'interpolated' END AS anchor_kind,
+  CASE WHEN n > 2 OR line_index = 1 THEN round(0.106::DOUBLE + line_index * 0.03::DOUBLE, 6) END AS y FROM m""")
+def tbl_interpolated(spark, d):
+    from quillmap.operators import tables as B
+
+    r = _rows(spark, d).where("column = 0").select("doc_id", "table", "page", "row", F.when(F.col("row") % 2 == 0, G.cy("box")).alias("y"))
+    return B.interpolated(r).withColumn("y", r6("y"))
+
+
+@query(INV + """SELECT doc_id, 'p' || page AS "table", page, CAST(count(*) AS BIGINT) AS n, count(*) >= 5 AS grid FROM li GROUP BY doc_id, page""")
+def tbl_is_grid(spark, d):
+    from quillmap.operators import tables as B
+
+    return B.is_grid(_rows(spark, d).where("column = 0")).select("doc_id", "table", "page", "n", "grid")
+
+
+@query(INV + """SELECT doc_id, 'p' || page AS "table", token_idx AS "column", round(median(x), 6) AS x, round(median(w), 6) AS w, CAST(count(*) AS BIGINT) AS n FROM tok WHERE line_index > 0 GROUP BY doc_id, page, token_idx HAVING count(*) >= 3""")
+def tbl_column_places(spark, d):
+    from quillmap.operators import tables as B
+
+    return B.column_places(_rows(spark, d)).withColumns({"x": r6("x"), "w": r6("w")})
+
+
+@query(INV + """SELECT doc_id, 'p' || page AS "table", CAST(5 AS BIGINT) AS rails, CAST(10 * count(*) AS BIGINT) AS side, CAST(0 AS BIGINT) AS below, 'TRUE_2D_TABLE' AS kind FROM li GROUP BY doc_id, page""")
+def tbl_kind(spark, d):
+    from quillmap.operators import tables as B
+
+    return B.table_kind(_rows(spark, d))
+
+
+@query(INV + """, s AS (SELECT doc_id, page, line_index - 1 AS row, coalesce(sum(CASE WHEN quantity > 25 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM li)
+SELECT doc_id, 'p' || page AS "table", row, CAST(s // 4 AS INTEGER) AS page_no, CAST(s % 4 AS INTEGER) AS slot FROM s""")
+def tbl_slots(spark, d):
+    from quillmap.operators import tables as B
+
+    r = _rows(spark, d).where("column = 2").withColumn("quantity", F.col("text").cast("long"))
+    return B.slots(r, 4, F.col("quantity") > 25).select("doc_id", "table", "row", "page_no", "slot")
+
+
+@query(INV + """SELECT f.doc_id, f.field, n.page, n.line_index FROM fld AS f JOIN numtok AS n ON f.doc_id = n.doc_id AND CAST(f.value AS DOUBLE) = n.number AND n.token_idx = 3 WHERE f.field LIKE '%.price'""")
+def rec_torn_numbers(spark, d):
+    """Amounts torn after their third character."""
+    from quillmap.operators import recovery as V
+
+    t = S.invoice_tokens(spark, d).where("token_idx = 3 and line_index > 0")
+    a = t.withColumns({"text": F.expr("substr(text, 1, 3)"), "box": G.part("box", F.lit(0), F.lit(3), F.length("text"))})
+    b = t.withColumns({"text": F.expr("substr(text, 4)"), "token_idx": F.lit(4), "box": G.part("box", F.lit(3), F.length("text"), F.length("text"))})
+    f = S.invoice_fields(spark, d).where(F.col("field").endswith(".price"))
+    return V.torn_numbers(f, I.lines(a.union(b))).select("doc_id", "field", "page", "line_index")
+
+
+@query(INV + """, g AS (SELECT *, x - coalesce(lag(x + w) OVER o, 0) AS b, coalesce(lead(x) OVER o, 1) - (x + w) AS a FROM tok WINDOW o AS (PARTITION BY doc_id, page, line_index ORDER BY x))
+SELECT doc_id, page, line_index, token_idx, round(x - least(0.06::DOUBLE, greatest(0, b) * 0.45::DOUBLE), 6) AS x, round(w + least(0.06::DOUBLE, greatest(0, b) * 0.45::DOUBLE) + least(0.12::DOUBLE, greatest(0, a) * 0.5::DOUBLE), 6) AS w FROM g""")
+def ref_gap_expanded(spark, d):
+    from quillmap.operators import refine as E
+
+    return flat(E.gap_expanded(S.invoice_tokens(spark, d))).select("doc_id", "page", "line_index", "token_idx", "x", "w")
+
+
+@query(INV + """, ln AS (SELECT doc_id, page, line_index, string_agg(lower(text), ' ' ORDER BY x) AS t FROM tok GROUP BY doc_id, page, line_index),
+tt AS (SELECT doc_id, page, lower(text) AS v FROM tok WHERE line_index = 0 AND token_idx = 4)
+SELECT ln.doc_id, CAST(count(*) AS BIGINT) AS total_lines, CAST(sum(CASE WHEN contains(ln.t, tt.v) THEN 1 ELSE 0 END) AS BIGINT) AS mapped_lines,
+  round(100.0::DOUBLE * sum(CASE WHEN contains(ln.t, tt.v) THEN 1 ELSE 0 END) / count(*), 1) AS coverage_percent FROM ln JOIN tt USING (doc_id, page) GROUP BY ln.doc_id""")
+def eval_coverage(spark, d):
+    from quillmap.operators import evaluate as E
+
+    t = S.invoice_tokens(spark, d)
+    r = t.where("line_index = 0 and token_idx = 4").select("doc_id", "page", "box", F.col("text").alias("matched_text"))
+    return E.coverage(I.lines(t), r)
+
+
+def _judged(spark, d) -> DataFrame:
+    """Prices found by rank of occurrence, beside their gold places."""
+    from quillmap.operators import evaluate as E
+
+    t, f = S.invoice_tokens(spark, d), S.invoice_fields(spark, d).where(F.col("field").endswith(".price"))
+    place = t.where("token_idx = 3").select("doc_id", F.col("page").alias("gold_page"), F.col("line_index").alias("gold_line"), F.col("box").alias("gold_box"))
+    gold = f.join(place, ["doc_id", "gold_page", "gold_line"]).select("doc_id", "field", "gold_page", "gold_box")
+    return E.judged(C.nth_occurrence(f, t).select("doc_id", "field", "page", "box"), gold)
+
+
+_JUDGED = INV + """, a AS (SELECT doc_id, field, page_hint, value, gold_line, row_number() OVER (PARTITION BY doc_id, page_hint, value ORDER BY gold_line) AS n FROM fld WHERE field LIKE '%.price'),
+b AS (SELECT doc_id, page, line_index, token_idx, replace(replace(lower(text), '$', ''), ',', '') AS v FROM tok),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, v ORDER BY line_index, token_idx) AS n FROM b),
+j AS (SELECT a.doc_id, a.field, c.page, c.line_index IS NOT NULL AS placed, coalesce(c.line_index = a.gold_line AND c.token_idx = 3, false) AS hit FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.page_hint = c.page AND a.value = c.v AND a.n = c.n)
+"""
+
+
+@query(_JUDGED + """SELECT doc_id, CAST(count(*) AS BIGINT) AS n_gold, CAST(sum(CAST(placed AS INTEGER)) AS BIGINT) AS n_placed, CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS hits,
+  round(coalesce(sum(CAST(hit AS INTEGER))::DOUBLE / nullif(sum(CAST(placed AS INTEGER)), 0), 0), 6) AS precision, round(sum(CAST(hit AS INTEGER))::DOUBLE / count(*), 6) AS recall,
+  round(2.0::DOUBLE * sum(CAST(hit AS INTEGER)) / (count(*) + sum(CAST(placed AS INTEGER))), 6) AS f1 FROM j GROUP BY doc_id""")
+def eval_scores(spark, d):
+    from quillmap.operators import evaluate as E
+
+    s = E.scores(_judged(spark, d))
+    return s.select("doc_id", "n_gold", "n_placed", "hits", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(_JUDGED + """, k AS (SELECT 'orders[].rows[].price' AS pattern, CASE WHEN NOT placed THEN 'ZERO_CANDIDATE' WHEN hit THEN 'PASS' ELSE 'WRONG_ROW' END AS class FROM j)
+SELECT pattern, class, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY ROLLUP (pattern, class)""")
+def eval_failures(spark, d):
+    from quillmap.operators import evaluate as E
+
+    return E.failures(_judged(spark, d))
+
+
+@query(_JUDGED + """SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, round(avg(r), 6) AS recall FROM (SELECT doc_id, sum(CAST(hit AS INTEGER))::DOUBLE / count(*) AS r FROM j GROUP BY doc_id)""")
+def eval_suite(spark, d):
+    from quillmap.operators import evaluate as E
+
+    return E.suite(E.scores(_judged(spark, d))).select("documents", r6("recall").alias("recall"))
+
+
+@query("""WITH s AS (SELECT user_id AS doc_id, CASE event_type WHEN 'click' THEN 'exact' WHEN 'view' THEN 'fuzzy' WHEN 'error' THEN 'ambiguous' ELSE 'not_found' END AS s FROM events)
+SELECT doc_id, CAST(sum(CASE WHEN s IN ('exact', 'fuzzy') THEN 1 ELSE 0 END) AS BIGINT) AS verified, CAST(sum(CASE WHEN s = 'ambiguous' THEN 1 ELSE 0 END) AS BIGINT) AS mismatch,
+  CAST(sum(CASE WHEN s = 'not_found' THEN 1 ELSE 0 END) AS BIGINT) AS hallucination FROM s GROUP BY doc_id""")
+def eval_status(spark, d):
+    from quillmap.operators import evaluate as E
+
+    kind = F.col("event_type")
+    s = F.when(kind == "click", "exact").when(kind == "view", "fuzzy").when(kind == "error", "ambiguous").otherwise("not_found")
+    return E.status_counts(S.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), s.alias("status")))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS b, o_orderkey % 5 = 0 AS a, o_orderkey % 7 <> 0 AS has_b, o_orderkey % 11 <> 0 AS has_a FROM orders)
+SELECT k AS doc_id, 'f' AS field, CASE WHEN NOT has_b THEN 'only_after' WHEN NOT has_a THEN 'only_before' WHEN NOT b AND a THEN 'gained' WHEN b AND NOT a THEN 'lost' ELSE 'same' END AS change FROM a WHERE has_a OR has_b""")
+def eval_report_diff(spark, d):
+    from quillmap.operators import evaluate as E
+
+    o = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("f").alias("field"))
+    got = E.report_diff(o.where("doc_id % 7 != 0").withColumn("hit", F.col("doc_id") % 3 == 0), o.where("doc_id % 11 != 0").withColumn("hit", F.col("doc_id") % 5 == 0))
+    return got.select("doc_id", "field", "change")
+
+
+@query(INV + """, c AS (SELECT f.doc_id, f.field, n.page, n.line_index, n.token_idx, f.page_hint, row_number() OVER (PARTITION BY f.doc_id, f.field ORDER BY n.page, n.line_index, n.x) AS rank
+  FROM fld AS f JOIN numtok AS n ON f.doc_id = n.doc_id AND CAST(f.value AS DOUBLE) = n.number WHERE f.field LIKE '%.total'),
+m AS (SELECT doc_id, field, min(CASE WHEN page = page_hint AND line_index = 0 AND token_idx = 4 THEN rank END) AS first FROM c GROUP BY doc_id, field)
+SELECT CAST(count(*) AS BIGINT) AS fields, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5 FROM m""")
+def eval_recall(spark, d):
+    from pyspark.sql import Window
+    from quillmap.operators import evaluate as E
+
+    t, f = S.invoice_tokens(spark, d), totals(S.invoice_fields(spark, d))
+    got = C.numbers(f, I.number_postings(t)).where("similarity = 1")
+    ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "field").orderBy("page", "line_index", "box.x")))
+    place = t.where("line_index = 0 and token_idx = 4").select("doc_id", F.col("page").alias("gold_page"), F.col("box").alias("gold_box"))
+    gold = f.join(place, ["doc_id", "gold_page"]).select("doc_id", "field", "gold_page", "gold_box")
+    return E.recall_at(ranked, gold).select("fields", r6("recall_1").alias("recall_1"), r6("recall_5").alias("recall_5"))
+
+
+@query(INV + """SELECT doc_id, page, line_index, token_idx, lag(text) OVER o AS "left", lead(text) OVER o AS "right", lag(text) OVER v AS above, lead(text) OVER v AS below FROM tok
+WINDOW o AS (PARTITION BY doc_id, page, line_index ORDER BY x), v AS (PARTITION BY doc_id, page, token_idx ORDER BY line_index)""")
+def ctx_neighbours(spark, d):
+    from quillmap.operators import context as X
+
+    return X.neighbours(S.invoice_tokens(spark, d)).select("doc_id", "page", "line_index", "token_idx", "left", "right", "above", "below")
+
+
+@query(INV + "SELECT doc_id, page, CAST(token_idx AS BIGINT) AS rail, round(x, 6) AS x, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY doc_id, page, token_idx, x HAVING count(*) >= 2")
+def ctx_rails(spark, d):
+    from quillmap.operators import context as X
+
+    return X.rails(S.invoice_tokens(spark, d)).withColumn("x", r6("x"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INTEGER), '%Y-%m-%d') AS due FROM orders")
+def ctx_relative_date(spark, d):
+    from quillmap.operators import context as X
+
+    o = S.table(spark, d, "orders")
+    return o.select("o_orderkey", X.relative_date(F.concat(F.lit("Terms: Net "), F.col("o_orderkey") % 90), F.to_date("o_orderdate")).cast("string").alias("due"))
+
+
+@query(INV + """, h AS (SELECT doc_id, page, line_index, part, last_value(CASE WHEN quantity > 10 THEN line_index END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM li)
+SELECT doc_id, page, coalesce(h, line_index) AS line_index, string_agg(CAST(part AS VARCHAR), ' ' ORDER BY line_index) AS text, CAST(count(*) AS BIGINT) AS n_lines FROM h GROUP BY doc_id, page, coalesce(h, line_index)""")
+def ctx_merged_wraps(spark, d):
+    from quillmap.operators import context as X
+
+    pages = S.invoice_pages(spark, d).select("order", "doc_id", "page")
+    r = S.invoice_rows(spark, d).join(pages, "order").select("doc_id", "page", "line_index", F.when(F.col("quantity") > 10, F.col("quantity").cast("string")).alias("key"), F.col("part").cast("string").alias("text"))
+    return X.merged_wraps(r).drop("key")
+
+
+@query("SELECT user_id AS doc_id, 'all' AS form, CAST(count(DISTINCT event_type) AS BIGINT) AS hits FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 3")
+def tpl_detected(spark, d):
+    from quillmap.operators import templates as L
+
+    f = S.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("field"))
+    return L.detected(f, f.select(F.lit("all").alias("form"), "field").distinct())
