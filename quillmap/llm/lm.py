@@ -41,18 +41,29 @@ START, END = 1, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct word keys of some texts, each token's place among them (a text
-    ends with END, the last key), and the number of tokens of each text."""
-    words = [encode(t).lower().split() for t in texts]
-    n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    flat = pa.array([x for w in words for x in w], pa.large_binary()).dictionary_encode()
-    keys = np.fromiter(map(xxhash.xxh64_intdigest, flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
+    """The distinct word keys of some texts, END and START last; each token's place
+    among them, a text ending with END; and the number of tokens of each text."""
+    raw = [encode(t) for t in texts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    data = np.frombuffer(b" ".join((b"", *raw, b"")).lower(), np.uint8)
+    space = _SPACE[data]
+    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    last = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    n = np.diff(np.searchsorted(first, np.concatenate(([0], np.cumsum(size))), "left")) if raw else size
+    ends = np.concatenate(([0], np.cumsum(last - first)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data[~space])]).dictionary_encode()
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    n = n + 1
     at = np.full(int(n.sum()), len(keys), np.int64)
     inside = np.ones(len(at), bool)
     inside[np.cumsum(n) - 1] = False
-    at[inside] = flat.indices.to_numpy(zero_copy_only=False)
-    return np.append(keys, np.uint64(END)), at, n
+    at[inside] = words.indices.to_numpy(zero_copy_only=False)
+    return np.concatenate((keys, np.array([END, START], np.uint64))), at, n
 
 
 def before(at: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
@@ -88,41 +99,45 @@ def numbers(packed: bytes) -> np.ndarray:
 
 def dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Places of each shard, in order within it."""
-    by = np.argsort(shard, kind="stable")
+    by = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
     found, first = np.unique(shard[by], return_index=True)
     yield from zip(found.tolist(), np.split(by, first[1:]))
 
 
 class Part:
-    """The texts of a part as tokens, its distinct bigrams, and the training counts of both."""
-
-    def __init__(self, texts: list[str | None], train: np.ndarray, shards: int):
-        self.keys, self.at, self.n = tokens(texts)
-        self.words = len(self.keys)
-        # contexts are words or START, which comes after the words
-        self.all = np.append(self.keys, np.uint64(START))
-        self.code = before(self.at, self.n, self.words) * (self.words + 1) + self.at
-        weight = np.repeat(train.astype(np.int64), self.n)
-        self.pairs, self.place = np.unique(self.code, return_inverse=True)
-        self.pair_count = np.bincount(self.place, weight, len(self.pairs)).astype(np.int64)
-        self.word_count = np.bincount(self.at, weight, self.words + 1).astype(np.int64)
-        self.shards = shards
+    """The texts of a part as tokens, numbered in the order of their keys; its distinct
+    bigrams as context * width + word; and the training counts of both."""
+
+    def __init__(self, texts: list[str | None], train: np.ndarray, shards: int, bigrams: bool = True):
+        keys, at, self.n = tokens(texts)
+        order = np.argsort(keys)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.keys, self.at, self.start, self.shards = keys[order], rank[at], int(rank[-1]), shards
+        self.width = len(keys)
+        learned = np.repeat(train, self.n)
+        self.word_count = np.bincount(self.at[learned], minlength=self.width)
+        if bigrams:
+            # the training mark rides in the lowest bit, so that one plain sort counts both
+            marked = np.sort((before(self.at, self.n, self.start) * self.width + self.at) * 2 + learned)
+            pairs = marked >> 1
+            first = np.flatnonzero(np.diff(pairs, prepend=-1))
+            self.pairs = pairs[first]
+            self.pair_count = np.add.reduceat(marked & 1, first) if len(first) else first
 
     def bigram_places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each shard the places of its bigrams, sorted by their keys, and those."""
-        context, word = (self.all[x] for x in np.divmod(self.pairs, self.words + 1))
+        """For each shard the places of its bigrams, in the order of their keys, and those."""
+        context, word = (self.keys[x] for x in np.divmod(self.pairs, self.width))
         for shard, i in dealt(shard_of(context ^ (word * _MIX), self.shards)):
-            i = i[np.lexsort((word[i], context[i]))]
             yield shard, i, context[i], word[i]
 
     def word_places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for shard, i in dealt(shard_of(self.all, self.shards)):
-            i = i[np.argsort(self.all[i])]
-            yield shard, i, self.all[i]
+        for shard, i in dealt(shard_of(self.keys, self.shards)):
+            yield shard, i, self.keys[i]
 
 
 REQUEST = "part int, shard int, context binary, word binary, freq binary, kinds binary"
-ANSWER = "part int, shard int, kind string, total binary, kinds binary, sums binary"
+ANSWER = "part int, shard int, kind string, total binary, kinds binary, sums binary, tokens long, words long"
 
 
 def _ask(part: Part, number: int, bigrams: bool) -> pd.DataFrame:
@@ -133,6 +148,10 @@ def _ask(part: Part, number: int, bigrams: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["part", "shard", "context", "word", "freq", "kinds"])
 
 
+def _answers(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["part", "shard", "kind", "total", "kinds", "sums", "tokens", "words"])
+
+
 def _answer_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals for each part in the order it asked; in part -1, for each context seen
     in training here, its distinct continuations and its count."""
@@ -142,20 +161,19 @@ def _answer_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
     context = np.concatenate(context)
     word = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["word"]])
     count = np.concatenate([numbers(x) for x in pdf["freq"]])
-    by = np.lexsort((word, context))
-    context, word = context[by], word[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-    place = np.empty(len(by), np.int64)
-    place[by] = np.cumsum(new) - 1
-    total = np.bincount(place, count, int(new.sum())).astype(np.int64)
-    out = [(int(p), shard, "bigram", squeeze(x), None, None) for p, x in zip(pdf["part"], np.split(total[place], ends[:-1]))]
+    both = (context * _MIX + word) * _MIX
+    by = np.argsort(both)
+    new = np.flatnonzero(np.diff(both[by], prepend=both[by[0]] - np.uint64(1)))
+    total = np.add.reduceat(count[by], new)
+    each = np.empty_like(count)
+    each[by] = np.repeat(total, np.diff(np.append(new, len(by))))
+    out = [(int(p), shard, "bigram", squeeze(x), None, None, None, None) for p, x in zip(pdf["part"], np.split(each, ends[:-1]))]
     seen = total > 0
-    own, at = np.unique(context[new][seen], return_inverse=True)
+    own, at = np.unique(context[by[new]][seen], return_inverse=True)
     if len(own):
         sums = np.bincount(at, total[seen], len(own))
-        out.append((-1, shard, "context", deltas(own), squeeze(np.bincount(at, minlength=len(own))), squeeze(sums)))
-    return pd.DataFrame(out, columns=["part", "shard", "kind", "total", "kinds", "sums"])
+        out.append((-1, shard, "context", deltas(own), squeeze(np.bincount(at, minlength=len(own))), squeeze(sums), None, None))
+    return _answers(out)
 
 
 def _by_context(shards: int):
@@ -164,16 +182,18 @@ def _by_context(shards: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for keys, kinds, sums in zip(pdf["total"], pdf["kinds"], pdf["sums"]):
-                keys, kinds, sums = sorted_keys(keys), numbers(kinds), numbers(sums)
-                out += [(-1, s, None, deltas(keys[i]), squeeze(sums[i]), squeeze(kinds[i])) for s, i in dealt(shard_of(keys, shards))]
+            for part, keys, kinds, sums in zip(pdf["part"], pdf["total"], pdf["kinds"], pdf["sums"]):
+                if part < 0:
+                    keys, kinds, sums = sorted_keys(keys), numbers(kinds), numbers(sums)
+                    out += [(-1, s, None, deltas(keys[i]), squeeze(sums[i]), squeeze(kinds[i])) for s, i in dealt(shard_of(keys, shards))]
             yield pd.DataFrame(out, columns=["part", "shard", "context", "word", "freq", "kinds"])
 
     return run
 
 
 def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each part, in the order asked: counts of words, then continuations and counts as contexts."""
+    """For each part, in the order asked: counts of words, then continuations and counts as
+    contexts; in part -1 the number of tokens and of distinct words in training here."""
     shard, asked = int(pdf["shard"].iat[0]), pdf["part"].to_numpy() >= 0
     keys = [sorted_keys(x) for x in pdf["word"]]
     own, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -185,80 +205,61 @@ def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             sums[at] += numbers(freq)
             kinds[at] += numbers(more)
-    out = [(int(p), shard, "word", squeeze(count[at]), squeeze(kinds[at]), squeeze(sums[at])) for p, at, ask in zip(pdf["part"], places, asked) if ask]
-    return pd.DataFrame(out, columns=["part", "shard", "kind", "total", "kinds", "sums"])
+    out = [(int(p), shard, "word", squeeze(count[at]), squeeze(kinds[at]), squeeze(sums[at]), None, None) for p, at, ask in zip(pdf["part"], places, asked) if ask]
+    return _answers([*out, (-1, shard, "size", None, None, None, int(count.sum()), int((count > 0).sum()))])
 
 
 class Automaton:
-    """States 0 (root) to ``states``; an arc leads to the state of its word.
+    """State -1 is the root; the others are contexts, under the number of their word.
 
-    ``arcs[state * words + word]`` is the log-probability of an arc, ``fail`` the
+    ``arcs[state * width + word]`` is the log-probability of an arc, ``fail`` the
     weight of each state's failure arc to the root, ``root`` that of the root's
     arcs, and ``after`` the state behind each word.
     """
 
     def __init__(self, part: Part, pair_total, word_total, kinds, sums, discount: float, tokens_: int, vocabulary: int):
-        words = part.words + 1
         p_word = (word_total + 1.0) / (tokens_ + vocabulary + 1.0)
-        self.words, self.root = words, np.log10(p_word).tolist()
-        state = np.where(sums > 0, np.arange(1, words + 1), 0)
-        self.after, self.first = state.tolist(), int(state[part.words])
+        self.width, self.root = part.width, np.log10(p_word).tolist()
+        state = np.where(sums > 0, np.arange(part.width), -1)
+        self.after, self.first = state.tolist(), int(state[part.start])
         total = np.maximum(sums, 1)
         backoff = np.where(sums > 0, discount * kinds / total, 1.0)
-        self.fail = [0.0, *np.log10(np.where(backoff > 0, backoff, 1.0)).tolist()]
+        self.fail = np.log10(np.where(backoff > 0, backoff, 1.0)).tolist()
         seen = np.flatnonzero(pair_total > 0)
-        context, word = np.divmod(part.pairs[seen], words)
+        context, word = np.divmod(part.pairs[seen], part.width)
         p = (pair_total[seen] - discount) / total[context] + backoff[context] * p_word[word]
-        self.arcs = dict(zip((state[context] * words + word).tolist(), np.log10(p).tolist()))
+        self.arcs = dict(zip(part.pairs[seen].tolist(), np.log10(p).tolist()))
 
     def walk(self, text: list[int]) -> float:
-        score, state, arcs, words, after = 0.0, self.first, self.arcs, self.words, self.after
+        score, state, width = 0.0, self.first, self.width
+        arc_of, fail, root, after = self.arcs.get, self.fail, self.root, self.after
         for word in text:
-            arc = arcs.get(state * words + word) if state else self.root[word]
-            if arc is None:
-                score += self.fail[state]
-                arc = self.root[word]
-            score += arc
+            if state >= 0:
+                arc = arc_of(state * width + word)
+                score += fail[state] + root[word] if arc is None else arc
+            else:
+                score += root[word]
             state = after[word]
         return score
 
 
-def _score(part: Part, ids: list, held: list, answers: pd.DataFrame, discount: float, tokens_: int, vocabulary: int) -> pd.DataFrame:
-    totals = {(k, int(s)): (t, a, b) for k, s, t, a, b in zip(answers["kind"], answers["shard"], answers["total"], answers["kinds"], answers["sums"])}
+def _score(part: Part, ids: list, held: list, answers: pd.DataFrame, discount: float) -> pd.DataFrame:
+    got = {(k, int(s)): (t, a, b) for k, s, t, a, b in zip(answers["kind"], answers["shard"], answers["total"], answers["kinds"], answers["sums"])}
+    tokens_, vocabulary = int(answers["all_tokens"].iat[0]), int(answers["all_words"].iat[0])
     pair_total = np.zeros(len(part.pairs), np.int64)
-    word_total, kinds, sums = (np.zeros(part.words + 1, np.int64) for _ in range(3))
+    word_total, kinds, sums = (np.zeros(part.width, np.int64) for _ in range(3))
     for s, i, _, _ in part.bigram_places():
-        pair_total[i] = numbers(totals["bigram", s][0])
+        pair_total[i] = numbers(got["bigram", s][0])
     for s, i, _ in part.word_places():
-        word_total[i], kinds[i], sums[i] = map(numbers, totals["word", s])
+        word_total[i], kinds[i], sums[i] = map(numbers, got["word", s])
     auto = Automaton(part, pair_total, word_total, kinds, sums, discount, tokens_, vocabulary)
     first = np.cumsum(part.n) - part.n
-    base = np.add.reduceat(np.asarray(auto.root)[part.at], first) if len(first) else first
-    known = np.add.reduceat((word_total > 0).astype(np.int64)[part.at], first) if len(first) else first
+    base = np.add.reduceat(np.asarray(auto.root)[part.at], first)
+    known = np.add.reduceat((word_total > 0).astype(np.int64)[part.at], first)
     score = [auto.walk(part.at[i : i + n].tolist()) for i, n in zip(first.tolist(), part.n.tolist())]
     return pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": part.n, "n_known": known, "train_tokens": tokens_, "base_score": base, "score": score})
 
 
-def totals(docs: DataFrame, train: Column, shards: int) -> tuple[int, int]:
-    """Number of tokens, and of distinct tokens, of the training rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, at, _ = tokens(pdf["text"].tolist())
-            count = np.bincount(at, minlength=len(keys))
-            keys, count = keys[count > 0], count[count > 0]
-            out = [(s, keys[i].tobytes(), int(count[i].sum())) for s, i in dealt(shard_of(keys, shards))]
-            yield pd.DataFrame(out, columns=["shard", "keys", "n"])
-
-    def distinct(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]))
-        return pd.DataFrame({"n": [pdf["n"].sum()], "v": [len(keys)]})
-
-    found = docs.where(train).select("text").mapInPandas(run, "shard int, keys binary, n long")
-    n, v = found.groupBy("shard").applyInPandas(distinct, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return n or 0, v or 0
-
-
 def score(docs: DataFrame, train: Column, discount: float = 0.75, part_bytes: int = 6 << 20) -> DataFrame:
     """Score the whole text of every row of ``docs`` (doc_id, text).
 
@@ -275,24 +276,31 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, part_bytes: in
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(-(-size // part_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     shards = parts
-    tokens_, vocabulary = totals(rows, F.col("train"), shards)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
 
     def asks(bigrams: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            part = Part(pdf["text"].tolist(), pdf["train"].to_numpy(bool), shards)
+            part = Part(pdf["text"].tolist(), pdf["train"].to_numpy(bool), shards, bigrams)
             return _ask(part, int(pdf["part"].iat[0]), bigrams)
 
         return run
 
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def finish(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        # what is under part -1 was for others
+        if pdf.empty:
+            return pd.DataFrame([], columns=names)
         trained = pdf["train"].to_numpy(bool)
         part = Part(pdf["text"].tolist(), trained, shards)
-        return _score(part, pdf["doc_id"].tolist(), (~trained).tolist(), answers, discount, tokens_, vocabulary)
+        return _score(part, pdf["doc_id"].tolist(), (~trained).tolist(), answers, discount)
 
-    bigrams = rows.groupBy("part").applyInPandas(asks(True), REQUEST).groupBy("shard").applyInPandas(_answer_bigrams, ANSWER)
-    contexts = bigrams.where("part < 0").mapInPandas(_by_context(shards), REQUEST)
+    # one exchange of texts by part, and one of the bigrams' answers, serve all that reads them;
+    # filters would be pushed below and part their ways, so what a reader doesn't want it skips
+    bigrams = rows.groupBy("part").applyInPandas(asks(True), REQUEST).groupBy("shard").applyInPandas(_answer_bigrams, ANSWER).repartition(parts, "part", "shard")
+    contexts = bigrams.mapInPandas(_by_context(shards), REQUEST)
     words = rows.groupBy("part").applyInPandas(asks(False), REQUEST).unionByName(contexts).groupBy("shard").applyInPandas(_answer_words, ANSWER)
-    answers = bigrams.where("part >= 0").unionByName(words)
-    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    size = words.where("kind = 'size'").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
+    answers = bigrams.unionByName(words).withColumns({"all_tokens": size.select("tokens").scalar(), "all_words": size.select("words").scalar()})
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(finish, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
