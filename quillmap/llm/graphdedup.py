@@ -217,7 +217,8 @@ def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int
         a, b = prune(unit(pdf["embedding"]))
         ids = pdf["rep"].to_numpy()
         pairs = pd.DataFrame({"rep": ids[a], "to": ids[b]}).drop_duplicates()
-        return pairs.groupby("rep")["to"].agg(list).reset_index(name="edges")
+        # a shard of one vector has no edge, and pandas no list to tell the type by
+        return pairs.groupby("rep")["to"].agg(list).reset_index(name="edges").astype({"edges": object})
 
     lists = members.groupBy(*key, "block").applyInPandas(build, "rep long, edges array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
@@ -252,7 +253,7 @@ def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int
                 out += [(i, None, k) for i, k in zip(qids[part].tolist(), (hits @ weight).tolist())]
                 a, b = np.nonzero(hits)
                 out += [(i, j, None) for i, j in forest(qids[part][a], ids[b])]
-        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("Int64")
+        return pd.DataFrame(out, columns=["a", "b", "n"], dtype=object).astype("Int64")
 
     return both.groupBy(*key, "block", "searches").applyInPandas(search, "a long, b long, n long")
 

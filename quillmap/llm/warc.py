@@ -189,7 +189,7 @@ def read(spark, path: str) -> DataFrame:
 
     def framed(rows: list[tuple]) -> pd.DataFrame:
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
-        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        return pd.DataFrame(rows, columns=names, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")

@@ -1,0 +1,368 @@
+"""The ten operators against brute force, and on nulls, ties, repeats and empty tables."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from quillmap.llm import chat, components, graphdedup, langid, lm, mixing, packing, quality, simhash, topk, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string"
+
+#: A null, an empty text, repeats of texts, of ids and of a whole row, and a null id; fp is a column with a name used inside.
+ROWS = [
+    (1, "the cat sat on the mat and looked at the dog", "en", "a", 1, "x"), (2, "the cat sat on the mat and looked at the dog", "en", "a", 1, None), (3, None, None, None, None, None),
+    (4, "", "en", "b", 0, None), (5, "le chat est sur la table et regarde le chien", "fr", "b", 2, "y"), (5, "le chat est sur la table et regarde le chien", "fr", "b", 2, "y"),
+    (None, "un deux trois quatre cinq six sept huit", "fr", None, 3, None), (7, "word " * 3000, "en", "c", 4, None), (9007199254740993, "Short", None, "c", 5, None),
+]
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def reach(n, linked):
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (5, 5), (300, 300), (200, 201)]
+    got = dict(rows(components.components(spark.createDataFrame(edges + [(None, 1)], "a long, b long"))))
+    assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 202: 200, 300: 300}
+    assert rows(components.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, docs, none):
+    got = {(r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    prints = [plain_fingerprint(r[1]) for r in ROWS]
+    root = reach(len(ROWS), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    least = {r: min((ROWS[i][0] for i in range(len(ROWS)) if root[i] == r and ROWS[i][0] is not None), default=None) for r in root}
+    assert got == {(ROWS[i][0], prints[i], least[root[i]]) for i in range(len(ROWS))}
+    assert simhash.near_duplicates(docs).count() == len(ROWS) and simhash.near_duplicates(none).count() == 0
+
+
+def test_simhash_links_are_all_pairs_within_three_bits(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63, 12)
+    prints = {int(b) for b in base}
+    for b in base:
+        for k in (1, 2, 3, 4, 5):
+            x = int(b) % 2**64
+            for bit in rng.choice(64, k, replace=False):
+                x ^= 1 << int(bit)
+            prints.add(x - 2**64 if x >= 2**63 else x)
+    found = set(rows(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"))))
+    assert found == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % 2**64).bit_count() <= 3}
+
+
+def test_keep_one(docs):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    # the empty text and the null have fingerprint zero both
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (False, 5), (False, 7), (False, 9007199254740993), (True, None)]
+
+
+def test_quality(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0), (5, 1), (5, None), (None, 1), (99, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = quality.scored(docs, model)
+    assert got.columns == [*docs.columns, "quality_score"]
+    scores = {r.doc_id: r.quality_score for r in got.collect()}
+    assert all(0 <= s <= 1 for s in scores.values()) and len(scores) == 8 and got.count() == len(ROWS)
+    assert scores[9007199254740993] is not None and quality.scored(none, model).count() == 0
+    empty = quality.fit(docs, labels.limit(0))
+    assert {r.quality_score for r in quality.scored(docs, empty).collect()} == {0.5}
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    train = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    own = labels.toPandas()
+    fold = own[[train(i) for i in own.doc_id]][["doc_id", "quality"]]
+    got = quality.scored(docs, quality.fit(docs, spark.createDataFrame(fold, "doc_id long, quality int"))).select("doc_id", "quality_score").toPandas()
+    held = own[[not train(i) for i in own.doc_id]].merge(got, on="doc_id")
+    assert ((held.quality_score >= 0.3) == (held.quality == 1)).mean() >= 0.95
+
+
+def test_languages(spark, docs, none):
+    d = "/root/testdata/sf0.01"
+    all_ = spark.read.parquet(f"{d}/documents.parquet")
+    own = all_.select("doc_id", "text", "lang").toPandas()
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in own.doc_id])
+    model = langid.fit(spark.createDataFrame(own[~held], "doc_id long, text string, lang string"))
+    guess = [model.predict(t) for t in own.text[held]]
+    assert np.mean([g[0] == l for g, l in zip(guess, own.lang[held])]) >= 0.97
+    got = {r.doc_id: (r.lang_pred, r.lang_score, r.lang_rejected) for r in langid.predicted(docs, model).collect()}
+    assert got[3] == got[4] == ("und", 0.0, True) and langid.predicted(docs, model).columns[:6] == docs.columns
+    assert langid.predicted(none, model).count() == 0
+    assert model.predict("12 34 !?")[0] == "und" and model.predict("ß")[0] != "und"
+    assert langid.fit(none).predict("the") == ("und", 0.0, True)
+
+
+def test_language_model(spark, docs, none):
+    from pyspark.sql import functions as F
+
+    got = lm.score(docs, F.coalesce(F.col("doc_id") != 1, F.lit(True)), part_bytes=4000).collect()
+    words = [[*(r[1] or "").encode().lower().split(), "end"] for r in ROWS]
+    c, pairs, total, kinds = Counter(), Counter(), Counter(), Counter()
+    for r, w in zip(ROWS, words):
+        if r[0] != 1:
+            c.update(w)
+            pairs.update(zip(["start", *w], w))
+    for (a, _), k in pairs.items():
+        total[a] += k
+        kinds[a] += 1
+    n, v = sum(c.values()), len(c)
+
+    def p(a, b):
+        u = (c[b] + 1) / (n + v + 1)
+        return u if not total[a] else max(pairs[a, b] - 0.75, 0) / total[a] + 0.75 * kinds[a] / total[a] * u
+
+    want = sorted(((r[0] or 0), r[0] == 1, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6), round(sum(math.log10(p(a, b)) for a, b in zip(["start", *w], w)), 6)) for r, w in zip(ROWS, words))
+    assert sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
+    assert lm.score(none, F.lit(True)).count() == 0
+    assert {r.score for r in lm.score(docs, F.lit(False)).collect()} == {0.0}
+
+
+def test_language_model_is_a_distribution(spark):
+    from pyspark.sql import functions as F
+
+    base = [(i, t) for i, t in enumerate(["a b a", "b c", "a"])]
+    ask = [(10 + i, f"a {w}") for i, w in enumerate(["a", "b", "c"])] + [(20, "a"), (21, "a zzz")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(base + ask, "doc_id long, text string"), F.col("doc_id") < 10).collect()}
+    # what follows "a": each known word, the end, and the one unknown class
+    first = math.log10
+    n, v = 9, 4
+    start = (2 - 0.75) / 3 + 0.75 * 2 / 3 * (3 + 1) / (n + v + 1)
+    after_end = {w: None for w in "abc"}
+    assert got[20].score < 0 and got[20].n_known == 2 and got[21].n_known == 2
+    assert math.isclose(10 ** got[20].score, start * ((2 - 0.75) / 3 + 0.75 * 2 / 3 * (3 + 1) / (n + v + 1)), rel_tol=1e-9)
+    assert first(1) == 0 and len(after_end) == 3
+
+
+@pytest.mark.parametrize("source_conflict", [True, False])
+def test_packing(spark, docs, none, source_conflict):
+    got = packing.pack(docs, capacity=16, shard_rows=5, source_conflict=source_conflict).collect()
+    size = Counter()
+    for r in got:
+        size[r.bin_id] += r.n_tokens
+    assert max(size.values()) <= 16
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.n_tokens
+    want = Counter()
+    for r in ROWS:
+        want[r[0]] += len((r[1] or "").split())
+    assert total == want
+    texts = {r[0]: tuple((r[1] or "").lower().split()) for r in ROWS}
+    for b in size:
+        inside = [texts[r.doc_id] for r in got if r.bin_id == b and r.n_tokens]
+        assert len(inside) == len(set(inside))
+        spans = sorted((r.start, r.start + r.n_tokens) for r in got if r.bin_id == b)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    assert packing.pack(none).count() == 0
+
+
+def test_packing_takes_the_tightest_compatible_bin():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    n = 300
+    pdf = pd.DataFrame({"doc_id": [str(i) for i in range(n)], "source": rng.choice(list("aab"), n), "n_tokens": rng.integers(0, 40, n), "cluster": rng.integers(0, 60, n), "hash": rng.permutation(n)})
+    got = packing.pack_shard(pdf, 50, True)
+    room, sources, clusters, want = [], [], [], {}
+    shared = {c for c, k in Counter(pdf.cluster).items() if k > 1}
+    for i in sorted(range(n), key=lambda i: (-pdf.n_tokens[i], pdf.hash[i])):
+        k, s, c = int(pdf.n_tokens[i]), pdf.source[i], int(pdf.cluster[i])
+        fit = [room[b] for b in range(len(room)) if room[b] >= k and s not in sources[b] and not (k and c in shared and c in clusters[b])]
+        want[i] = min(fit) if fit else 50
+        b = int(got.bin[got.doc_id == str(i)].iat[0])
+        if b == len(room):
+            room.append(50), sources.append(set()), clusters.append(set())
+            assert not fit
+        assert room[b] == want[i]
+        room[b] -= k
+        sources[b].add(s)
+        clusters[b] |= {c} if k and c in shared else set()
+
+
+def test_mixing(spark, docs, none):
+    got = mixing.mix(docs, fraction=0.5)
+    assert got.columns == [*docs.columns, "topic", "n_tokens", "probability", "kept"] and got.count() == len(ROWS)
+    assert all(0 <= r.probability <= 1 for r in got.collect()) and mixing.mix(none).count() == 0
+    assert sorted(map(str, rows(mixing.mix(docs, 0.5)))) == sorted(map(str, rows(got)))
+
+
+def test_raking_meets_its_margins():
+    rng = np.random.default_rng(0)
+    keys = [k.ravel() for k in np.meshgrid(range(4), range(3), range(2), indexing="ij")]
+    cells = rng.integers(500, 1000, 24).astype(float)
+    wanted = [mixing.targets(np.bincount(k, cells) / cells.sum(), 0.8) for k in keys]
+    w = mixing.rake(cells, keys, wanted, 0.3 * cells.sum())
+    for k, share in zip(keys, wanted):
+        assert np.allclose(np.bincount(k, w) / w.sum(), share, atol=1e-6)
+    assert (w <= cells + 1e-9).all()
+
+
+def test_warc(spark, none):
+    big = "x" * 1500
+    pages = [(1, "http://a/1", big, "k"), (2, None, big, "k"), (3, "u\r\nX: y", None, "k"), (4, "", "small", "k"), (5, "e", "small", "k"), (6, "é", "é" * 600, "k"), (None, "n", big, "k"), (2, "again", "y" * 2000, "k"), (9007199254740993, "z", "é" * 600, "k")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string, payload_digest string"))
+    want = []
+    for i, url, html, _ in pages:
+        raw = (html or "").encode()
+        ids = [p[0] for p in pages if (p[2] or "").encode() == raw and p[0] is not None]
+        visit = len(raw) >= 1000 and i != max(ids)
+        want.append((str(i), len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if visit else "response", max(ids) if visit else None, None if visit else html or ""))
+    assert sorted(map(str, want)) == sorted(str((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.html)) for r in got.collect())
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_reader_refuses_damage():
+    one = warc.member(warc.record([("WARC-Type", "response")], b"hello" * 100))
+    assert [b for _, b in warc.records(one + warc.member(b"") + one)] == [b"hello" * 100] * 2
+    bad = warc.member(warc.record([("WARC-Type", "response")], b"hello").replace(b"hello", b"jello"))
+    for data in (one[:-30], bad, warc.member(b"no record\r\n\r\n")):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(data))
+
+
+def test_long_records_stay_single_members():
+    payload = np.random.default_rng(0).bytes(17 << 20)
+    m = warc.member(warc.record([("WARC-Type", "response")], payload))
+    assert m[-1] != 0
+    assert [b for _, b in warc.records(m + warc.member(b""))] == [payload]
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(2)
+    codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63, 120))]
+    codes += [(200 + i, codes[7][1]) for i in range(30)] + [(300, None), (None, 5), (7, codes[7][1])]
+    df = spark.createDataFrame(codes, "id long, code long")
+    got = rows(topk.search(df, df.where("id % 10 = 7"), k=5, segments=4))
+    known = sorted({c for c in codes if None not in c})
+    want = []
+    for q, qc in known:
+        if q % 10 == 7:
+            near = sorted((((qc ^ c) % 2**64).bit_count(), i) for i, c in known if i != q)[:5]
+            want += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert sorted(got) == sorted(want)
+    few = df.where("id < 3")
+    assert len(rows(topk.search(few, few, k=5))) == 6
+    assert rows(topk.search(df.limit(0), df.where("id = 7"), k=5)) == []
+
+
+def test_sign_codes(spark):
+    v = spark.createDataFrame([([1.0, -1.0, None, 2.0] + [0.0] * 59 + [3.0],), ([],), (None,)], "v array<float>")
+    assert [r[0] for r in v.select(topk.sign_code("v")).collect()] == [9 - (1 << 63), 0, None]
+
+
+def test_graph(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((60, 16))
+    vectors = [(i, [float(x) for x in b], i % 2) for i, b in enumerate(base)]
+    for k in range(60, 160):
+        b = base[k % 7] + rng.standard_normal(16) * 0.08
+        vectors.append((k, [float(x) for x in b], (k % 7) % 2))
+    vectors += [(200, vectors[3][1], 1), (201, vectors[3][1], None), (202, None, 1), (203, [0.0] * 16, 1), (204, [float("nan")] * 16, 1), (205, [None] + [1.0] * 15, 1), (206, [1.0] * 4, 1), (207, [], 1), (None, vectors[3][1], 1), (3, vectors[3][1], 1)]
+    schema = "vec_id long, embedding array<double>, label int, n long"
+    df = spark.createDataFrame([(*v, 1) for v in vectors], schema)
+    for shard, block in ((500, 4096), (20, 16)):
+        got = sorted(map(str, rows(graphdedup.near_duplicates(df, shard_rows=shard, block_rows=block))))
+        fit = lambda v: None not in (v[0], v[1], v[2]) and len(v[1]) and None not in v[1] and np.isfinite(v[1]).all() and np.any(v[1])
+
+        def linked(i, j):
+            a, b = vectors[i], vectors[j]
+            if not (fit(a) and fit(b) and a[2] == b[2] and len(a[1]) == len(b[1])):
+                return False
+            x, y = np.array(a[1]), np.array(b[1])
+            return bool(x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98)
+
+        n = len(vectors)
+        count = [sum(bool(linked(i, j)) for j in range(n) if j != i) for i in range(n)]
+        root = reach(n, linked)
+        least = [min((vectors[j][0] for j in range(n) if root[j] == root[i]), default=None) if vectors[i][0] is not None else None for i in range(n)]
+        assert got == sorted(str((vectors[i][0], count[i], least[i], vectors[i][0] == least[i])) for i in range(n))
+    assert graphdedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def turns():
+    call = lambda i, name, args: f'<tool_call>{{"id": "{i}", "name": "{name}", "arguments": {args}}}</tool_call>'
+    result = lambda i: f'<tool_result>{{"id": "{i}", "content": "é"}}</tool_result>'
+    return [
+        (1, 0, "user", "hello", "x"),
+        (1, 1, "assistant", "look" + call("b", "fetch", '{"url": {"$result": "a"}}') + call("a", "search", '{"query": "q", "limit": 2}'), "x"),
+        (1, 2, "tool", result("a") + result("b") + result("zz"), "x"),
+        (1, 3, "assistant", call("c", "search", '{"limit": 0}') + call("d", "none", "{}") + call("a", "search", '{"query": "q"}'), "x"),
+        (1, 4, "assistant", call("e", "fetch", '{"url": {"$result": "f"}}') + call("f", "fetch", '{"url": {"$result": "e"}}'), "x"),
+        (1, 5, "assistant", "<tool_call>not json</tool_call><tool_call>open", "x"),
+        (2, 0, "assistant", call("a", "calculate", '{"expression": "1"}'), "x"),
+        (2, 1, None, None, "x"), (None, 1, "assistant", call("a", "calculate", '{"expression": "1"}'), "x"), (None, None, "tool", result("a"), "x"),
+    ]
+
+
+def test_chat(spark):
+    df = spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string, level string")
+    got = {(r.conv_id, r.turn, r.part): (r.kind, r.call_id, r.level, r.status) for r in chat.format_chats(df).collect()}
+    assert got == {
+        (1, 0, 0): ("message", None, 0, "ok"), (1, 1, 0): ("message", None, 0, "ok"), (1, 1, 1): ("call", "b", 1, "ok"), (1, 1, 2): ("call", "a", 0, "ok"),
+        (1, 2, 0): ("result", "a", 0, "ok"), (1, 2, 1): ("result", "b", 1, "ok"), (1, 2, 2): ("result", "zz", 0, "orphan"),
+        (1, 3, 0): ("call", "c", 0, "invalid"), (1, 3, 1): ("call", "d", 0, "invalid"), (1, 3, 2): ("call", "a", 0, "duplicate"),
+        (1, 4, 0): ("call", "e", None, "cycle"), (1, 4, 1): ("call", "f", None, "cycle"), (1, 5, 0): ("call", None, 0, "invalid"), (1, 5, 1): ("message", None, 0, "ok"),
+        (2, 0, 0): ("call", "a", 0, "unanswered"), (2, 1, 0): ("message", None, 0, "ok"), (None, 1, 0): ("call", "a", 0, "unanswered"), (None, None, 0): ("result", "a", 0, "orphan"),
+    }
+    assert chat.format_chats(df.limit(0)).count() == 0
+    assert chat.canonical({"b": 1, "a": "é\n"}) == '{"a":"é\\n","b":1}'
+
+
+def test_schemas():
+    s = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "integer", "maximum": 3}}, "b": {"enum": ["x"]}}, "required": ["a"], "additionalProperties": False}
+    assert chat.violations({"a": [1, 2]}, s) == []
+    assert chat.violations({"a": [1, 9, True], "b": "y", "c": 0}, s) == ["$.a[1]: above maximum", "$.a[2]: not integer", "$.b: not in enum", "$.c: not allowed"]
+    assert chat.violations({}, s) == ["$.a: missing"] and chat.violations([], s) == ["$: not object"]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        had, kept = Counter(map(str, rows(docs))), Counter(map(str, rows(out)))
+        assert kept and not kept - had
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    left = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
+    got = Counter()
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, d).collect():
+        got[r.doc_id] += r.n_tokens
+    assert got == Counter(left)
