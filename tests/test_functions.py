@@ -1,0 +1,123 @@
+"""Functions on hand-computed values."""
+
+import datetime
+import itertools
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillmap.functions import algos as A, geometry as G, text as T
+
+
+def values(spark, rows, schema, *columns):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
+
+
+def one(spark, items, *functions):
+    return values(spark, [(i,) for i in items], "v string", *[f("v") for f in functions])
+
+
+@pytest.mark.parametrize("text, number", [
+    ("$1,234.56", 1234.56), ("(1,234.50)", -1234.5), ("USD 1,450.00", 1450.0), ("12.5%", 12.5), ("(5%)", None), ("1O2", 102.0), ("l0", 10.0), ("~7", 7.0), ("", None), (None, None), ("abc", None),
+    ("1e3", 1000.0), ("-3", -3.0), (".5", 0.5), ("1.2.3", None), ("2024-01-15", None),
+])
+def test_number(spark, text, number):
+    got = one(spark, [text], T.number)[0][0]
+    assert got == number if text != "(5%)" else got in (None, 5.0)
+
+
+def test_text(spark):
+    assert one(spark, ["ﬁn Straße “A”–b­"], T.fold)[0][0] == 'fin strasse "a"-b'
+    assert one(spark, [" a \n b "], T.squash)[0][0] == "a b"
+    assert one(spark, ["(Total:)", "...", "$5"], T.stem) == [("Total",), ("",), ("5",)]
+    assert one(spark, ["Smith-Jones 4"], T.skeleton)[0][0] == "SMTHJNS4"
+    assert one(spark, ["$l,O5B.2S"], T.ocr_digits)[0][0] == "510" + "58.25"
+    assert one(spark, ["(1,200)"], T.value_key)[0][0] == "-1200"
+    assert one(spark, ["....", "…", "a..", ". . ."], T.is_leader) == [(True,), (True,), (False,), (True,)]
+    assert one(spark, ["☑", "[ ]", "x", "maybe", None], T.checkbox) == [(True,), (False,), (True,), (None,), (None,)]
+    assert one(spark, ["totalTaxDue[3].line_item"], T.field_words)[0][0] == ["total", "tax", "due", "line", "item"]
+    assert one(spark, ["Net Total (USD) for the year", "!!"], T.snake_key) == [("net_total_usd_for",), ("field",)]
+    assert [r[0] and tuple(r[0]) for r in one(spark, ["a[1].b[22].c", "a"], T.array_path)] == [("a[1].b", 22, ".c"), None]
+
+
+def test_folded_characters_point_back(spark):
+    got = one(spark, ["ﬁx ＡB"], T.fold_mapped)[0][0]
+    assert (got.text, got.char_map, got.original) == ("fix ab", [0, 0, 1, 2, 3, 4], "ﬁx ＡB")
+    df = spark.createDataFrame([("ﬁx",)], "v string").select(T.fold_mapped("v").alias("f"))
+    assert [tuple(r[0]) for r in df.select(T.original_span("f", F.lit(1), F.lit(3))).collect()] == [(0, 2)]
+
+
+@pytest.mark.parametrize("text, date", [
+    ("15 March 2026", "2026-03-15"), ("2024-1-5", "2024-01-05"), ("01/15/2024", "2024-01-15"), ("Jan 5, 2024", "2024-01-05"), ("page 3, 2024", None), ("1850-01-01", None), ("12", None), (None, None), ("2024-13-45", None),
+])
+def test_date(spark, text, date):
+    got = one(spark, [text], T.date)[0][0]
+    assert (got and got.isoformat()) == date
+
+
+def test_flexible_dates(spark):
+    got = one(spark, ["1/2/49", "1/2/50", "31-12-2023", "Feb. 3 2020", "3 Feb 2020", "2020.2.3", "x"], T.date_flexible)
+    d = datetime.date
+    assert [g[0] for g in got] == [d(2049, 1, 2), d(1950, 1, 2), d(2023, 12, 31), d(2020, 2, 3), d(2020, 2, 3), d(2020, 2, 3), None]
+    fuzzy = one(spark, ["due on 4 July 2021 or so", "nothing"], T.date_fuzzy)
+    assert fuzzy[0][0] == d(2021, 7, 4)
+    forms = spark.range(1).select(T.date_variants(F.lit(d(2024, 3, 5)))).first()[0]
+    assert {"2024-03-05", "3/5/2024", "March 5, 2024", "5 MAR 2024", "05/03/24"} <= set(forms) and forms == sorted(set(forms))
+
+
+def test_similarity(spark):
+    pairs = [("Total", "total"), ("a-b", "ab"), ("B0", "8o"), ("12345678", "123456789"), ("abcd", "wxyz"), ("kitten", "sitting")]
+    got = [r[0] for r in values(spark, pairs, "a string, b string", T.ocr_similarity("a", "b"))]
+    assert got[:3] == [1.0, 1.0, 0.98] and math.isclose(got[3], 0.85 + 0.15 * 8 / 9) and got[4] < 0.3 and math.isclose(got[5], 8 / 13)
+
+
+def test_field_types(spark):
+    rows = [("is_paid", "str", "yes"), ("invoice_date", "str", "x"), ("total_amount", "float", "1.5"), ("account_number", "str", "77"), ("rate", "float", "2"), ("rows[0].name", "str", "Bob"), ("name", "str", "Bob"), ("name", "null", None)]
+    got = [r[0] for r in values(spark, rows, "n string, k string, v string", T.field_type("n", "k", "v"))]
+    assert got == ["boolean", "date", "currency", "identifier", "numeric", "table_cell", "string", "unknown"]
+
+
+def test_geometry(spark):
+    a, b = G.box(F.lit(0.1), F.lit(0.1), F.lit(0.2), F.lit(0.1)), G.box(F.lit(0.2), F.lit(0.1), F.lit(0.2), F.lit(0.1))
+    far = G.box(F.lit(0.8), F.lit(0.8), F.lit(0.1), F.lit(0.0))
+    got = spark.range(1).select(
+        G.iou(a, b), G.iou(a, far), G.meet(a, far), G.hull_of(F.array(a, b)), G.thousandths(a), G.edges(b), G.part(a, F.lit(1), F.lit(3), F.lit(4)), G.tall(a, 0.2),
+        G.from_points(F.lit(61.2), F.lit(79.2), F.lit(122.4), F.lit(158.4), F.lit(612.0), F.lit(792.0), True), F.size(G.padded(a)), F.size(G.shifted_rows(a)), G.from_points(F.lit(1), F.lit(1), F.lit(2), F.lit(2), F.lit(0), F.lit(9)),
+    ).first()
+    assert math.isclose(got[0], 1 / 3) and got[1] == 0 and got[2] is None
+    assert [round(x, 6) for x in got[3]] == [0.1, 0.1, 0.3, 0.1] and got[4] == [100, 100, 200, 300] and got[5] == [0.2, 0.1, 0.4, 0.2]
+    assert [round(x, 6) for x in got[6]] == [0.15, 0.1, 0.1, 0.1] and [round(x, 6) for x in got[7]] == [0.1, 0.05, 0.2, 0.2]
+    assert [round(x, 6) for x in got[8]] == [0.1, 0.8, 0.1, 0.1] and got[9] > 5 and got[10] == 28 and got[11] is None
+
+
+def test_assignment_is_cheapest():
+    rng = np.random.default_rng(0)
+    for shape in ((3, 5), (5, 3), (4, 4), (1, 1)):
+        for _ in range(20):
+            c = rng.random(shape)
+            n, m = min(shape), max(shape)
+            d = c if shape[0] <= shape[1] else c.T
+            best = min(sum(d[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
+            got = A.assignment(c)
+            assert len(got) == n and math.isclose(sum(c[i, j] for i, j in got), best)
+
+
+def test_alignments():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        s = rng.integers(0, 3, (4, 5)).astype(float)
+        best = max(sum(s[i, j] for i, j in zip(r, c)) for k in range(5) for r in itertools.combinations(range(4), k) for c in itertools.combinations(range(5), k))
+        pairs = A.monotone_pairs(s)
+        assert sum(s[i, j] for i, j in pairs) == best and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+        v = rng.integers(0, 5, 8).tolist()
+        rise = A.longest_rise(v)
+        longest = max(k for k in range(9) for c in itertools.combinations(v, k) if list(c) == sorted(c))
+        assert len(rise) == longest and [v[i] for i in rise] == sorted(v[i] for i in rise)
+    assert A.indel_ratio("", "") == 1 and A.indel_ratio("abc", "") == 0 and A.partial_ratio("abc", "xxabcxx") == 1
+    assert A.global_alignment("abc", "ac") == (1.0, [(0, 0), (1, None), (2, 1)])
+    assert A.bounded_distance("O1", "01", 0, frozenset({("O", "0")})) == 0 and A.bounded_distance("abcd", "xyz", 1) is None
+    plan = A.transport(np.array([[0.0, 1.0], [1.0, 0.0]]))
+    assert plan.argmax(axis=1).tolist() == [0, 1] and np.allclose(plan.sum(), 1)
+    assert A.solve([[1, 2], [1]], lambda i, x, j, y: x != y) == [2, 1] and A.solve([[1], [1]], lambda i, x, j, y: x != y) is None
