@@ -59,7 +59,7 @@ def line_spans(lines: DataFrame, most: int = 5) -> DataFrame:
     spans = ahead.select("doc_id", "page", "line_index", "ahead", F.explode(F.sequence(F.lit(2), F.lit(most))).alias("n")).where(F.size("ahead") >= F.col("n"))
     spans = spans.withColumn("ahead", F.slice("ahead", 1, F.col("n")))
     join = lambda k: F.array_join(F.transform("ahead", lambda r: r[k]), " ")
-    return spans.select("doc_id", "page", "line_index", F.element_at("ahead", -1)["line_index"].alias("last_line"), join("norm").alias("norm"), join("text").alias("text"), G.hull_of(F.transform("ahead", lambda r: r["box"])).alias("box"))
+    return spans.select("doc_id", "page", "line_index", F.element_at("ahead", -1)["line_index"].alias("last_line"), join("norm").alias("norm"), join("text").alias("text"), G.hull_of(F.transform("ahead", lambda r: r["box"])).alias("box"), F.transform("ahead", lambda r: r["norm"]).alias("norms"))
 
 
 def multi_line(fields: DataFrame, lines: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def multi_line(fields: DataFrame, lines: DataFrame) -> DataFrame:
     f = f.withColumn("word", T.stem(F.get(F.split("norm", " "), F.lit(0)))).select(*FIELD, "page_hint", F.col("norm").alias("wanted"), "word")
     posted = lines.select("doc_id", "page", "line_index", F.explode(F.array_distinct(F.transform("words", lambda w: T.stem(T.fold(w["text"]))))).alias("word"))
     met = f.join(posted, ["doc_id", "word"]).join(line_spans(lines), ["doc_id", "page", "line_index"])
-    met = met.where(F.col("norm").contains(F.col("wanted")))
+    met = met.where(F.col("norm").contains(F.col("wanted")) & ~F.exists("norms", lambda n: n.contains(F.col("wanted"))))
     short = met.groupBy(*FIELD, "page", "line_index").agg(F.min_by(F.struct("box", "text", "page_hint", "last_line"), "last_line").alias("m")).select(*FIELD, "page", "line_index", "m.*")
     # a span that begins a line too early has one that begins at the next as its part
     tight = short.groupBy(*FIELD, "page", "last_line").agg(F.max_by(F.struct("line_index", "box", F.col("text").alias("matched_text"), "page_hint"), "line_index").alias("m"))
