@@ -17,9 +17,11 @@ these a part builds the states and arcs that its texts can reach, and walks. So
 memory follows the size of a part or a shard, never that of the corpus, and the
 counts cover all training rows.
 
-Bigrams are sharded by both words, so a word that is a third of all tokens is
-spread too; how many continuations a context has is counted per shard and added
-up where the words are counted. Keys are XXH64 hashes of words.
+Bigrams go by a hash of both words, so a word that is a third of all tokens is
+spread too. Of the parts that have a bigram in training rows its shard names one
+its owner; each part counts the bigrams it owns by context, and these counts,
+added up with those of the words, give each context's number of continuations.
+Keys are XXH64 hashes of words, and 64-bit mixes of two of them for bigrams.
 """
 
 from __future__ import annotations
@@ -89,12 +91,16 @@ def sorted_keys(packed: bytes) -> np.ndarray:
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
-    """Counts, most of which are small."""
-    return zlib.compress(numbers.astype(np.int64).tobytes(), 1)
+    """Counts, most of which fit a byte; the others stand behind."""
+    small = zlib.compress(np.minimum(numbers, 255).astype(np.uint8).tobytes(), 1)
+    return len(small).to_bytes(4, "little") + small + numbers[numbers >= 255].astype(np.int64).tobytes()
 
 
 def numbers(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), np.int64)
+    n = int.from_bytes(packed[:4], "little")
+    out = np.frombuffer(zlib.decompress(packed[4 : 4 + n]), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(packed, np.int64, offset=4 + n) if len(packed) > 4 + n else np.zeros(0, np.int64)
+    return out
 
 
 def dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -108,7 +114,7 @@ class Part:
     """The texts of a part as tokens, numbered in the order of their keys; its distinct
     bigrams as context * width + word; and the training counts of both."""
 
-    def __init__(self, texts: list[str | None], train: np.ndarray, shards: int, bigrams: bool = True):
+    def __init__(self, texts: list[str | None], train: np.ndarray, shards: int):
         keys, at, self.n = tokens(texts)
         order = np.argsort(keys)
         rank = np.empty_like(order)
@@ -117,35 +123,58 @@ class Part:
         self.width = len(keys)
         learned = np.repeat(train, self.n)
         self.word_count = np.bincount(self.at[learned], minlength=self.width)
-        if bigrams:
-            # the training mark rides in the lowest bit, so that one plain sort counts both
-            marked = np.sort((before(self.at, self.n, self.start) * self.width + self.at) * 2 + learned)
-            pairs = marked >> 1
-            first = np.flatnonzero(np.diff(pairs, prepend=-1))
-            self.pairs = pairs[first]
-            self.pair_count = np.add.reduceat(marked & 1, first) if len(first) else first
-
-    def bigram_places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        # the training mark rides in the lowest bit, so that one plain sort counts both
+        marked = np.sort((before(self.at, self.n, self.start) * self.width + self.at) * 2 + learned)
+        pairs = marked >> 1
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        self.pairs = pairs[first]
+        self.pair_count = np.add.reduceat(marked & 1, first) if len(first) else first
+
+    def bigram_places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each shard the places of its bigrams, in the order of their keys, and those."""
         context, word = (self.keys[x] for x in np.divmod(self.pairs, self.width))
-        for shard, i in dealt(shard_of(context ^ (word * _MIX), self.shards)):
-            yield shard, i, context[i], word[i]
+        key = (context * _MIX + word) * _MIX
+        key ^= key >> np.uint64(32)
+        order = np.argsort(key)
+        for shard, i in dealt(shard_of(key[order], self.shards)):
+            yield shard, order[i], key[order[i]]
 
     def word_places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for shard, i in dealt(shard_of(self.keys, self.shards)):
             yield shard, i, self.keys[i]
 
+    def contexts(self) -> np.ndarray:
+        return self.pairs // self.width
 
-REQUEST = "part int, shard int, context binary, word binary, freq binary, kinds binary"
+
+REQUEST = "part int, shard int, word binary, freq binary, kinds binary, sums binary"
 ANSWER = "part int, shard int, kind string, total binary, kinds binary, sums binary, tokens long, words long"
 
 
-def _ask(part: Part, number: int, bigrams: bool) -> pd.DataFrame:
-    if bigrams:
-        out = [(number, s, deltas(c), w.tobytes(), squeeze(part.pair_count[i]), None) for s, i, c, w in part.bigram_places()]
-    else:
-        out = [(number, s, None, deltas(k), squeeze(part.word_count[i]), None) for s, i, k in part.word_places()]
-    return pd.DataFrame(out, columns=["part", "shard", "context", "word", "freq", "kinds"])
+def _asked(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["part", "shard", "word", "freq", "kinds", "sums"])
+
+
+def _ask_bigrams(part: Part, number: int) -> pd.DataFrame:
+    return _asked([(number, s, deltas(k), squeeze(part.pair_count[i]), None, None) for s, i, k in part.bigram_places()])
+
+
+def _bigram_totals(part: Part, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training count of each bigram of a part, and whether the part owns it."""
+    got = {int(s): x for s, k, x in zip(answers["shard"], answers["kind"], answers["total"]) if k == "bigram"}
+    total = np.zeros(len(part.pairs), np.int64)
+    for s, i, _ in part.bigram_places():
+        total[i] = numbers(got[s])
+    return total >> 1, total & 1
+
+
+def _ask_words(part: Part, number: int, answers: pd.DataFrame) -> pd.DataFrame:
+    """Words of a part: counts, and what it adds to them as contexts."""
+    _, owned = _bigram_totals(part, answers)
+    context = part.contexts()
+    kinds = np.bincount(context, owned, part.width).astype(np.int64)
+    sums = np.bincount(context, part.pair_count, part.width).astype(np.int64)
+    return _asked([(number, s, deltas(k), squeeze(part.word_count[i]), squeeze(kinds[i]), squeeze(sums[i])) for s, i, k in part.word_places()])
 
 
 def _answers(rows: list[tuple]) -> pd.DataFrame:
@@ -153,60 +182,38 @@ def _answers(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _answer_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Totals for each part in the order it asked; in part -1, for each context seen
-    in training here, its distinct continuations and its count."""
+    """For each part, in the order it asked, twice the total of each bigram, and one more for its owner."""
+    # in a fixed order, so that a task that runs again names the same owners
+    pdf = pdf.sort_values("part", ignore_index=True)
+    keys = [sorted_keys(x) for x in pdf["word"]]
+    ends = np.cumsum([len(x) for x in keys])
+    keys, count = np.concatenate(keys), np.concatenate([numbers(x) for x in pdf["freq"]])
+    by = np.argsort(keys, kind="stable")
+    ordered, learned = keys[by], count[by]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    total = np.add.reduceat(learned, first)
+    owner = np.minimum.reduceat(np.where(learned > 0, np.arange(len(by)), len(by)), first)
+    reply = 2 * np.repeat(total, np.diff(np.append(first, len(by))))
+    reply[owner[owner < len(by)]] += 1
+    each = np.empty_like(reply)
+    each[by] = reply
     shard = int(pdf["shard"].iat[0])
-    context = [sorted_keys(x) for x in pdf["context"]]
-    ends = np.cumsum([len(x) for x in context])
-    context = np.concatenate(context)
-    word = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["word"]])
-    count = np.concatenate([numbers(x) for x in pdf["freq"]])
-    both = (context * _MIX + word) * _MIX
-    by = np.argsort(both)
-    new = np.flatnonzero(np.diff(both[by], prepend=both[by[0]] - np.uint64(1)))
-    total = np.add.reduceat(count[by], new)
-    each = np.empty_like(count)
-    each[by] = np.repeat(total, np.diff(np.append(new, len(by))))
-    out = [(int(p), shard, "bigram", squeeze(x), None, None, None, None) for p, x in zip(pdf["part"], np.split(each, ends[:-1]))]
-    seen = total > 0
-    own, at = np.unique(context[by[new]][seen], return_inverse=True)
-    if len(own):
-        sums = np.bincount(at, total[seen], len(own))
-        out.append((-1, shard, "context", deltas(own), squeeze(np.bincount(at, minlength=len(own))), squeeze(sums), None, None))
-    return _answers(out)
-
-
-def _by_context(shards: int):
-    """What the shards of bigrams found about contexts, dealt by the context's key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for part, keys, kinds, sums in zip(pdf["part"], pdf["total"], pdf["kinds"], pdf["sums"]):
-                if part < 0:
-                    keys, kinds, sums = sorted_keys(keys), numbers(kinds), numbers(sums)
-                    out += [(-1, s, None, deltas(keys[i]), squeeze(sums[i]), squeeze(kinds[i])) for s, i in dealt(shard_of(keys, shards))]
-            yield pd.DataFrame(out, columns=["part", "shard", "context", "word", "freq", "kinds"])
-
-    return run
+    return _answers([(int(p), shard, "bigram", squeeze(x), None, None, None, None) for p, x in zip(pdf["part"], np.split(each, ends[:-1]))])
 
 
 def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each part, in the order asked: counts of words, then continuations and counts as
     contexts; in part -1 the number of tokens and of distinct words in training here."""
-    shard, asked = int(pdf["shard"].iat[0]), pdf["part"].to_numpy() >= 0
+    shard = int(pdf["shard"].iat[0])
     keys = [sorted_keys(x) for x in pdf["word"]]
     own, place = np.unique(np.concatenate(keys), return_inverse=True)
     places = np.split(place, np.cumsum([len(x) for x in keys])[:-1])
-    count, sums, kinds = (np.zeros(len(own), np.int64) for _ in range(3))
-    for at, ask, freq, more in zip(places, asked, pdf["freq"], pdf["kinds"]):
-        if ask:
-            count[at] += numbers(freq)
-        else:
-            sums[at] += numbers(freq)
-            kinds[at] += numbers(more)
-    out = [(int(p), shard, "word", squeeze(count[at]), squeeze(kinds[at]), squeeze(sums[at]), None, None) for p, at, ask in zip(pdf["part"], places, asked) if ask]
-    return _answers([*out, (-1, shard, "size", None, None, None, int(count.sum()), int((count > 0).sum()))])
+    sums = {c: np.zeros(len(own), np.int64) for c in ("freq", "kinds", "sums")}
+    for c, out in sums.items():
+        for at, x in zip(places, pdf[c]):
+            out[at] += numbers(x)
+    out = [(int(p), shard, "word", *(squeeze(x[at]) for x in sums.values()), None, None) for p, at in zip(pdf["part"], places)]
+    return _answers([*out, (-1, shard, "size", None, None, None, int(sums["freq"].sum()), int((sums["freq"] > 0).sum()))])
 
 
 class Automaton:
@@ -244,14 +251,13 @@ class Automaton:
 
 
 def _score(part: Part, ids: list, held: list, answers: pd.DataFrame, discount: float) -> pd.DataFrame:
-    got = {(k, int(s)): (t, a, b) for k, s, t, a, b in zip(answers["kind"], answers["shard"], answers["total"], answers["kinds"], answers["sums"])}
     tokens_, vocabulary = int(answers["all_tokens"].iat[0]), int(answers["all_words"].iat[0])
-    pair_total = np.zeros(len(part.pairs), np.int64)
+    pair_total, _ = _bigram_totals(part, answers)
+    words = answers[answers["kind"] == "word"]
+    got = {int(s): x for s, *x in zip(words["shard"], words["total"], words["kinds"], words["sums"])}
     word_total, kinds, sums = (np.zeros(part.width, np.int64) for _ in range(3))
-    for s, i, _, _ in part.bigram_places():
-        pair_total[i] = numbers(got["bigram", s][0])
     for s, i, _ in part.word_places():
-        word_total[i], kinds[i], sums[i] = map(numbers, got["word", s])
+        word_total[i], kinds[i], sums[i] = map(numbers, got[s])
     auto = Automaton(part, pair_total, word_total, kinds, sums, discount, tokens_, vocabulary)
     first = np.cumsum(part.n) - part.n
     base = np.add.reduceat(np.asarray(auto.root)[part.at], first)
@@ -278,12 +284,14 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, part_bytes: in
     shards = parts
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
 
-    def asks(bigrams: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            part = Part(pdf["text"].tolist(), pdf["train"].to_numpy(bool), shards, bigrams)
-            return _ask(part, int(pdf["part"].iat[0]), bigrams)
+    def read(pdf: pd.DataFrame) -> Part:
+        return Part(pdf["text"].tolist(), pdf["train"].to_numpy(bool), shards)
 
-        return run
+    def ask_bigrams(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _ask_bigrams(read(pdf), int(pdf["part"].iat[0]))
+
+    def ask_words(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _ask_words(read(pdf), int(pdf["part"].iat[0]), answers)
 
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -292,15 +300,12 @@ def score(docs: DataFrame, train: Column, discount: float = 0.75, part_bytes: in
         # what is under part -1 was for others
         if pdf.empty:
             return pd.DataFrame([], columns=names)
-        trained = pdf["train"].to_numpy(bool)
-        part = Part(pdf["text"].tolist(), trained, shards)
-        return _score(part, pdf["doc_id"].tolist(), (~trained).tolist(), answers, discount)
-
-    # one exchange of texts by part, and one of the bigrams' answers, serve all that reads them;
-    # filters would be pushed below and part their ways, so what a reader doesn't want it skips
-    bigrams = rows.groupBy("part").applyInPandas(asks(True), REQUEST).groupBy("shard").applyInPandas(_answer_bigrams, ANSWER).repartition(parts, "part", "shard")
-    contexts = bigrams.mapInPandas(_by_context(shards), REQUEST)
-    words = rows.groupBy("part").applyInPandas(asks(False), REQUEST).unionByName(contexts).groupBy("shard").applyInPandas(_answer_words, ANSWER)
+        held = (~pdf["train"].to_numpy(bool)).tolist()
+        return _score(read(pdf), pdf["doc_id"].tolist(), held, answers, discount)
+
+    # one exchange of the texts by part serves all three readings
+    bigrams = rows.groupBy("part").applyInPandas(ask_bigrams, REQUEST).groupBy("shard").applyInPandas(_answer_bigrams, ANSWER)
+    words = rows.groupBy("part").cogroup(bigrams.groupBy("part")).applyInPandas(ask_words, REQUEST).groupBy("shard").applyInPandas(_answer_words, ANSWER)
     size = words.where("kind = 'size'").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
     answers = bigrams.unionByName(words).withColumns({"all_tokens": size.select("tokens").scalar(), "all_words": size.select("words").scalar()})
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(finish, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
