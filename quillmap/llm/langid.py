@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmap.llm.text import encode, gram_bins
 
@@ -80,14 +80,15 @@ def fit(rows: DataFrame, sample_rows: int = 4000, dims: int = 16, epochs: int =
     out the others. Rows without a language or without a letter are ignored.
     Without usable rows every prediction is ``und``.
     """
-    usable = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    names = sorted(r.lang for r in usable.groupBy("lang").count().collect())
-    if not names:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, floor)
-    share = max(sample_rows // len(names), 1)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = [(r.doc_id,) for name in names for r in usable.where(F.col("lang") == name).select("doc_id").orderBy(*order).limit(share).collect()]
-    few = F.broadcast(rows.sparkSession.createDataFrame(sorted({x for x in ids if x[0] is not None}), "doc_id long"))
+    empty = Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, floor)
+    n = rows.where("lang is not null").select("lang").distinct().count()
+    if not n:
+        return empty
+    usable = rows.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    # the limit of a window's rank is taken in each task before the shuffle
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= max(sample_rows // n, 1)).select("doc_id", "lang").collect()
+    few = F.broadcast(rows.sparkSession.createDataFrame(sorted({tuple(r) for r in picked}), "doc_id long, lang string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,8 +100,11 @@ def fit(rows: DataFrame, sample_rows: int = 4000, dims: int = 16, epochs: int =
                     out.append((i, lang, at.astype(np.int32).tobytes(), (n[at] / n.sum()).astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "at", "part"])
 
-    got = usable.join(few, "doc_id").mapInPandas(run, "doc_id long, lang string, at binary, part binary").collect()
+    got = usable.join(few, ["doc_id", "lang"]).mapInPandas(run, "doc_id long, lang string, at binary, part binary").collect()
     got = sorted(((r.doc_id, r.lang, bytes(r.at), bytes(r.part)) for r in got))
+    if not got:
+        return empty
+    names = sorted({g[1] for g in got})
     x = [(np.frombuffer(g[2], np.int32), np.frombuffer(g[3], np.float32)) for g in got]
     y = np.array([names.index(g[1]) for g in got])
     rng = np.random.default_rng(11)
@@ -160,6 +164,3 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     return clean.mapInArrow(run, schema)
 
-
-def in_fold(remainder: Column, value: int) -> Column:
-    return F.coalesce(remainder == value, F.lit(False))
