@@ -152,20 +152,17 @@ def test_language_model(spark, docs, none):
     assert {r.score for r in lm.score(docs, F.lit(False)).collect()} == {0.0}
 
 
-def test_language_model_is_a_distribution(spark):
+def test_language_model_by_hand(spark):
     from pyspark.sql import functions as F
 
-    base = [(i, t) for i, t in enumerate(["a b a", "b c", "a"])]
-    ask = [(10 + i, f"a {w}") for i, w in enumerate(["a", "b", "c"])] + [(20, "a"), (21, "a zzz")]
-    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(base + ask, "doc_id long, text string"), F.col("doc_id") < 10).collect()}
-    # what follows "a": each known word, the end, and the one unknown class
-    first = math.log10
-    n, v = 9, 4
-    start = (2 - 0.75) / 3 + 0.75 * 2 / 3 * (3 + 1) / (n + v + 1)
-    after_end = {w: None for w in "abc"}
-    assert got[20].score < 0 and got[20].n_known == 2 and got[21].n_known == 2
-    assert math.isclose(10 ** got[20].score, start * ((2 - 0.75) / 3 + 0.75 * 2 / 3 * (3 + 1) / (n + v + 1)), rel_tol=1e-9)
-    assert first(1) == 0 and len(after_end) == 3
+    rows_ = [(i, t) for i, t in enumerate(["a b a", "b c", "a"])] + [(20, "a"), (21, "a zzz")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows_, "doc_id long, text string"), F.col("doc_id") < 10).collect()}
+    # nine tokens of four kinds (ends included); "a" begins two of three texts and ends two of its three continuations
+    one = (2 - 0.75) / 3 + 0.75 * 2 / 3 * (3 + 1) / (9 + 4 + 1)
+    assert got[20].n_known == 2 and got[21].n_known == 2 and got[21].n_tokens == 3
+    assert math.isclose(10 ** got[20].score, one * one, rel_tol=1e-9)
+    unknown, end = 0.75 * 2 / 3 / 14, (3 + 1) / 14
+    assert math.isclose(10 ** got[21].score, one * unknown * end, rel_tol=1e-9)
 
 
 @pytest.mark.parametrize("source_conflict", [True, False])
