@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillmap.functions import geometry as G, text as T
-from quillmap.operators import candidates as C, index as I, ranking as R
+from quillmap.operators import candidates as C, index as I
 from quillmap.sources import corpora as S, payload as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
