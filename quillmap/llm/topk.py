@@ -9,8 +9,9 @@ is covered, which proves that no closer code was missed, ties included.
 
 Codes that are equal are collapsed to one index row with the k smallest ids, as
 no answer needs more of them; they are found per map task before the shuffle.
-The number of segments follows the number of codes (segments about as long as
-its logarithm), as the method's analysis has it. Probes of one round are the
+The number of segments follows the number of codes, as the method's analysis
+has it; where a shell grows too large to list, the queries still open go on with
+segments half as long. Probes of one round are the
 unfinished queries times the shell's values times the segments; both tables are
 shuffled by segment and value.
 """
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillmap.llm.shared import cut
 
 BITS = 64
+#: Largest shell that is listed; beyond it segments are halved.
+MOST_SHELL = 200_000
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
@@ -39,12 +42,18 @@ def shells(width: int, radius: int) -> list[int]:
 
 
 def segments_for(n: int) -> int:
-    """Segments of 64, 32, 16 or 8 bits, at least as long as the logarithm of n in
-    base 2 where that is at most 32."""
-    width = 8
-    while width < 32 and (1 << width) < n:
-        width *= 2
-    return BITS // width
+    """Segments of 8 bits up to 2**8 codes, of 16 up to 2**28, of 32 beyond: few codes a
+    value, and shells small enough to list."""
+    return BITS // (8 if n <= 1 << 8 else 16 if n <= 1 << 28 else 32)
+
+
+def cuts(segments: int) -> Column:
+    """An array of (seg, key): the segments of column ``code``."""
+    width = BITS // segments
+    return F.array(*[
+        F.struct(F.lit(s).alias("seg"), (F.shiftrightunsigned("code", s * width) if s else F.col("code")).bitwiseAND(F.lit((1 << width) - 1)).alias("key"))
+        for s in range(segments)
+    ])
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None) -> DataFrame:
@@ -64,16 +73,11 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | No
     lists = base.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     distinct = cut(lists.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     segments = segments or segments_for(max(distinct.count(), 2))
-    width = BITS // segments
-    mask = (1 << width) - 1
-    cuts = F.array(*[
-        F.struct(F.lit(s).alias("seg"), (F.shiftrightunsigned("code", s * width) if s else F.col("code")).bitwiseAND(F.lit(mask)).alias("key"))
-        for s in range(segments)
-    ])
-    index = cut(distinct.select("code", "ids", F.inline(cuts)))
+    index = cut(distinct.select("code", "ids", F.inline(cuts(segments))))
     open_, best, radius = asked, None, 0
     while True:
-        probes = open_.select("query_id", "qcode", F.col("qcode").alias("code")).select("query_id", "qcode", F.inline(cuts))
+        width = BITS // segments
+        probes = open_.select("query_id", "qcode", F.col("qcode").alias("code")).select("query_id", "qcode", F.inline(cuts(segments)))
         # one literal, folded once, instead of thousands of expressions
         shell = F.explode(F.split(F.lit(",".join(map(str, shells(width, radius)))), ",").cast("array<bigint>"))
         probes = probes.select("query_id", "qcode", "seg", "key", shell.alias("flip")).select("query_id", "qcode", "seg", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
@@ -90,5 +94,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int | No
         radius += 1
         if radius > width or covered >= BITS or not open_.limit(1).count():
             return best.select("query_id", "rank", "id", "distance")
-        if comb(width, radius) > 200_000:
-            raise ValueError("the shell of the next radius is too large; use more segments")
+        if comb(width, radius) > MOST_SHELL:
+            # what is still open starts again on shorter segments, keeping what it has found
+            segments, radius = segments * 2, 0
+            index = cut(distinct.select("code", "ids", F.inline(cuts(segments))))

@@ -259,6 +259,15 @@ def test_long_records_stay_single_members():
     assert [b for _, b in warc.records(m + warc.member(b""))] == [payload]
 
 
+def test_topk_goes_on_with_shorter_segments(spark, monkeypatch):
+    monkeypatch.setattr(topk, "MOST_SHELL", 100)
+    rng = np.random.default_rng(5)
+    codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63, 40))]
+    got = rows(topk.search(spark.createDataFrame(codes, "id long, code long"), spark.createDataFrame(codes[:2], "id long, code long"), k=3, segments=4))
+    want = [(q, r + 1, i, d) for q, qc in codes[:2] for r, (d, i) in enumerate(sorted((((qc ^ c) % 2**64).bit_count(), i) for i, c in codes if i != q)[:3])]
+    assert sorted(got) == sorted(want)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63, 120))]
