@@ -10,8 +10,15 @@ from the shard's medoid and from its own place: it expands the most similar
 known vectors, and once inside the range expands everything in range until
 nothing new turns up. What it finds is verified in double precision.
 
-An audit compares a bounded set of vectors with all rows, in blocks; while its
-recall is under ``recall``, the graph is built anew with twice the overlap.
+A vector can have partners in shards that it is not dealt to. Two vectors of
+cosine t are sqrt(2 - 2t) apart at most, so by the Cauchy-Schwarz inequality a
+vector y with nearest centre c has none whose nearest centre is d unless
+y.d >= y.c - sqrt(2 - 2t) |c - d|. Where this holds, the vector is compared with
+all vectors at home in that shard, so dealing loses no link, whatever the overlap.
+
+An audit compares vectors of each label with all rows, in blocks; where its
+recall is under ``recall``, all vectors of the label are compared in this way
+instead of by searches.
 
 Equal vectors are collapsed first. Shards over ``block_rows`` rows are cut into
 blocks by a hash, and every block of searches meets every block of the shard,
@@ -172,9 +179,15 @@ def centres(rows: DataFrame, shard_rows: int) -> dict[tuple, np.ndarray]:
     return found
 
 
-def spread(rows: DataFrame, found: dict[tuple, np.ndarray], overlap: int) -> DataFrame:
-    """A row for each vector and shard it belongs to; ``home`` marks the nearest."""
+#: Beyond the rounding of cosines of unit vectors.
+SLACK = 1e-9
+
+
+def spread(rows: DataFrame, found: dict[tuple, np.ndarray], overlap: int, threshold: float) -> DataFrame:
+    """A row for each vector and shard it belongs to; ``home`` marks the nearest, ``extra``
+    the shards beyond the ``overlap`` nearest at home in which there can be a partner."""
     held = rows.sparkSession.sparkContext.broadcast(found)
+    apart = float(np.sqrt(max(2 - 2 * threshold, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,19 +196,39 @@ def spread(rows: DataFrame, found: dict[tuple, np.ndarray], overlap: int) -> Dat
             for (label, dims), g in pdf.groupby(["label", "dims"]):
                 c = held.value.get((label, dims))
                 at = np.zeros((len(g), 1), np.int64)
+                far = []
                 if c is not None:
                     s = unit(g["embedding"]) @ c.T
                     k = min(overlap, s.shape[1])
                     at = np.argpartition(-s, k - 1, axis=1)[:, :k]
                     at = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+                    far = _beyond(s, at, c, apart)
                 for k in range(at.shape[1]):
-                    out.append(g.assign(shard=at[:, k].astype(np.int32), home=k == 0))
+                    out.append(g.assign(shard=at[:, k].astype(np.int32), home=k == 0, extra=False))
+                for who, what in far:
+                    if out:
+                        yield pa.RecordBatch.from_pandas(pd.concat(out), schema, preserve_index=False)
+                    out = [g.iloc[who].assign(shard=what.astype(np.int32), home=False, extra=True)]
             if out:
                 yield pa.RecordBatch.from_pandas(pd.concat(out), schema, preserve_index=False)
 
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("label", _arrow(rows, "label")), ("dims", pa.int32()), ("embedding", pa.list_(pa.float64())), ("shard", pa.int32()), ("home", pa.bool_())])
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("label", _arrow(rows, "label")), ("dims", pa.int32()), ("embedding", pa.list_(pa.float64())), ("shard", pa.int32()), ("home", pa.bool_()), ("extra", pa.bool_())])
     kind = rows.schema["label"].dataType.simpleString()
-    return rows.select("rep", "n", "label", "dims", "embedding").mapInArrow(run, f"rep long, n long, label {kind}, dims int, embedding array<double>, shard int, home boolean")
+    return rows.select("rep", "n", "label", "dims", "embedding").mapInArrow(run, f"rep long, n long, label {kind}, dims int, embedding array<double>, shard int, home boolean, extra boolean")
+
+
+def _beyond(s: np.ndarray, at: np.ndarray, c: np.ndarray, apart: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and centres, not among the row's ``at``, that the bound can't tell apart."""
+    step = max(1, (1 << 14) // len(c))
+    for lo in range(0, len(s), step):
+        part, mine = s[lo : lo + step], at[lo : lo + step]
+        first = mine[:, :1]
+        gap = np.sqrt(np.maximum((c * c).sum(1)[None, :] + (c * c).sum(1)[first] - 2 * c[first[:, 0]] @ c.T, 0))
+        need = part >= np.take_along_axis(part, first, 1) - apart * gap - SLACK
+        np.put_along_axis(need, mine, False, axis=1)
+        who, what = np.nonzero(need)
+        if len(who):
+            yield who + lo, what
 
 
 def _arrow(rows: DataFrame, column: str) -> pa.DataType:
@@ -207,7 +240,8 @@ def _arrow(rows: DataFrame, column: str) -> pa.DataType:
 def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, block_rows: int) -> DataFrame:
     """Per search (a, n null-free, b null) its number of links; per forest edge (a, b, n null)."""
     key = ["label", "dims", "shard"]
-    members = spread(rows, centres(rows, shard_rows), overlap)
+    every = cut(spread(rows, centres(rows, shard_rows), overlap, threshold))
+    members = every.where("not extra").drop("extra")
     large = members.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > block_rows)
     blocks = large.select(*key, F.ceil(F.col("size") / block_rows).cast("int").alias("blocks"))
     members = members.join(blocks, key, "left").fillna(1, ["blocks"])
@@ -255,7 +289,46 @@ def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int
                 out += [(i, j, None) for i, j in forest(qids[part][a], ids[b])]
         return pd.DataFrame(out, columns=["a", "b", "n"], dtype=object).astype("Int64")
 
-    return both.groupBy(*key, "block", "searches").applyInPandas(search, "a long, b long, n long")
+    searched = both.groupBy(*key, "block", "searches").applyInPandas(search, "a long, b long, n long")
+    return searched.union(compared(every.where("home"), every.where("extra"), threshold, block_rows))
+
+
+def compared(asked: DataFrame, others: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """What ``found_links`` gives, by comparing all of ``asked`` with all of ``others`` of the same shard."""
+    key = ["label", "dims", "shard"]
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    counts = cut(blocks(asked, "na").join(blocks(others, "nb"), key))
+
+    def dealt(df: DataFrame, own: str, met: str, asks: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("rep"), F.col(f"n{own}")).cast("int")
+        df = df.join(counts, key).withColumn(own, mine).withColumn(met, F.explode(F.sequence(F.lit(0), F.col(f"n{met}") - 1)))
+        return df.select(*key, "a", "b", "rep", "n", "embedding", F.lit(asks).alias("asks"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy(bool)
+        queries, rest = pdf[asks], pdf[~asks]
+        out = []
+        if len(queries) and len(rest):
+            qids, ids, weight = queries["rep"].to_numpy(), rest["rep"].to_numpy(), rest["n"].to_numpy(np.int64)
+            q, x = unit(queries["embedding"]), unit(rest["embedding"])
+            for lo in range(0, len(q), 512):
+                hits = (q[lo : lo + 512] @ x.T >= threshold) & (qids[lo : lo + 512, None] != ids[None, :])
+                out += [(i, None, k) for i, k in zip(qids[lo : lo + 512].tolist(), (hits @ weight).tolist()) if k]
+                a, b = np.nonzero(hits)
+                out += [(i, j, None) for i, j in forest(qids[lo : lo + 512][a], ids[b])]
+        return pd.DataFrame(out, columns=["a", "b", "n"], dtype=object).astype("Int64")
+
+    both = dealt(asked, "a", "b", True).union(dealt(others, "b", "a", False))
+    return both.groupBy(*key, "a", "b").applyInPandas(meet, "a long, b long, n long")
+
+
+def exact_links(rows: DataFrame, threshold: float, shard_rows: int, block_rows: int) -> DataFrame:
+    """What ``found_links`` gives, without searches: every vector is compared with all that can be its partners."""
+    every = cut(spread(rows, centres(rows, shard_rows), 1, threshold))
+    return compared(every.where("home"), every, threshold, block_rows)
 
 
 def audit(rows: DataFrame, counts: DataFrame, threshold: float, most: int = 256) -> tuple[int, int]:
@@ -293,13 +366,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int =
     own = cut(own.withColumn("fit", usable("embedding", "label") & F.col("vec_id").isNotNull()))
     copies = own.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     rows = cut(copies.withColumn("dims", F.size("embedding")))
-    while True:
-        found = cut(found_links(rows, threshold, overlap, shard_rows, block_rows))
+    found = cut(found_links(rows, threshold, overlap, shard_rows, block_rows))
+    counts = cut(found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")))
+    got, there = audit(rows, counts, threshold)
+    if got < recall * there:
+        found = cut(exact_links(rows, threshold, shard_rows, block_rows))
         counts = cut(found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")))
-        got, there = audit(rows, counts, threshold)
-        if got >= recall * there or overlap >= 64:
-            break
-        overlap *= 2
     nodes = components(found.where("b is not null"))
     info = rows.join(counts, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
     info = info.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))

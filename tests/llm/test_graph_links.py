@@ -1,0 +1,33 @@
+"""Numbers of links in groups of many centres against brute force."""
+
+import numpy as np
+
+from quillmap.llm import graphdedup
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def brute_force(vectors):
+    """n_links by id."""
+    want = {}
+    for label in {v[2] for v in vectors}:
+        ids = [v[0] for v in vectors if v[2] == label]
+        x = np.array([v[1] for v in vectors if v[2] == label])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want |= dict(zip(ids, ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist()))
+    return want
+
+
+def near(rng, n, spread=0.018):
+    centre = rng.standard_normal(64)
+    return centre / np.linalg.norm(centre) + rng.standard_normal((n, 64)) * spread
+
+
+def linked(spark, vectors, **how):
+    return {r.vec_id: r.n_links for r in graphdedup.near_duplicates(spark.createDataFrame(vectors, SCHEMA), **how).collect()}
+
+
+def test_a_group_of_more_centres_than_any_overlap(spark):
+    vectors = [(i, v.tolist(), 0) for i, v in enumerate(near(np.random.default_rng(8), 1500, 0.0178))]
+    want = brute_force(vectors)
+    assert sum(want.values()) > 10_000 and linked(spark, vectors, shard_rows=15, block_rows=1024) == want
