@@ -16,9 +16,9 @@ vector y with nearest centre c has none whose nearest centre is d unless
 y.d >= y.c - sqrt(2 - 2t) |c - d|. Where this holds, the vector is compared with
 all vectors at home in that shard, so dealing loses no link, whatever the overlap.
 
-An audit compares vectors of each label with all rows, in blocks; where its
-recall is under ``recall``, all vectors of the label are compared in this way
-instead of by searches.
+An audit compares some vectors of each shard, first of all those with most links,
+with all members; where its recall is under ``recall``, all vectors at home in the
+shard are compared in this way instead of by searches.
 
 Equal vectors are collapsed first. Shards over ``block_rows`` rows are cut into
 blocks by a hash, and every block of searches meets every block of the shard,
@@ -44,6 +44,8 @@ DEGREE, POOL, ALPHA = 24, 64, 1.2
 #: Expansions of the greedy part of a search.
 STEPS = 16
 PAIRS = 1 << 16
+#: Vectors audited in a shard: this many with most links and as many by a hash.
+SLICES = 8
 
 
 def usable(embedding: str, label: str) -> Column:
@@ -237,7 +239,7 @@ def _arrow(rows: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(rows.schema[column].dataType)
 
 
-def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, block_rows: int) -> DataFrame:
+def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, block_rows: int, recall: float) -> DataFrame:
     """Per search (a, n null-free, b null) its number of links; per forest edge (a, b, n null)."""
     key = ["label", "dims", "shard"]
     every = cut(spread(rows, centres(rows, shard_rows), overlap, threshold))
@@ -289,8 +291,15 @@ def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int
                 out += [(i, j, None) for i, j in forest(qids[part][a], ids[b])]
         return pd.DataFrame(out, columns=["a", "b", "n"], dtype=object).astype("Int64")
 
+    home = every.where("home")
     searched = both.groupBy(*key, "block", "searches").applyInPandas(search, "a long, b long, n long")
-    return searched.union(compared(every.where("home"), every.where("extra"), threshold, block_rows))
+    searched = cut(searched.union(compared(home, every.where("extra"), threshold, block_rows)))
+    failed = cut(missed(home, every, searched, threshold, block_rows, recall))
+    if not failed.limit(1).count():
+        return searched
+    anew = cut(home.join(failed, key))
+    kept = searched.join(anew.select(F.col("rep").alias("a")), "a", "left_anti")
+    return kept.union(compared(anew, every.join(failed, key, "left_semi"), threshold, block_rows))
 
 
 def compared(asked: DataFrame, others: DataFrame, threshold: float, block_rows: int) -> DataFrame:
@@ -325,31 +334,22 @@ def compared(asked: DataFrame, others: DataFrame, threshold: float, block_rows:
     return both.groupBy(*key, "a", "b").applyInPandas(meet, "a long, b long, n long")
 
 
-def exact_links(rows: DataFrame, threshold: float, shard_rows: int, block_rows: int) -> DataFrame:
-    """What ``found_links`` gives, without searches: every vector is compared with all that can be its partners."""
-    every = cut(spread(rows, centres(rows, shard_rows), 1, threshold))
-    return compared(every.where("home"), every, threshold, block_rows)
+def missed(home: DataFrame, every: DataFrame, searched: DataFrame, threshold: float, block_rows: int, recall: float) -> DataFrame:
+    """The shards in which searches found under ``recall`` of the links of audited vectors.
 
-
-def audit(rows: DataFrame, counts: DataFrame, threshold: float, most: int = 256) -> tuple[int, int]:
-    """Links found and links there are, of at most ``most`` vectors against all rows."""
-    asked = counts.orderBy(F.xxhash64("rep"), "rep").limit(most)
-    picked = rows.join(F.broadcast(asked), "rep").select("rep", "label", "dims", "embedding", "links").toPandas()
-    held = rows.sparkSession.sparkContext.broadcast(picked)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = 0
-        for pdf in batches:
-            for (label, dims), q in held.value.groupby(["label", "dims"]):
-                g = pdf[(pdf["label"] == label) & (pdf["dims"] == dims)]
-                if len(g):
-                    hit = unit(q["embedding"]) @ unit(g["embedding"]).T >= threshold
-                    hit &= q["rep"].to_numpy()[:, None] != g["rep"].to_numpy()[None, :]
-                    total += int((hit @ g["n"].to_numpy()).sum())
-        yield pd.DataFrame({"n": [total]})
-
-    there = rows.select("rep", "n", "label", "dims", "embedding").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
-    return int(picked["links"].sum()), int(there)
+    Of the vectors at home in a shard, those that found most links in each of
+    ``SLICES`` slices and one of each slice by a hash are compared with all members.
+    """
+    key = ["label", "dims", "shard"]
+    links = searched.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    known = cut(home.join(links, "rep", "left").fillna(0, ["links"]))
+    hashed = F.xxhash64("rep")
+    picked = known.groupBy(*key, F.pmod(hashed, F.lit(SLICES))).agg(F.max(F.struct("links", "rep")).alias("most"), F.min(F.struct(hashed, "rep")).alias("any"))
+    picked = picked.select(F.explode(F.array("most.rep", "any.rep")).alias("rep")).distinct()
+    asked = cut(known.join(picked, "rep"))
+    there = compared(asked, every, threshold, block_rows).where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("there"))
+    cells = asked.join(there, "rep", "left").groupBy(*key).agg(F.sum("links").alias("links"), F.sum("there").alias("there"))
+    return cells.where(F.col("links") < F.lit(recall) * F.col("there")).select(*key)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int = 4, shard_rows: int = SHARD_ROWS, block_rows: int = 4096, recall: float = 0.999) -> DataFrame:
@@ -366,12 +366,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int =
     own = cut(own.withColumn("fit", usable("embedding", "label") & F.col("vec_id").isNotNull()))
     copies = own.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     rows = cut(copies.withColumn("dims", F.size("embedding")))
-    found = cut(found_links(rows, threshold, overlap, shard_rows, block_rows))
+    found = cut(found_links(rows, threshold, overlap, shard_rows, block_rows, recall))
     counts = cut(found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")))
-    got, there = audit(rows, counts, threshold)
-    if got < recall * there:
-        found = cut(exact_links(rows, threshold, shard_rows, block_rows))
-        counts = cut(found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")))
     nodes = components(found.where("b is not null"))
     info = rows.join(counts, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
     info = info.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))

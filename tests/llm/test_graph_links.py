@@ -1,6 +1,7 @@
 """Numbers of links in groups of many centres against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillmap.llm import graphdedup
 
@@ -31,3 +32,18 @@ def test_a_group_of_more_centres_than_any_overlap(spark):
     vectors = [(i, v.tolist(), 0) for i, v in enumerate(near(np.random.default_rng(8), 1500, 0.0178))]
     want = brute_force(vectors)
     assert sum(want.values()) > 10_000 and linked(spark, vectors, shard_rows=15, block_rows=1024) == want
+
+
+def test_the_audit_reaches_a_group_that_a_hash_over_the_table_does_not(spark, monkeypatch):
+    def finds_nothing(x, first, to, q, own, threshold):
+        return np.zeros((len(q), len(x)), bool)
+
+    monkeypatch.setattr(graphdedup, "range_search", finds_nothing)
+    ids = [r.id for r in spark.range(1, 800).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = np.random.default_rng(9)
+    # the first 300 ids by the hash have no link
+    vectors = [(i, v.tolist(), 1 + k % 10) for k, (i, v) in enumerate(zip(ids[:300], rng.standard_normal((300, 64))))]
+    vectors += [(i, v.tolist(), 0) for i, v in zip(ids[-120:], near(rng, 120, 0.0178))]
+    want = brute_force(vectors)
+    assert sum(want.values()) > 100 and sum(want[i] for i in ids[:300]) == 0
+    assert linked(spark, vectors, shard_rows=40) == want
