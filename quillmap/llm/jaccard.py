@@ -1,0 +1,169 @@
+"""Near copies by the Jaccard similarity of word shingles.
+
+Two texts link if the sets of their shingles have a Jaccard similarity of at
+least ``similarity``; groups are the components of links. Candidates share one
+of 32 bands of four min-hashes each: at similarity 0.8 a pair shares none with
+a probability of 5e-8, less above. Every candidate is verified on the whole
+sets, so nothing below the similarity links.
+
+Equal sets are collapsed first. In each band the members are compared with the
+least and then with the largest; only members that are still in different
+components are then compared with each other, so a large group of near copies
+costs rows in proportion to its members.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from quillmap.llm.components import components
+from quillmap.llm.shared import cut
+from quillmap.llm.text import lower_words
+
+BANDS, DEPTH = 32, 4
+#: Shingles min-hashed at once.
+BLOCK = 1 << 12
+
+_RNG = np.random.default_rng(11)
+_TIMES, _PLUS = (_RNG.integers(0, 2**64, (BANDS * DEPTH, 1), np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+_MIX = _RNG.integers(0, 2**64, (BANDS, DEPTH), np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the word shingles of a whole text; of fewer words, all in one."""
+    words = lower_words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    if len(words) >= width:
+        starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[i:j]) for i, j in zip(starts.tolist(), ends.tolist())], np.uint64))
+
+
+def name(hashes: np.ndarray) -> int:
+    """Signed 64-bit name of a set."""
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes()) - (1 << 63)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The band keys of a set; none for the empty one."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * DEPTH, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), BLOCK):
+        least = np.minimum(least, (hashes[k : k + BLOCK] * _TIMES + _PLUS).min(axis=1))
+    mixed = least.reshape(BANDS, DEPTH)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
+    return (mixed ^ (mixed >> np.uint64(29))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def prints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, name, size, bands) of every row, from its whole text; null text is empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("name", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, keys = [], [], []
+            for x in batch.column("text").to_pylist():
+                s = shingles(x, width)
+                names.append(name(s))
+                sizes.append(len(s))
+                keys.append(bands(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, name long, size long, bands array<long>")
+
+
+def links(docs: DataFrame, distinct: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Pairs (a, b) of names that link and join all groups, not every pair of a group.
+
+    ``distinct`` has one row (name, size, bands) for each set of ``docs``.
+    """
+    members = distinct.select("name", "size", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least < most")
+    members = cut(members.join(shared, "band"))
+    sizes = distinct.select("name", "size")
+
+    @F.pandas_udf("long")
+    def named(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: name(shingles(x, width)))
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: shingles(x, width).tobytes())
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> bool:
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / (len(x) + len(y) - both) >= similarity
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    wanted = members.select("name").distinct()
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("name", named("text")).join(wanted, "name", "left_semi").dropDuplicates(["name"])
+    sets = cut(texts.select("name", packed("text").alias("set")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+        pairs = pairs.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 0.5).select("a", "b")
+        return cut(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").where(alike("sa", "sb")).select("a", "b"))
+
+    def rooted(found: DataFrame) -> DataFrame:
+        roots = components(found).toDF("name", "component")
+        return cut(members.join(roots, "name", "left").withColumn("root", F.coalesce("component", "name")))
+
+    found = verified(members.where("name > least").select(F.col("least").alias("a"), F.col("name").alias("b")))
+    now = rooted(found)
+    top = now.where("name = most").select("band", F.col("root").alias("of_most"))
+    found = found.union(verified(now.where("name < most").join(top, "band").where("root <> of_most").select(F.col("name").alias("a"), F.col("most").alias("b"))))
+    # what has met the least and the largest of its band is done with them
+    now = rooted(found).where("name > least and name < most").select("band", "name", "root")
+    open_ = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    now = cut(now.join(open_, "band"))
+    roots = now.select("band", "root").distinct()
+    apart = roots.toDF("band", "ra").join(roots.toDF("band", "rb"), "band").where("ra < rb")
+    pairs = apart.join(now.toDF("band", "a", "ra"), ["band", "ra"]).join(now.toDF("band", "b", "rb"), ["band", "rb"])
+    return found.union(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each group stays.
+
+    The row with the smallest id stays, nulls last; of rows of a group that
+    repeat this id an arbitrary one. Rows are told by their id and text, so an id
+    that repeats in another group is no matter. Texts without a word are one
+    group. All columns are returned as they are.
+    """
+    found = cut(prints(docs, width))
+    distinct = cut(found.groupBy("name").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = components(links(docs, distinct.drop("least"), width, similarity)).toDF("name", "component")
+    grouped = distinct.select("name", "least").join(nodes, "name", "left").withColumn("root", F.coalesce("component", "name"))
+    # without an id the least is null, which comes last
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "name")).alias("best"))
+    stay = cut(best.select(F.col("best.least").alias("__id"), F.col("best.name").alias("__name")))
+
+    @F.pandas_udf("long")
+    def named(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: name(shingles(x, width)))
+
+    marked = docs.withColumn("__name", named(F.col("text").cast("string"))).withColumn("__id", F.col("doc_id").cast("long"))
+    same = F.col("d.__id").eqNullSafe(F.col("s.__id")) & (F.col("d.__name") == F.col("s.__name"))
+    kept = marked.alias("d").join(stay.alias("s"), same, "left_semi")
+    repeated = found.join(stay.select("__id", F.col("__name").alias("name")), "name").where(F.col("doc_id").eqNullSafe(F.col("__id"))).groupBy("name").count().where("count > 1").limit(1).count()
+    if repeated:
+        kept = kept.dropDuplicates(["__name"])
+    return kept.select(*docs.columns)
