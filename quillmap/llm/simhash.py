@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -110,35 +109,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, distance: i
 def hex_digits(column: str) -> Column:
     """16 lower-case hex digits of a long."""
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
-
-
-def keep_one(docs: DataFrame, width: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one row of each group stays.
-
-    The row with the smallest id stays; of rows that repeat an id, and of rows
-    with a null id where the group has no other, an arbitrary one. All columns
-    are returned as they are.
-    """
-    found = cut(near_duplicates(docs, width, seed, distance))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = stay.where("n > 1").limit(1).count() > 0
-    kept = docs.join(stay.select(F.col("doc_id").alias("__kept")), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    lone = found.where("component_id is null")
-    if lone.limit(1).count():
-        kept = kept.unionByName(_one_of_each(docs.where("doc_id is null"), lone, width, seed, distance))
-    return kept
-
-
-def _one_of_each(rows: DataFrame, lone: DataFrame, width: int, seed: int, distance: int) -> DataFrame:
-    """One row for each group in which no row has an id."""
-
-    @F.pandas_udf("long")
-    def code(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: fingerprint(x, width, seed))
-
-    nodes = components(links(lone.select("fp").distinct(), distance)).withColumnRenamed("node", "__fp")
-    marked = rows.withColumn("__fp", code(F.col("text").cast("string"))).join(lone.select(F.col("fp").alias("__fp")).distinct(), "__fp", "left_semi")
-    marked = marked.join(nodes, "__fp", "left").withColumn("__root", F.coalesce("component", "__fp"))
-    return marked.dropDuplicates(["__root"]).select(*rows.columns)

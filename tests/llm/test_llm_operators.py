@@ -82,13 +82,6 @@ def test_simhash_links_are_all_pairs_within_three_bits(spark):
     assert found == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % 2**64).bit_count() <= 3}
 
 
-def test_keep_one(docs):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    # the empty text and the null have fingerprint zero both
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (False, 5), (False, 7), (False, 9007199254740993), (True, None)]
-
-
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0), (5, 1), (5, None), (None, 1), (99, 0)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
