@@ -17,8 +17,9 @@ y.d >= y.c - sqrt(2 - 2t) |c - d|. Where this holds, the vector is compared with
 all vectors at home in that shard, so dealing loses no link, whatever the overlap.
 
 An audit compares some vectors of each shard, first of all those with most links,
-with all members; where its recall is under ``recall``, all vectors at home in the
-shard are compared in this way instead of by searches.
+with all members; where its recall is under ``recall`` (by default: where one link is
+missing), all vectors at home in the shard are compared in this way instead of by
+searches. Each row carries the recall that the audit of its shard measured.
 
 Equal vectors are collapsed first. Shards over ``block_rows`` rows are cut into
 blocks by a hash, and every block of searches meets every block of the shard,
@@ -41,8 +42,10 @@ from quillmap.llm.shared import cut
 #: Home vectors per shard to aim at; the number of centres, and so the size of what is broadcast, has a bound.
 SHARD_ROWS, MOST_CENTRES = 500, 16384
 DEGREE, POOL, ALPHA = 24, 64, 1.2
-#: Expansions of the greedy part of a search.
-STEPS = 16
+#: Entry points of a block: its medoid and rows far from it and from each other.
+ENTRIES = 8
+#: The greedy part of a search goes on while one of so many best known rows is not expanded.
+BEAM = 12
 PAIRS = 1 << 16
 #: Vectors audited in a shard: this many with most links and as many by a hash.
 SLICES = 8
@@ -93,6 +96,16 @@ def _in_blocks(x: np.ndarray, near: np.ndarray) -> np.ndarray:
     return np.concatenate([np.sqrt(np.maximum(2 - 2 * np.einsum("nd,npd->np", x[i : i + step], x[near[i : i + step]]), 0)) for i in range(0, len(x), step)])
 
 
+def entries(x: np.ndarray) -> list[int]:
+    """The medoid, then each time the row least like all entries so far."""
+    found = [int((x @ x.mean(axis=0)).argmax())]
+    like = x @ x[found[0]]
+    while len(found) < min(ENTRIES, len(x)):
+        found.append(int(like.argmin()))
+        like = np.maximum(like, x @ x[found[-1]])
+    return found
+
+
 def range_search(x: np.ndarray, first: np.ndarray, to: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
     """For each query the rows of x found with cosine >= threshold (a matrix of booleans).
 
@@ -120,15 +133,18 @@ def range_search(x: np.ndarray, first: np.ndarray, to: np.ndarray, q: np.ndarray
             learn(np.repeat(who[part], w), to[at])
 
     everyone = np.arange(m)
-    learn(everyone, np.full(m, int((x @ x.mean(axis=0)).argmax())))
+    for entry in entries(x):
+        learn(everyone, np.full(m, entry))
     learn(everyone[own >= 0], own[own >= 0])
-    for _ in range(STEPS):
-        open_ = np.where(done, -np.inf, known)
+    busy, beam = everyone, min(BEAM, n)
+    while len(busy):
+        rows = known[busy]
+        open_ = np.where(done[busy], -np.inf, rows)
         best = open_.argmax(axis=1)
-        go = np.flatnonzero(~np.isneginf(open_[everyone, best]))
-        if not len(go):
-            break
-        expand(go, best[go])
+        top = open_[np.arange(len(busy)), best]
+        go = ~np.isneginf(top) & (top >= np.partition(rows, n - beam, axis=1)[:, n - beam])
+        busy, best = busy[go], best[go]
+        expand(busy, best)
     while True:
         who, what = np.nonzero((known >= threshold) & ~done)
         if not len(who):
@@ -239,8 +255,9 @@ def _arrow(rows: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(rows.schema[column].dataType)
 
 
-def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, block_rows: int, recall: float) -> DataFrame:
-    """Per search (a, n null-free, b null) its number of links; per forest edge (a, b, n null)."""
+def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, block_rows: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Per search (a, n null-free, b null) its number of links; per forest edge (a, b, n null).
+    Then (rep, recall): what the audit of the vector's shard measured."""
     key = ["label", "dims", "shard"]
     every = cut(spread(rows, centres(rows, shard_rows), overlap, threshold))
     members = every.where("not extra").drop("extra")
@@ -294,12 +311,14 @@ def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int
     home = every.where("home")
     searched = both.groupBy(*key, "block", "searches").applyInPandas(search, "a long, b long, n long")
     searched = cut(searched.union(compared(home, every.where("extra"), threshold, block_rows)))
-    failed = cut(missed(home, every, searched, threshold, block_rows, recall))
+    audit = cut(audited(home, every, searched, threshold, block_rows))
+    measured = home.join(audit, key).select("rep", "recall")
+    failed = audit.where(F.col("recall") < recall).select(*key)
     if not failed.limit(1).count():
-        return searched
+        return searched, measured
     anew = cut(home.join(failed, key))
     kept = searched.join(anew.select(F.col("rep").alias("a")), "a", "left_anti")
-    return kept.union(compared(anew, every.join(failed, key, "left_semi"), threshold, block_rows))
+    return kept.union(compared(anew, every.join(failed, key, "left_semi"), threshold, block_rows)), measured
 
 
 def compared(asked: DataFrame, others: DataFrame, threshold: float, block_rows: int) -> DataFrame:
@@ -334,8 +353,8 @@ def compared(asked: DataFrame, others: DataFrame, threshold: float, block_rows:
     return both.groupBy(*key, "a", "b").applyInPandas(meet, "a long, b long, n long")
 
 
-def missed(home: DataFrame, every: DataFrame, searched: DataFrame, threshold: float, block_rows: int, recall: float) -> DataFrame:
-    """The shards in which searches found under ``recall`` of the links of audited vectors.
+def audited(home: DataFrame, every: DataFrame, searched: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(label, dims, shard, recall): the share of the links of audited vectors that searches found.
 
     Of the vectors at home in a shard, those that found most links in each of
     ``SLICES`` slices and one of each slice by a hash are compared with all members.
@@ -349,29 +368,32 @@ def missed(home: DataFrame, every: DataFrame, searched: DataFrame, threshold: fl
     asked = cut(known.join(picked, "rep"))
     there = compared(asked, every, threshold, block_rows).where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("there"))
     cells = asked.join(there, "rep", "left").groupBy(*key).agg(F.sum("links").alias("links"), F.sum("there").alias("there"))
-    return cells.where(F.col("links") < F.lit(recall) * F.col("there")).select(*key)
+    share = F.when(F.coalesce("there", F.lit(0)) > 0, F.col("links") / F.col("there")).otherwise(1.0)
+    return cells.select(*key, share.alias("recall"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int = 4, shard_rows: int = SHARD_ROWS, block_rows: int = 4096, recall: float = 0.999) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label).
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int = 4, shard_rows: int = SHARD_ROWS, block_rows: int = 4096, recall: float = 1.0) -> DataFrame:
+    """(vec_id, n_links, component_id, recall, kept) for each row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors link if their labels are equal and their cosine in double
     precision is at least ``threshold``. A vector that is null, empty, zero or
     has a null or non-finite component, a null label or a null id links with
     nothing and is its own component. Vectors of different length never link.
-    Rows that repeat an id count as vectors of their own. An empty table gives an
-    empty table; other columns are ignored.
+    Rows that repeat an id count as vectors of their own; ids are integers. ``recall`` is
+    what the audit of the vector's shard measured before it was compared exactly, null
+    where a vector can't link. An empty table gives an empty table; other columns are ignored.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     own = cut(own.withColumn("fit", usable("embedding", "label") & F.col("vec_id").isNotNull()))
     copies = own.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     rows = cut(copies.withColumn("dims", F.size("embedding")))
-    found = cut(found_links(rows, threshold, overlap, shard_rows, block_rows, recall))
+    found, measured = found_links(rows, threshold, overlap, shard_rows, block_rows, recall)
+    found = cut(found)
     counts = cut(found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")))
     nodes = components(found.where("b is not null"))
-    info = rows.join(counts, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    linked = own.where("fit").join(info, ["label", "embedding"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    alone = own.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    info = rows.join(counts, "rep", "left").join(nodes.withColumnRenamed("node", "rep"), "rep", "left").join(measured, "rep", "left")
+    info = info.select("label", "embedding", "recall", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    linked = own.where("fit").join(info, ["label", "embedding"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), "recall")
+    alone = own.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
     both = linked.union(alone)
     return both.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

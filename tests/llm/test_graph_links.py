@@ -47,3 +47,19 @@ def test_the_audit_reaches_a_group_that_a_hash_over_the_table_does_not(spark, mo
     want = brute_force(vectors)
     assert sum(want.values()) > 100 and sum(want[i] for i in ids[:300]) == 0
     assert linked(spark, vectors, shard_rows=40) == want
+
+
+def test_clusters_in_shards_over_a_block(spark):
+    rng = np.random.default_rng(12)
+    vectors = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([near(rng, 40, 0.0165) for _ in range(240)]))]
+    want = brute_force(vectors)
+    for shard_rows in (500, 20000):
+        assert linked(spark, vectors, shard_rows=shard_rows) == want
+
+
+def test_the_audit_tells_its_recall(spark, monkeypatch):
+    vectors = [(i, v.tolist(), 0) for i, v in enumerate(near(np.random.default_rng(8), 60, 0.0165))]
+    df = spark.createDataFrame(vectors, SCHEMA)
+    assert {r.recall for r in graphdedup.near_duplicates(df).collect()} == {1.0}
+    monkeypatch.setattr(graphdedup, "range_search", lambda x, first, to, q, own, threshold: np.zeros((len(q), len(x)), bool))
+    assert {r.recall for r in graphdedup.near_duplicates(df).collect()} == {0.0}
