@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -149,7 +150,7 @@ def pieces(turns: DataFrame, schemas: dict) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
 
 
-def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls (conv_id, call_id, refs) that no cycle holds back.
 
     A reference to an unknown call, or a call's to itself, is no dependency.
@@ -158,21 +159,22 @@ def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
     edges = calls.select("conv_id", "call_id", F.explode("refs").alias("needs")).where("needs != call_id").distinct()
     edges = cut(edges.join(known.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi"))
     done = cut(known.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    for level in range(1, max_rounds):
+    # every round adds a call or is the last
+    for level in count(1):
         met = edges.join(done.select("conv_id", F.col("call_id").alias("needs"), "level"), ["conv_id", "needs"], "left")
         ready = met.groupBy("conv_id", "call_id").agg(F.max("level").alias("high"), F.count("*").alias("n"), F.count("level").alias("met"))
         new = cut(ready.where((F.col("n") == F.col("met")) & (F.col("high") == level - 1)).select("conv_id", "call_id", F.lit(level).alias("level")))
         if not new.limit(1).count():
             return done
         done = cut(done.union(new))
-    raise RuntimeError(f"calls are nested over {max_rounds} deep")
 
 
 def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """The messages, calls and results of ``turns`` (conv_id, turn, role, text).
 
     Returns conv_id, turn, part (place in the turn), role, kind (message, call or
-    result), call_id, tool, level, status, json. Level is 0 for messages and calls
+    result), call_id, tool, level, status, errors (where a call breaks its schema, or why
+    it can't be read), json. Level is 0 for messages and calls
     without dependencies, and a result has its call's; sorting by (level, turn,
     part) puts every call after those it needs. Status is ``ok`` for a message, an
     answered valid call and a result that answers one; ``invalid`` for what breaks
@@ -186,7 +188,7 @@ def format_chats(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """
     found = cut(pieces(turns, SCHEMAS if schemas is None else schemas))
     calls = found.where("kind = 'call' and call_id is not null and conv_id is not null").select("conv_id", "call_id", "turn", "part", "refs", "errors")
-    columns = ["conv_id", "turn", "part", "role", "kind", "call_id", "tool", "level", "status", F.col("body").alias("json")]
+    columns = ["conv_id", "turn", "part", "role", "kind", "call_id", "tool", "level", "status", "errors", F.col("body").alias("json")]
     if not calls.limit(1).count():
         status = F.when(F.col("kind") == "message", "ok").when(F.size("errors") > 0, "invalid").otherwise(F.when(F.col("kind") == "result", "orphan").otherwise("unanswered"))
         return found.withColumns({"level": F.lit(0), "status": status}).select(*columns)
