@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillmap.llm.shared import cut, fresh_dir
@@ -137,14 +138,17 @@ def planned(pages: DataFrame, least: int = 1000) -> DataFrame:
     return found.select("page_id", "url", "html", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, records_per_archive: int = 5000) -> None:
+def write(pages: DataFrame, path: str, archive_bytes: int = 32 << 20) -> None:
     """Write one record for each row of ``planned`` as archives below ``path``.
 
-    A revisit record has the headers of its page and an empty block.
+    A revisit record has the headers of its page and an empty block. A task begins
+    a new archive where the last would pass ``archive_bytes``, so a reader that holds
+    an archive needs no more memory than that, or than the longest record.
     """
     names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive, held = 0, 0
         for pdf in batches:
             out = []
             for page, url, html, size, digest, refers in pdf[names].itertuples(index=False):
@@ -153,14 +157,16 @@ def write(pages: DataFrame, path: str, records_per_archive: int = 5000) -> None:
                 headers += [("WARC-Refers-To", f"<urn:page:{refers}>")] * revisit
                 whole = member(record(headers, b"" if revisit else encode(html)))
                 whole += b"" if whole[-1] == 0 else member(b"")
-                out.append(whole[:-1])
-            yield pd.DataFrame({"value": out})
+                if held and held + len(whole) > archive_bytes:
+                    archive, held = archive + 1, 0
+                held += len(whole)
+                out.append((archive, whole[:-1]))
+            yield pd.DataFrame(out, columns=["archive", "value"])
 
     # ids go as text: pandas would make a column of longs with nulls one of doubles
     texts = pages.select(*[F.col(c).cast("string") for c in names])
-    packed = texts.mapInPandas(run, "value binary").select(F.col("value").cast("string"))
-    packed.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_archive).text(path)
-
+    packed = texts.mapInPandas(run, "archive int, value binary").select("archive", F.col("value").cast("string"))
+    packed.write.partitionBy("archive").option("lineSep", "\0").text(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -172,33 +178,36 @@ def read(spark, path: str) -> DataFrame:
         x = urn.removeprefix("<urn:page:").removesuffix(">")
         return int(x) if x.lstrip("-").isdigit() else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf["content"]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
                 out, held = [], 0
-                for h, block in records(data):
+                # a view of the batch, no copy of the archive
+                for h, block in records(data.as_buffer()):
                     digest, size, kind = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-bytes"]), h["warc-type"]
                     if kind == "response" and (size != len(block) or digest != hashlib.sha1(block).hexdigest()):
                         raise ValueError(f"the payload of {h['warc-record-id']} differs from its headers")
-                    out.append((number(h["warc-record-id"]), h["warc-target-uri"] or None, size, digest, kind, number(h.get("warc-refers-to", "")), block.decode("utf-8", "surrogatepass") if kind == "response" else None))
+                    out.append((number(h["warc-record-id"]), h["warc-target-uri"] or None, size, digest, kind, number(h.get("warc-refers-to", "")), block.decode("utf-8", "replace") if kind == "response" else None))
                     held += len(block)
                     if held > 16 * STEP:
                         yield framed(out)
                         out, held = [], 0
                 yield framed(out)
 
-    def framed(rows: list[tuple]) -> pd.DataFrame:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
-        return pd.DataFrame(rows, columns=names, dtype=object).astype({"page_id": "Int64", "refers_to": "Int64"})
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "html": pa.string()}
+
+    def framed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInPandas(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
+    return files.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def round_trip(pages: DataFrame, path: str | None = None, least: int = 1000) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives and read them back.
 
-    One row per row of ``pages``. Null html is an empty payload, a null url
+    One row per row of ``pages``; ids are integers. Null html is an empty payload, a null url
     is an empty header and comes back null; so does an empty url. A null id is kept and refers to the largest
     id with its payload, if there is one. Of rows that repeat the largest id all
     are responses. An empty table gives an empty table; other columns are ignored.
