@@ -67,6 +67,15 @@ class Model:
         return self.languages[best], float(p[best]), bool(p[best] < self.floor)
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits, scaled where a long text has larger ones."""
+    return np.maximum(counts * min(1.0, 65535 / max(int(counts.max(initial=0)), 1)), 1).astype(np.uint16)
+
+
+def _parts(shares: np.ndarray) -> np.ndarray:
+    return (shares / max(int(shares.sum(dtype=np.int64)), 1)).astype(np.float32)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max())
     return e / e.sum()
@@ -76,36 +85,41 @@ def fit(rows: DataFrame, sample_rows: int = 4000, dims: int = 16, epochs: int =
     """Learn from ``rows`` (doc_id, text, lang).
 
     At most ``sample_rows`` rows are used: those with the smallest hash of
-    their id, dealt evenly over the languages, so a hot language can't crowd
-    out the others. Rows without a language or without a letter are ignored.
+    their id and text, dealt evenly over the languages, so a hot language can't crowd
+    out the others. Rows without a language or without a letter are ignored;
+    repeated rows count as often as the sample has them.
     Without usable rows every prediction is ``und``.
     """
     empty = Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, floor)
-    n = rows.where("lang is not null").select("lang").distinct().count()
-    if not n:
+    usable = rows.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    found = usable.groupBy("lang").agg(F.count("*").alias("rows")).collect()
+    if not found:
         return empty
-    usable = rows.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
-    # the limit of a window's rank is taken in each task before the shuffle
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = usable.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= max(sample_rows // n, 1)).select("doc_id", "lang").collect()
-    few = F.broadcast(rows.sparkSession.createDataFrame(sorted({tuple(r) for r in picked}), "doc_id long, lang string"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    quota = max(sample_rows // len(found), 1)
+    # about twice the quota of each language go on, so no task meets more than a few thousand rows of one
+    parts = F.broadcast(rows.sparkSession.createDataFrame([(r.lang, min(1.0, 2.0 * quota / r.rows)) for r in found], "lang string, part double"))
+    few = usable.join(parts, "lang").withColumn("hash", F.xxhash64("doc_id", "text")).where(F.shiftrightunsigned("hash", 11).cast("double") * F.lit(2.0**-53) < F.col("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for i, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
+            for h, lang, text in zip(*(batch.column(c) for c in ("hash", "lang", "text"))):
+                text = text.as_py()
                 if has_letter(text):
                     n = sum(np.bincount(c, minlength=1 << BITS) for c in buckets(text))
                     at = np.flatnonzero(n)
-                    out.append((i, lang, at.astype(np.int32).tobytes(), (n[at] / n.sum()).astype(np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "at", "part"])
-
-    got = usable.join(few, ["doc_id", "lang"]).mapInPandas(run, "doc_id long, lang string, at binary, part binary").collect()
-    got = sorted(((r.doc_id, r.lang, bytes(r.at), bytes(r.part)) for r in got))
+                    out.append((h.as_py(), lang.as_py(), at.astype(np.uint16).tobytes(), _shares(n[at]).tobytes()))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["hash", "lang", "at", "part"]), schema, preserve_index=False)
+
+    schema = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("part", pa.binary())])
+    seen = few.select("hash", "lang", "text").mapInArrow(run, "hash long, lang string, at binary, part binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "at"))
+    got = seen.withColumn("place", place).where(F.col("place") <= quota).collect()
+    got = sorted((r.hash, r.lang, bytes(r.at), bytes(r.part)) for r in got)
     if not got:
         return empty
     names = sorted({g[1] for g in got})
-    x = [(np.frombuffer(g[2], np.int32), np.frombuffer(g[3], np.float32)) for g in got]
+    x = [(np.frombuffer(g[2], np.uint16).astype(np.int32), _parts(np.frombuffer(g[3], np.uint16))) for g in got]
     y = np.array([names.index(g[1]) for g in got])
     rng = np.random.default_rng(11)
     fold = rng.permutation(len(x))
@@ -147,7 +161,10 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_rejected, row by row.
 
-    Null texts and texts without a letter are ``und``, score 0, rejected.
+    Null texts and texts without a letter are ``und``, score 0, rejected. Of equal
+    confidences the first language by name wins. Repeated rows are predicted one by
+    one, an empty table gives an empty table, other columns go through unchanged
+    but for those named like the added ones, which are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     clean = docs.drop("lang_pred", "lang_score", "lang_rejected")
@@ -158,7 +175,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            got = [m.predict(x) for x in batch.column("text").to_pylist()]
+            got = [m.predict(x.as_py()) for x in batch.column("text")]
             new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names)
 
