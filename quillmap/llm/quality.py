@@ -28,6 +28,8 @@ from quillmap.llm.text import encode, gram_counts
 BITS = 12
 #: Documents per block of cosine products.
 BLOCK = 256
+#: Cosines that differ by no more are equal: copies differ by rounding.
+TIE = 1e-6
 
 
 #: Weight of the shares beside the trigrams, which have length 1 together.
@@ -69,10 +71,12 @@ class Model:
             return np.full(len(rows), self.prior)
         close = self.embed(rows) @ self.vectors.T
         k = min(self.neighbours, close.shape[1])
-        best = np.argpartition(-close, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(close, best, 1), 0.0).astype(np.float64) ** self.power
-        total = weight.sum(axis=1)
-        vote = (weight * self.labels[best]).sum(axis=1)
+        # neighbours as near as the kth vote too, so ties have a defined result
+        least = np.partition(close, close.shape[1] - k, axis=1)[:, close.shape[1] - k]
+        who, what = np.nonzero(close >= least[:, None] - TIE)
+        weight = np.maximum(close[who, what], 0.0).astype(np.float64) ** self.power
+        total = np.bincount(who, weight, len(rows))
+        vote = np.bincount(who, weight * self.labels[what], len(rows))
         return np.where(total > 0, vote / np.where(total > 0, total, 1.0), self.prior)
 
 
@@ -98,7 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, rank: int =
             yield pd.DataFrame({"quality": pdf["quality"], "doc_id": pdf["doc_id"], "grams": found})
 
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id")
-    got = joined.mapInPandas(run, "quality int, doc_id long, grams binary").toPandas()
+    # an id that many rows repeat can't take more than its place in the sample
+    seen = joined.mapInPandas(run, "quality int, doc_id long, grams binary")
+    got = seen.orderBy(F.xxhash64("doc_id", "quality"), "grams").limit(sample_rows).toPandas()
     if got.empty:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(((1 << BITS) + SHARES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power, 0.5)
     got = got.sort_values(["doc_id", "quality", "grams"], ignore_index=True)
@@ -142,7 +148,10 @@ def _top_right(x: np.ndarray, rank: int) -> np.ndarray:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``quality_score`` (0 to 1), one row per row.
 
-    Null text counts as empty; empty texts are scored like any other.
+    Null text counts as empty; empty texts are scored like any other, and so are
+    repeated rows, one by one. Neighbours as near as the last that votes vote too. An
+    empty table gives an empty table; other columns go through unchanged, but for a
+    ``quality_score``, which is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.drop("quality_score").withColumn("quality_score", F.lit(0.0)).schema
@@ -152,8 +161,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out = [m.score(np.stack([counts(x) for x in texts[k : k + BLOCK]])) for k in range(0, len(texts), BLOCK)]
+            texts = batch.column("text")
+            out = [m.score(np.stack([counts(x.as_py()) for x in texts[k : k + BLOCK]])) for k in range(0, len(texts), BLOCK)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *out]))], names)
 
     return docs.drop("quality_score").mapInArrow(run, schema)
