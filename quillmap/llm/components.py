@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillmap.llm.shared import cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Map the ends of integer edges to the smallest id they reach.
 
     Returns (node long, component long) with one row per node that has an edge.
@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     both = cut(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     tree = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("f")))
     total = _total(tree)
-    for _ in range(max_rounds):
+    while True:
         up = tree.select(F.col("node").alias("f"), F.col("f").alias("gp"))
         grand = tree.join(up, "f").select("node", "f", "gp")
         least = both.join(grand.select(F.col("node").alias("v"), "gp"), "v").groupBy(F.col("u").alias("node")).agg(F.min("gp").alias("m"))
@@ -39,7 +39,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         if now == total:
             return tree.select("node", F.col("f").alias("component"))
         total = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _total(tree: DataFrame) -> object:

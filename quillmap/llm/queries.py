@@ -9,7 +9,8 @@ from quillmap.llm.shared import remainder, table
 
 
 def op1_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    found = graphdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +21,37 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def with_calls(turns: DataFrame) -> DataFrame:
+    """``turns`` with tool markup behind their texts, as the given tables have none.
+
+    An assistant's turn t searches for its own text as call ct, with a limit of t % 4, so
+    that every fourth is invalid; from turn 3 on call ft fetches what c(t-2) found;
+    turn 5 uses the identifier c3 again; in turn 6 the calls x6 and y6 wait for each
+    other. A user's turn t answers c(t-1) with its own text, whether or not it was called.
+    """
+    t, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    named = lambda letter, k: F.concat(F.lit(letter), (t - k).cast("string"))
+    ref = lambda x: F.struct(F.struct(x.alias("$result")).alias("url"))
+
+    def call(i, tool: str, arguments):
+        return F.concat(F.lit(chat.CALL[0]), F.to_json(F.struct(i.alias("id"), F.lit(tool).alias("name"), arguments.alias("arguments"))), F.lit(chat.CALL[1]))
+
+    result = F.concat(F.lit(chat.RESULT[0]), F.to_json(F.struct(named("c", 1).alias("id"), text.alias("content"))), F.lit(chat.RESULT[1]))
+    assistant = F.col("role") == "assistant"
+    parts = [
+        F.when(assistant, call(named("c", 0), "search", F.struct(text.alias("query"), (t % 4).alias("limit")))),
+        F.when(assistant & (t >= 3), call(named("f", 0), "fetch", ref(named("c", 2)))),
+        F.when(assistant & (t == 5), call(F.lit("c3"), "search", F.struct(F.lit("again").alias("query")))),
+        F.when(assistant & (t == 6), F.concat(call(F.lit("x6"), "fetch", ref(F.lit("y6"))), call(F.lit("y6"), "fetch", ref(F.lit("x6"))))),
+        F.when((F.col("role") == "user") & (t >= 1), result),
+    ]
+    return turns.withColumn("text", F.concat(text, *[F.coalesce(p, F.lit("")) for p in parts]))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    found = chat.format_chats(with_calls(table(spark, sf_dir, "conversations")))
+    # a cycle's calls have no level
+    return found.withColumns({"errors": F.array_join("errors", "; "), "level": F.coalesce("level", F.lit(-1))})
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +128,10 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
 ), u AS (
   SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b
-  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
 ), reach AS (
   SELECT vec_id AS a, vec_id AS b FROM v
   UNION
@@ -115,12 +146,33 @@ FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
 """
 
 
-#: For turns without tool markup, as in the given tables; tests cover turns with it.
-CHAT_SQL = """
-SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS tool,
-  CAST(0 AS INTEGER) AS level, 'ok' AS status,
-  '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
-FROM conversations
+#: Turns with the markup of ``with_calls``, linked, ordered and checked.
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1 ELSE 0 END AS has FROM conversations
+), a AS (SELECT * FROM t WHERE role = 'assistant'
+), calls AS (
+  SELECT conv_id, turn, role, has AS part, 'c' || turn AS id, 'search' AS tool, NULL AS needs, turn % 4 = 0 AS bad,
+    '{"arguments":{"limit":' || turn % 4 || ',"query":' || CAST(to_json(text) AS VARCHAR) || '},"id":"c' || turn || '","name":"search"}' AS json FROM a
+  UNION ALL SELECT conv_id, turn, role, has + 1, 'f' || turn, 'fetch', 'c' || (turn - 2), false, '{"arguments":{"url":{"$result":"c' || (turn - 2) || '"}},"id":"f' || turn || '","name":"fetch"}' FROM a WHERE turn >= 3
+  UNION ALL SELECT conv_id, turn, role, has + 2, 'c3', 'search', NULL, false, '{"arguments":{"query":"again"},"id":"c3","name":"search"}' FROM a WHERE turn = 5
+  UNION ALL SELECT conv_id, turn, role, has + 2, 'x6', 'fetch', 'y6', false, '{"arguments":{"url":{"$result":"y6"}},"id":"x6","name":"fetch"}' FROM a WHERE turn = 6
+  UNION ALL SELECT conv_id, turn, role, has + 3, 'y6', 'fetch', 'x6', false, '{"arguments":{"url":{"$result":"x6"}},"id":"y6","name":"fetch"}' FROM a WHERE turn = 6
+), answers AS (
+  SELECT conv_id, turn, role, has AS part, 'c' || (turn - 1) AS id, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"c' || (turn - 1) || '"}' AS json FROM t WHERE role = 'user' AND turn >= 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn, part) AS n,
+    id IN ('x6', 'y6') AS cycle, needs IS NOT NULL AND EXISTS (SELECT 1 FROM calls AS o WHERE o.conv_id = calls.conv_id AND o.id = calls.needs) AS waits,
+    EXISTS (SELECT 1 FROM answers AS r WHERE r.conv_id = calls.conv_id AND r.id = calls.id) AS answered FROM calls
+)
+SELECT conv_id, turn, CAST(part AS INTEGER) AS part, role, 'call' AS kind, id AS call_id, tool, CAST(CASE WHEN cycle THEN -1 WHEN waits THEN 1 ELSE 0 END AS INTEGER) AS level,
+  CASE WHEN bad THEN 'invalid' WHEN n > 1 THEN 'duplicate' WHEN cycle THEN 'cycle' WHEN NOT answered THEN 'unanswered' ELSE 'ok' END AS status,
+  CASE WHEN bad THEN '$.limit: below minimum' ELSE '' END AS errors, json FROM ranked
+UNION ALL
+SELECT conv_id, turn, CAST(part AS INTEGER), role, 'result', id, NULL, 0, CASE WHEN EXISTS (SELECT 1 FROM calls AS o WHERE o.conv_id = answers.conv_id AND o.id = answers.id) THEN 'ok' ELSE 'orphan' END, '', json FROM answers
+UNION ALL
+SELECT conv_id, turn, 0, role, 'message', NULL, NULL, 0, 'ok', '', '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' FROM t
+WHERE has = 1 OR NOT (role = 'assistant' OR role = 'user' AND turn >= 1)
 """
 
 
