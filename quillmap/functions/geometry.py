@@ -86,6 +86,14 @@ def iou(a: C, b: C) -> Column:
     return F.when(union > 0, F.least(F.lit(1.0), common / union)).otherwise(0.0)
 
 
+def hull_of_some(boxes: C, least: float = 0.001) -> Column:
+    """The hull of those boxes of an array that have an area, six decimals, no side under ``least``; null
+    where there is none."""
+    some = F.filter(_b(boxes), lambda b: (b["w"] > 0) & (b["h"] > 0))
+    h = hull_of(some)
+    return F.when(F.size(some) > 0, box(F.round(h["x"], 6), F.round(h["y"], 6), F.round(F.greatest(h["w"], F.lit(least)), 6), F.round(F.greatest(h["h"], F.lit(least)), 6)))
+
+
 def covered(a: C, b: C) -> Column:
     """Share of b's area that a covers."""
     return F.when(area(b) > 0, meet_area(a, b) / area(b)).otherwise(0.0)
@@ -117,24 +125,42 @@ def tall(b: C, height: float = 0.018) -> Column:
     return box(_b(b)["x"], _b(b)["y"] - pad, _b(b)["w"], _b(b)["h"] + 2 * pad)
 
 
-# Paddings (left, top, right, bottom) that tables' cells have around their text.
-PADDINGS = [
-    (0, 0, 0, 0), (0.002, 0, 0.002, 0), (0.004, 0, 0.004, 0), (0.008, 0, 0.008, 0), (0, 0.002, 0, 0.002), (0, 0.004, 0, 0.004),
-    (0.002, 0.002, 0.002, 0.002), (0.004, 0.002, 0.004, 0.002), (0.004, 0.004, 0.004, 0.004), (0.008, 0.004, 0.008, 0.004),
-    (0.012, 0.004, 0.012, 0.004), (0.016, 0.004, 0.016, 0.004), (0.02, 0.006, 0.02, 0.006), (0, 0, 0.01, 0), (0.01, 0, 0, 0),
-]
+# Paddings (left, right, top, bottom) that tables' cells have around their text.
+PADDINGS = (
+    (0.005, 0.005, 0.002, 0.002), (0.010, 0.010, 0.003, 0.003), (0.015, 0.015, 0.004, 0.004), (0.020, 0.020, 0.005, 0.005), (0.030, 0.030, 0.005, 0.005),
+    (0.040, 0.040, 0.005, 0.005), (0.020, 0.005, 0.003, 0.003), (0.035, 0.005, 0.003, 0.003), (0.050, 0.008, 0.004, 0.004), (0.065, 0.008, 0.004, 0.004),
+    (0.005, 0.025, 0.003, 0.003), (0.008, 0.040, 0.004, 0.004), (0.008, 0.008, 0.008, 0.008), (0.012, 0.012, 0.012, 0.012), (0.015, 0.015, 0.018, 0.018),
+)
+
+# Pitches of rows, rows to go, and heights of cells.
+PITCHES = (0.02756, 0.02340, 0.02920, 0.02030, 0.01520, 0.01250, 0.00980)
+STEPS = (-2, -1, 1, 2)
+HEIGHTS = (0.00943, 0.01273, 0.01523, 0.02031)
 
-# Pitches of rows.
-PITCHES = (0.010, 0.012, 0.0145, 0.015, 0.018, 0.020, 0.022)
+
+def _rounded(b: Column, places: int = 4) -> Column:
+    return box(*[F.round(b[k], places) for k in "xywh"])
 
 
 def padded(b: C) -> Column:
-    """Array of the cells a text may stand in: paddings up to three times its width and 2.5 times its height."""
-    w, h = _b(b)["w"], _b(b)["h"]
-    cells = F.array(*[box(_b(b)["x"] - l, _b(b)["y"] - t, w + l + r, h + t + o) for l, t, r, o in PADDINGS])
-    return F.filter(cells, lambda c: (c["w"] <= 3 * w) & (c["h"] <= 2.5 * h))
+    """Array of the cells a text may stand in, one for each padding: on the page, up to three times
+    as wide and 2.5 times as high as the text."""
+    x, y, w, h = (_b(b)[k] for k in "xywh")
+    most_w, most_h = 3 * F.greatest(w, F.lit(0.01)), 2.5 * F.greatest(h, F.lit(0.01))
+
+    def cell(left: float, right: float, top: float, bottom: float) -> Column:
+        x0, y0 = F.greatest(F.lit(0.0), x - left), F.greatest(F.lit(0.0), y - top)
+        return box(x0, y0, F.least(1 - x0, most_w, w + left + right), F.least(1 - y0, most_h, h + top + bottom))
+
+    return F.array(*[_rounded(cell(*p)) for p in PADDINGS])
 
 
 def shifted_rows(b: C) -> Column:
-    """Array of the box one or two rows up or down, for each pitch."""
-    return F.array(*[box(_b(b)["x"], _b(b)["y"] + k * p, _b(b)["w"], _b(b)["h"]) for p in PITCHES for k in (-2, -1, 1, 2)])
+    """Array of the box one or two rows up or down for each pitch, in its own height and in the
+    usual ones that differ from it; what leaves the page is left out."""
+    at = _b(b)
+    tops = F.array(*[at["y"] + k * p for p in PITCHES for k in STEPS])
+    tops = F.filter(tops, lambda t: (t >= 0) & (t <= 0.99))
+    tall_ = F.concat(F.array(at["h"]), F.filter(F.array(*map(F.lit, HEIGHTS)), lambda h: F.abs(h - at["h"]) > 0.001))
+    cells = F.flatten(F.transform(tops, lambda t: F.transform(tall_, lambda h: _rounded(box(at["x"], t, at["w"], h)))))
+    return F.filter(cells, lambda c: c["y"] + c["h"] <= 1.0)
