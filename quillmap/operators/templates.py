@@ -14,22 +14,22 @@ from quillmap.operators.candidates import FIELD
 
 def detected(fields: DataFrame, signatures: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, form, hits): forms (form, field) of whose signature fields a document has three."""
-    met = fields.select("doc_id", "field").join(F.broadcast(signatures), "field")
+    met = fields.select("doc_id", "field").join(signatures, "field")
     return met.groupBy("doc_id", "form").agg(F.countDistinct("field").alias("hits")).where(F.col("hits") >= least)
 
 
 def page_forms(tokens: DataFrame, patterns: DataFrame, first: int = 40) -> DataFrame:
     """(doc_id, page, form): forms (form, pattern) whose pattern is in a page's first forty words.
 
-    ``patterns`` is a handful of rows of a template, not data.
     """
     w = Window.partitionBy("doc_id", "page").orderBy("line_index", "token_idx")
     head = tokens.withColumn("i", F.row_number().over(w)).where(F.col("i") <= first)
     text = head.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda r: r["text"]), " ").alias("head"))
-    # an array of the template's rows beside each page, instead of a join without a key
-    rows = [(r.form, r.pattern) for r in patterns.limit(200).collect()]
-    found = F.filter(F.array(*[F.when(F.lower("head").rlike(p), F.lit(f)) for f, p in rows]), lambda f: f.isNotNull())
-    return text.select("doc_id", "page", F.explode(found).alias("form"))
+    # one row with all patterns beside each page, instead of a join without a key
+    every = patterns.agg(F.array_sort(F.collect_set(F.struct("form", "pattern"))).alias("patterns"))
+    found = F.filter("patterns", lambda p: F.regexp_like(F.lower("head"), p["pattern"]))
+    met = text.select("doc_id", "page", "head", every.select("patterns").scalar().alias("patterns"))
+    return met.select("doc_id", "page", F.explode(F.array_distinct(F.transform(found, lambda p: p["form"]))).alias("form"))
 
 
 def anchored(fields: DataFrame, tokens: DataFrame, template: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def anchored(fields: DataFrame, tokens: DataFrame, template: DataFrame) -> DataF
 
     ``fields`` have doc_id, field, value, name and form.
     """
-    f = fields.join(F.broadcast(template.where("kind = 'anchor'")), ["form", "name"]).withColumn("number", T.number("value")).where("number is not null").withColumn("number_key", T.number_key("number"))
+    f = fields.join(template.where("kind = 'anchor'"), ["form", "name"]).withColumn("number", T.number("value")).where("number is not null").withColumn("number_key", T.number_key("number"))
     t = tokens.withColumn("number", T.number("text")).where("number is not null").withColumn("number_key", T.number_key("number")).drop("number")
     met = f.select(*FIELD, "name", "page_no", "x0", "x1", "y", "number_key").join(t, ["doc_id", "number_key"]).where(F.col("page") == F.col("page_no"))
     score = 1 - 10 * F.abs(G.cy("box") - F.col("y")) - F.when(G.cx("box").between(F.col("x0") - 0.05, F.col("x1") + 0.05), 0.0).otherwise(0.5)
@@ -47,7 +47,7 @@ def anchored(fields: DataFrame, tokens: DataFrame, template: DataFrame) -> DataF
 
 def checked(fields: DataFrame, tokens: DataFrame, template: DataFrame, reach: float = 0.03, side: float = 0.018) -> DataFrame:
     """Checkboxes of a form: the glyph nearest to the template's place, else a box drawn there."""
-    f = fields.join(F.broadcast(template.where("kind = 'checkbox'")), ["form", "name"]).select(*FIELD, "page_no", F.col("x0").alias("tx"), F.col("y").alias("ty"))
+    f = fields.join(template.where("kind = 'checkbox'"), ["form", "name"]).select(*FIELD, "page_no", F.col("x0").alias("tx"), F.col("y").alias("ty"))
     marks = tokens.where(T.checkbox("text").isNotNull()).select("doc_id", F.col("page").alias("page_no"), "line_index", "box", "text")
     met = f.join(marks, ["doc_id", "page_no"], "left")
     gap = F.sqrt(F.pow(G.cx("box") - F.col("tx"), 2) + F.pow(G.cy("box") - F.col("ty"), 2))
@@ -59,7 +59,7 @@ def checked(fields: DataFrame, tokens: DataFrame, template: DataFrame, reach: fl
 
 def zoned(fields: DataFrame, lines: DataFrame, template: DataFrame, least: float = 0.70) -> DataFrame:
     """Names and the like in a zone of a form: the line most like the value, from 70 %."""
-    f = fields.join(F.broadcast(template.where("kind = 'zone'")), ["form", "name"])
+    f = fields.join(template.where("kind = 'zone'"), ["form", "name"])
     met = f.join(lines.select("doc_id", F.col("page").alias("page_no"), "line_index", "box", "norm", F.col("text").alias("text")), ["doc_id", "page_no"])
     met = met.where(G.cx("box").between(F.col("x0"), F.col("x1")) & G.cy("box").between(F.col("y"), F.col("y") + F.col("row_pitch")))
     met = met.withColumn("score", T.indel(T.fold("value"), "norm")).where(F.col("score") >= least).withColumn("page", F.col("page_no"))
@@ -72,19 +72,17 @@ def _first(met: DataFrame) -> DataFrame:
 
 
 def families(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """family of each document: the longest name (name, family) that its key contains.
-
-    ``names`` is a handful of rows of a template, not data.
-    """
-    rows = sorted(((r.name, r.family) for r in names.limit(200).collect()), key=lambda r: (-len(r[0]), r[0]))
-    out = F.lit(None).cast("string")
-    for name, family in reversed(rows):
-        out = F.when(F.col("doc_key").contains(name), family).otherwise(out)
-    return docs.withColumn("family", out)
+    """family of each document: that of the longest name (name, family) that its key contains, the first
+    of equally long ones."""
+    key = F.struct((-F.length("name")).alias("l"), F.col("name").alias("name"), F.col("family").alias("family"))
+    every = names.agg(F.array_sort(F.collect_set(key)).alias("names"))
+    met = docs.withColumn("__names", every.select("names").scalar())
+    first = F.get(F.filter("__names", lambda n: F.col("doc_key").contains(n["name"])), F.lit(0))
+    return met.withColumn("family", first["family"]).drop("__names")
 
 
 # Words of labels that exclude each other.
-OPPOSITES = (("beginning", "ending"), ("begin", "end"), ("current", "prior"), ("gross", "net"), ("short", "long"), ("federal", "state"), ("debit", "credit"))
+OPPOSITES = (("beginning", "ending"), ("employee", "employer"), ("federal", "state"), ("current", "prior"), ("gross", "net"), ("yes", "no"))
 
 
 def qualifier(words: Column, label: Column) -> Column:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.functions import geometry as G
+from quillmap.functions import geometry as G, text as T
 from quillmap.operators import candidates as C, evaluate as E, index as I, ranking as R, recovery as V, refine as X, tables as B, templates as L
 from quillmap.plans.resolve import Options, resolve, resolve_payloads, two_rounds
 from quillmap.sources import payload as P
@@ -18,7 +18,7 @@ FIELDS = "doc_id string, field string, value string, kind string, context string
 LINES = [
     (1, 0.20, [("Subtotal", 0.1), ("$50.00", 0.3)]), (1, 0.25, [("Tax", 0.1), ("$50.00", 0.3)]), (1, 0.30, [("Total", 0.1), ("Due:", 0.16), ("USD", 0.3), ("1,450.00", 0.34)]),
     (1, 0.35, [("Date:", 0.1), ("15", 0.2), ("March", 0.24), ("2026", 0.31)]), (1, 0.45, [("12", 0.1), ("Example", 0.14), ("Road,", 0.22)]), (1, 0.48, [("Sector", 0.1), ("28,", 0.17)]),
-    (1, 0.60, [("Rate", 0.1), ("3", 0.3), ("3", 0.315), (".", 0.33), ("5", 0.34)]), (1, 0.65, [("☑", 0.1), ("Express", 0.13), ("delivery", 0.2)]), (1, 0.70, [("inter-", 0.1)]), (1, 0.73, [("national", 0.1)]),
+    (1, 0.60, [("Rate", 0.1), ("3", 0.3), ("3", 0.315), (".", 0.33), ("5", 0.34)]), (1, 0.65, [("☒", 0.1), ("Express", 0.13), ("delivery", 0.2)]), (1, 0.70, [("inter-", 0.1)]), (1, 0.73, [("national", 0.1)]),
     (2, 0.20, [("Balance", 0.1), ("......", 0.2), ("77", 0.5)]), (2, 0.25, [("Balance", 0.1), ("88", 0.5)]),
 ]
 
@@ -78,14 +78,14 @@ def test_fuzzy_noise_boxes_hyphens(spark, tokens, lines):
     assert places(C.fuzzy(f, lines, I.gram_postings(tokens)))[0][:3] == ("a", 1, 4)
     modes = spark.createDataFrame([("d", 1, "ocr")], "doc_id string, page int, mode string")
     assert places(C.noise_matches(fields(spark, ("n", "Examp1e", "str", "", None)), I.noise_postings(tokens, modes))) == [("n", 1, 4, "Example")]
-    assert places(C.checkboxes(fields(spark, ("express_delivery", "true", "bool", "", None)), tokens)) == [("express_delivery", 1, 7, "☑")]
+    assert places(C.checkboxes(fields(spark, ("express_delivery", "true", "bool", "", None)), tokens)) == [("express_delivery", 1, 7, "☒")]
     assert places(C.hyphenated(fields(spark, ("h", "international", "str", "", None)), tokens)) == [("h", 1, 8, "inter-national")]
     cells = spark.createDataFrame([("d", 1, (0.1, 0.2, 0.3, 0.02), "Total 77"), ("d", 1, (0.1, 0.3, 0.3, 0.02), "77")], "doc_id string, page int, box struct<x: double, y: double, w: double, h: double>, text string")
     assert sorted(r.similarity for r in C.cells(fields(spark, ("c", "77", "int", "", None)), cells).collect()) == [0.85, 1.0]
 
 
 def test_recovery(spark, lines):
-    f = fields(spark, ("rate", "33.5", "float", "", None), ("due", "1450", "int", "", None), ("road", "12 Example Big Road,", "str", "", None), ("s", "Express delivery", "str", "", None))
+    f = fields(spark, ("rate", "33.5", "float", "", None), ("due", "1450", "int", "", None), ("road", "12 Example Road, East", "str", "", None), ("s", "Express delivery", "str", "", None))
     assert ("rate", 1, 6, "3 3 . 5") in places(V.spaced_numbers(f, lines)) and ("rate", 1, 6, "3 3 . 5") in places(V.torn_numbers(f, lines))
     assert places(V.split_signs(f, lines)) == [("due", 1, 2, "USD 1,450.00")]
     assert ("road", 1, 4, "12 Example Road,") in places(V.bounded_spans(f, lines))
@@ -93,7 +93,7 @@ def test_recovery(spark, lines):
 
 
 def test_equal_amounts_are_told_by_their_labels(spark, tokens):
-    got = {r.field: r for r in resolve(tokens, fields(spark, ("subtotal", "50", "int", "Subtotal", None), ("tax", "50", "int", "Tax", None), ("grand_total", "999", "int", "", None), ("nothing", "zzz", "str", "", None), ("blank", " ", "str", "", None))).collect()}
+    got = {r.field: r for r in resolve(tokens, fields(spark, ("subtotal", "50", "int", "Subtotal", None), ("tax", "50", "int", "Tax", None), ("grand_total", "999", "int", "", None), ("nothing", "zzz", "str", "", None), ("blank", " ", "str", "", None)), Options(recovery=False)).collect()}
     assert (got["subtotal"].status, round(got["subtotal"].box.y, 2)) == ("normalized", 0.20) and round(got["tax"].box.y, 2) == 0.25
     assert got["grand_total"].status == "derived" and got["nothing"].status == "not_found"
     assert got["blank"].status == "exact" and got["blank"].box is None and got["blank"].confidence == 1
@@ -101,7 +101,7 @@ def test_equal_amounts_are_told_by_their_labels(spark, tokens):
 
 def test_identical_labels_are_ambiguous(spark):
     t = spark.createDataFrame(page_tokens([(1, 0.2, [("Tax", 0.1), ("$50.00", 0.3)]), (1, 0.6, [("Tax", 0.1), ("$50.00", 0.3)])]), TOKENS)
-    assert [r.status for r in resolve(t, fields(spark, ("tax", "50", "int", "Tax", None))).collect()] == ["ambiguous"]
+    assert [r.status for r in resolve(t, fields(spark, ("tax", "50", "int", "Tax", None)), Options(recovery=False)).collect()] == ["ambiguous"]
 
 
 def test_payloads_and_rounds(spark, tokens):
@@ -109,7 +109,7 @@ def test_payloads_and_rounds(spark, tokens):
     df = spark.createDataFrame([("d", json.dumps(payload)), ("e", "no json")], "doc_id string, payload string")
     flat = {r.field: (r.value, r.kind, r.page_hint, r.record) for r in P.flatten(df).collect()}
     assert flat["items[1].amount"] == ("88", "int", 2, "items[1]") and flat["due"] == ("1450.0", "float", None, None) and flat["flag"][1] == "null" and flat[None][1] == "error"
-    got = {r.field: (r.status, r.page) for r in resolve_payloads(tokens, df).collect()}
+    got = {r.field: (r.status, r.page) for r in resolve_payloads(tokens, df, Options(recovery=False)).collect()}
     assert got["items[0].amount"] == ("normalized", 2) and got["items[1].amount"] == ("normalized", 2) and got["due"] == ("normalized", 1) and got["when"] == ("normalized", 1)
     f = fields(spark, ("items[0].amount", "77", "int", "", 2), ("items[1].amount", "88", "int", "", 2))
     again = {r.field: round(r.box.y, 2) for r in two_rounds(tokens, f, Options(recovery=False)).collect()}
@@ -131,8 +131,8 @@ def test_scores_at_their_marks(spark):
 def test_tables(spark, lines):
     r = spark.createDataFrame([("d", "t", i, p) for i, p in enumerate([1, 1, 3, 2, 2, 4])], "doc_id string, table string, row int, page int")
     assert sorted(x.row for x in B.rising_pages(r).collect()) == [0, 1, 3, 4, 5]
-    anchors = spark.createDataFrame([("d", "t", x, 0) for x in ("Subtotal", "Example Road", "Express delivery")], "doc_id string, table string, text string, page_hint int")
-    assert [(x.offset, x.tier) for x in B.page_offsets(anchors, I.page_text(lines)).collect()] == [(1, 0)]
+    anchors = spark.createDataFrame([("d", "t", k, "f", x, 0) for k, x in enumerate(("Subtotal", "Example Road", "Express delivery"))], "doc_id string, table string, place int, field string, text string, page_hint int")
+    assert [(x.offset, x.tier) for x in B.page_offsets(anchors, lines).collect()] == [(1, "tier1_narrow")]
     s = spark.createDataFrame([("d", "t", i, j, float(v)) for i, row in enumerate([[9, 8], [9, 1]]) for j, v in enumerate(row)], "doc_id string, table string, row int, cand int, score double")
     assert sorted((x.row, x.cand) for x in B.assigned(s).collect()) == [(0, 1), (1, 0)]
     schema = "doc_id string, record string, field string, rank_in_record int, page int, line_index int, box struct<x: double, y: double, w: double, h: double>, matched_text string, similarity double, anchor_page int, anchor_y double"
@@ -146,12 +146,16 @@ def test_tables(spark, lines):
 
 
 def test_refinement(spark, tokens, lines):
-    m = spark.createDataFrame([("d", 1, 4, (0.1, 0.45, 0.016, 0.012), "12 Example Road")], "doc_id string, page int, line_index int, box struct<x: double, y: double, w: double, h: double>, value string")
-    assert round(X.extended(m, lines).first().box.w, 3) == 0.16
-    row = lines.where("page = 2 and line_index = 0").select(F.transform(X.without_leaders(F.slice("words", 1, 2)), lambda w: w["text"]), X.trimmed(F.col("box"), F.slice("words", 1, 2))).first()
-    assert row[0] == ["Balance"] and round(row[1].w, 3) == 0.056
-    span = spark.range(1).select(X.character_span(G.box(F.lit(0.0), F.lit(0.0), F.lit(0.4), F.lit(0.1)), F.lit("No:12345"), F.lit("12345"))).first()[0]
-    assert (round(span.x, 3), round(span.w, 3)) == (0.15, 0.25)
+    schema = "doc_id string, page int, box struct<x: double, y: double, w: double, h: double>, matched_text string, value string, confidence double, protected boolean, right double"
+    m = spark.createDataFrame([
+        ("d", 1, (0.1, 0.45, 0.016, 0.012), "12", "12 Example Road", 0.9, False, None), ("d", 1, (0.1, 0.45, 0.016, 0.012), "12", "12 Example Road", 0.9, True, None), ("d", 1, (0.1, 0.45, 0.016, 0.012), "12", "12 Example Road", 0.9, False, 0.21),
+        ("d", 2, (0.1, 0.20, 0.148, 0.012), "Balance ......", "Balance", 0.9, False, None), ("d", 1, (0.1, 0.3, 0.4, 0.012), "No:12345", "12345", 0.9, False, None), ("d", 1, (0.1, 0.3, 0.4, 0.012), "No:12345", "12345", 0.5, False, None),
+    ], schema)
+    got = [(r.value, r.protected, r.right, round(r.box.x, 3), round(r.box.w, 3)) for r in X.refined(m, lines).collect()]
+    assert sorted(got, key=str) == sorted([
+        ("12 Example Road", False, None, 0.1, 0.16), ("12 Example Road", True, None, 0.1, 0.016), ("12 Example Road", False, 0.21, 0.1, 0.11),
+        ("Balance", False, None, 0.1, 0.042), ("12345", False, None, 0.25, 0.25), ("12345", False, None, 0.1, 0.4),
+    ], key=str)
 
 
 def test_reports(spark, lines):
@@ -178,6 +182,34 @@ def test_templates(spark, tokens, lines):
     assert L.families(spark.createDataFrame([("x-acme-corp-1",), ("zz",)], "doc_key string"), n).select("family").collect() == [("B",), (None,)]
 
 
+def test_templates_of_any_size(spark, tokens, lines):
+    """Patterns, names and siblings beyond any small number count like the first."""
+    p = spark.createDataFrame([(f"f{i:03}", "no such text" if i < 299 else "total due") for i in range(300)], "form string, pattern string")
+    assert [tuple(r) for r in L.page_forms(tokens, p).collect()] == [("d", 1, "f299")]
+    n = spark.createDataFrame([(f"name{i:03}x", f"F{i}") for i in range(300)], "name string, family string")
+    assert [r.family for r in L.families(spark.createDataFrame([("a-name299x-b",)], "doc_key string"), n).collect()] == ["F299"]
+    rows = [(1, 0.1 + 0.02 * k, [(f"k{k}", 0.1), ("7", 0.5)]) for k in range(40)]
+    t = spark.createDataFrame(page_tokens(rows, "s"), TOKENS)
+    f = spark.createDataFrame([("s", f"rows[0].f{k}", f"k{k}", "str", "", 1) for k in range(40)], FIELDS)
+    assert two_rounds(t, f, Options(recovery=False)).where("box is not null").count() == 40
+
+
+def test_evidence_recovery_and_no_verifier(spark, tokens):
+    f = fields(spark, ("rate", "33.5", "float", "", 1), ("x", "99", "int", "", None)).withColumn("evidence_text", F.when(F.col("field") == "x", "Example Road,"))
+    got = {r.field: (r.status, r.matched_text) for r in resolve(tokens, f, Options(verify=False)).collect()}
+    assert got == {"rate": ("fuzzy", "3 3 . 5"), "x": ("exact", "Example Road,")}
+    twice = fields(spark, ("a", "50", "int", "", None))
+    assert [r.status for r in resolve(tokens, twice, Options(recovery=False, verify=False)).collect()] == ["ambiguous"]
+    assert [r.matched_text for r in resolve(tokens, fields(spark, ("s", "(Express)", "str", "", None)), Options(strip=True, recovery=False)).collect()] == ["Express"]
+
+
+def test_every_character_folds_as_by_itself(spark):
+    text = spark.createDataFrame([("".join(map(chr, range(k, k + 64))),) for k in (*range(0x80, 0xD800, 64), *range(0xE000, 0x20000, 64))], "t string")
+    got = text.select("t", T.fold("t").alias("a"), T.fold_mapped("t")["text"].alias("b")).where("a != b").collect()
+    # Cherokee folds to capitals, and Java and Python differ on which Georgian ones there are
+    assert [r.t[0] for r in got if not any(x <= ord(r.t[0]) <= y for x, y in ((0x1380, 0x13FF), (0x1C80, 0x1CBF), (0xAB40, 0xABBF)))] == []
+
+
 def test_stream(spark, tokens, tmp_path):
     from quillmap.streaming.resolve import resolve_stream
 
