@@ -222,13 +222,13 @@ def idx_attach_blocks(spark, d):
     return I.attach_blocks(t, blocks).select("doc_id", "page", "line_index", "token_idx", "block_id")
 
 
-@query(PROSE + r""", w AS (SELECT DISTINCT text FROM pt)
-SELECT text, trim(lower(text), ' ,.:;-/_''"()[]{}*&#$€£¥') AS stem, regexp_replace(upper(text), '[^B-DF-HJ-NP-TV-Z0-9]', '', 'g') AS skeleton,
-  regexp_replace(translate(text, 'OoIlLi|Ss$BGZz', '00111115558622'), '[^0-9.]', '', 'g') AS digits,
-  regexp_replace(regexp_replace(text, '[,$€£¥\s]', '', 'g'), '^\((.*)\)$', '-\1') AS value_key FROM w WHERE regexp_full_match(text, '[!-~]+')""")
+@query(PROSE + r""", w AS (SELECT DISTINCT text, replace(lower(text), 'ß', 'ss') AS norm FROM pt)
+SELECT text, norm, trim(norm, ' ,.:;-/_''"()[]{}*&#$€£¥') AS stem, regexp_replace(upper(replace(text, 'ß', 'SS')), '[^B-DF-HJ-NP-TV-Z0-9]', '', 'g') AS skeleton,
+  regexp_replace(translate(regexp_replace(text, '^[$€£¥§]+', ''), 'OoIlLi|Ss$BGZz·•', '00111115558622..'), '[^0-9.]', '', 'g') AS digits,
+  regexp_replace(regexp_replace(text, '[,$€£¥\s]', '', 'g'), '^\((.*)\)$', '-\1') AS value_key FROM w""")
 def fn_words(spark, d):
-    w = S.prose_tokens(S.table(spark, d, "documents")).select("text").distinct().where(F.col("text").rlike("^[!-~]+$"))
-    return w.select("text", T.word_key("text").alias("stem"), T.skeleton("text").alias("skeleton"), T.ocr_digits("text").alias("digits"), T.value_key("text").alias("value_key"))
+    w = S.prose_tokens(S.table(spark, d, "documents")).select("text").distinct()
+    return w.select("text", T.fold("text").alias("norm"), T.word_key("text").alias("stem"), T.skeleton("text").alias("skeleton"), T.ocr_digits("text").alias("digits"), T.value_key("text").alias("value_key"))
 
 
 @query(INV + """, a AS (SELECT doc_id, page, line_index, token_idx, text, x, y, w, h, lead(x) OVER o AS x2, lead(w) OVER o AS w2 FROM tok WINDOW o AS (PARTITION BY doc_id, page, line_index ORDER BY token_idx)),
@@ -264,12 +264,24 @@ def cand_exact_tokens(spark, d):
     return flat(got.select("doc_id", "field", F.col("matched_text").alias("value"), "page", "line_index", "box")).drop("y", "w", "h")
 
 
-@query(INV + """SELECT f.doc_id, f.field, n.page, n.line_index, n.text AS matched_text, round(n.x, 6) AS x FROM fld AS f JOIN numtok AS n
-ON f.doc_id = n.doc_id AND CAST(round(CAST(f.value AS DOUBLE) * 1000000) AS BIGINT) = CAST(round(n.number * 1000000) AS BIGINT) WHERE f.kind = 'float'""")
+#: Prices, and the whole parts of totals, which few pages print.
+@query(INV + """, f AS (
+  SELECT doc_id, field, CAST(value AS DOUBLE) AS v FROM fld WHERE field LIKE '%.price'
+  UNION ALL SELECT doc_id, field, floor(CAST(value AS DOUBLE)) FROM fld WHERE field LIKE '%.total'
+), same AS (
+  SELECT f.doc_id, f.field, n.page, n.line_index, n.text AS matched_text, n.x, 1.0::DOUBLE AS similarity FROM f JOIN numtok AS n
+  ON f.doc_id = n.doc_id AND CAST(round(f.v * 1000000) AS BIGINT) = CAST(round(n.number * 1000000) AS BIGINT)
+), part AS (
+  SELECT f.doc_id, f.field, n.page, n.line_index, n.text, n.x, 0.9::DOUBLE FROM f JOIN numtok AS n ON f.doc_id = n.doc_id AND f.v = trunc(n.number)
+  WHERE f.v = floor(f.v) AND NOT EXISTS (SELECT 1 FROM same AS s WHERE s.doc_id = f.doc_id AND s.field = f.field)
+)
+SELECT * REPLACE (round(x, 6) AS x) FROM same UNION ALL SELECT * REPLACE (round(x, 6) AS x) FROM part""")
 def cand_numbers(spark, d):
     f = S.invoice_fields(spark, d).where("kind = 'float'")
-    got = C.numbers(f, I.number_postings(S.invoice_tokens(spark, d))).where("similarity = 1")
-    return flat(got.select("doc_id", "field", "page", "line_index", "matched_text", "box")).drop("y", "w", "h")
+    whole = F.floor(F.col("value").cast("double")).cast("long").cast("string")
+    f = f.withColumn("value", F.when(F.col("field").endswith(".total"), whole).otherwise(F.col("value")))
+    got = C.numbers(f, I.number_postings(S.invoice_tokens(spark, d)))
+    return flat(got.select("doc_id", "field", "page", "line_index", "matched_text", "similarity", "box")).drop("y", "w", "h")
 
 
 @query(INV + """SELECT f.doc_id, f.field, n.page, n.line_index, n.text AS matched_text FROM fld AS f JOIN numtok AS n
@@ -622,3 +634,6 @@ def tpl_detected(spark, d):
 
     f = S.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("field"))
     return L.detected(f, f.select(F.lit("all").alias("form"), "field").distinct())
+
+
+from quillmap import cases  # noqa: E402, F401  adds its queries
