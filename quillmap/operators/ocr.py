@@ -72,7 +72,8 @@ def rows(fields: DataFrame, lines: DataFrame, least: float = 0.72) -> DataFrame:
         return F.when(F.coalesce(T.same_number(T.number(both), "wanted"), F.lit(False)), _hit(both, G.hull_of(F.array(w["box"], n["box"])), 0.95))
 
     number = F.when(F.col("wanted").isNotNull(), F.coalesce(first(same), first(alike), first(F.transform("words", pair))))
-    met = met.withColumn("hit", F.when(F.col("boolean"), first(F.transform("words", mark))).otherwise(number))
+    # explode of one value computes it once, where a projection would be merged into every use
+    met = met.select("*", F.explode(F.array(F.when(F.col("boolean"), first(F.transform("words", mark))).otherwise(number))).alias("hit"))
     found = met.where("hit is not null").select(*FIELD, "page", "line_index", F.col("hit.box").alias("box"), F.col("hit.text").alias("matched_text"), F.col("hit.similarity").alias("similarity"))
     rest = met.where("hit is null and not boolean and kind not in ('int', 'float')").select(*FIELD, "page", "line_index", "value")
     return found.union(sequences(rest, lines, least))
