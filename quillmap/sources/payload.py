@@ -47,23 +47,22 @@ SCHEMA = "field string, value string, kind string, page_hint int, context string
 def flatten(payloads: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
     """Fields of payloads (key, JSON): a table function, a row per leaf.
 
-    A payload that is null or no JSON gives one row of kind ``error``.
+    A payload that is null, no JSON or nested too deep gives one row of kind ``error``.
     """
 
     @F.udtf(returnType=SCHEMA)
     class Leaves:
         def eval(self, text: str):
             try:
-                got = json.loads(text)
-            except (TypeError, ValueError):
+                found = list(leaves(json.loads(text)))
+            except (TypeError, ValueError, RecursionError):
                 yield None, text, "error", None, None, None
                 return
-            yield from leaves(got)
+            yield from found
 
     spark = payloads.sparkSession
     spark.udtf.register("quillmap_leaves", Leaves)
-    payloads.createOrReplaceTempView("quillmap_payloads")
-    return spark.sql(f"SELECT p.`{key}`, l.* FROM quillmap_payloads p, LATERAL quillmap_leaves(p.`{payload}`) l")
+    return spark.sql(f"SELECT p.`{key}`, l.* FROM {{payloads}} p, LATERAL quillmap_leaves(p.`{payload}`) l", payloads=payloads)
 
 
 def from_dicts(payloads: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:

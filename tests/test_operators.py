@@ -106,7 +106,8 @@ def test_identical_labels_are_ambiguous(spark):
 
 def test_payloads_and_rounds(spark, tokens):
     payload = {"due": 1450.0, "when": "2026-03-15", "flag": None, "items": [{"name": "Balance", "amount": 77, "page": 2}, {"name": "Balance", "amount": 88, "page": 2}]}
-    df = spark.createDataFrame([("d", json.dumps(payload)), ("e", "no json")], "doc_id string, payload string")
+    df = spark.createDataFrame([("d", json.dumps(payload)), ("e", "no json"), ("deep", "[" * 9000 + "]" * 9000)], "doc_id string, payload string")
+    assert P.flatten(df).where("kind = 'error'").count() == 2
     flat = {r.field: (r.value, r.kind, r.page_hint, r.record) for r in P.flatten(df).collect()}
     assert flat["items[1].amount"] == ("88", "int", 2, "items[1]") and flat["due"] == ("1450.0", "float", None, None) and flat["flag"][1] == "null" and flat[None][1] == "error"
     got = {r.field: (r.status, r.page) for r in resolve_payloads(tokens, df, Options(recovery=False)).collect()}
