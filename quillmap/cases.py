@@ -722,3 +722,60 @@ def alg_values(spark):
         ("transport", round(float(plan.sum()), 6), " ".join(f"{i}>{int(r.argmax())}" for i, r in enumerate(plan))), ("assignment", float(sum(cost[i, j] for i, j in pairs)), " ".join(f"{i}>{j}" for i, j in pairs)), ("ratio", A.indel_ratio("abcde", "abxde"), str(A.common_length("abcde", "abxde"))),
     ]
     return spark.createDataFrame(rows, "name string, score double, result string")
+
+
+@page("name string, mode string", [
+    ("few", "ocr"), ("garbled", "ocr"), ("image", "ocr"), ("image, many words", "liteparse"), ("scanned", "ocr"), ("thin", "ocr"), ("one reader", "pdfium"), ("torn", "pdfium"), ("torn by parentheses", "pdfium"), ("loose", "pdfium"), ("loose, cells", "liteparse"), ("form", "pdfium"), ("plain", "liteparse"),
+])
+def idx_routes(spark):
+    """A page for each rule of routing, and pages that just miss one."""
+    from quillmap.operators import index as I
+
+    plain = {"p_tokens": 100, "l_tokens": 100, "alnum": 90, "non_space": 100, "split_decimals": 0, "split_parens": 0, "cells": 0, "tax_form": False, "garbled": False, "full_image": False, "scanned": False}
+    rows = {
+        "few": {"p_tokens": 24, "l_tokens": 24}, "garbled": {"garbled": True}, "image": {"full_image": True, "l_tokens": 49}, "image, many words": {"full_image": True, "l_tokens": 50}, "scanned": {"scanned": True, "l_tokens": 30},
+        "thin": {"l_tokens": 40, "alnum": 34}, "one reader": {"l_tokens": 24}, "torn": {"split_decimals": 5, "l_tokens": 105}, "torn by parentheses": {"split_decimals": 2, "split_parens": 2, "l_tokens": 105, "cells": 1},
+        "loose": {"split_decimals": 2, "l_tokens": 104}, "loose, cells": {"split_decimals": 2, "l_tokens": 104, "cells": 1}, "form": {"tax_form": True, "split_decimals": 1}, "plain": {},
+    }
+    kinds = ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'int'}" for k, v in plain.items())
+    return I.route_pages(spark.createDataFrame([(n, *(plain | r).values()) for n, r in rows.items()], f"name string, {kinds}"))
+
+
+@page("table string, rails long, side long, below long, kind string", [("rows", 2, 2, 0, "TRUE_2D_TABLE"), ("forms", 1, 0, 2, "LINEAR_RECORD"), ("single", 1, 0, 0, "UNKNOWN"), ("both", 2, 1, 1, "UNKNOWN")])
+def tbl_kinds(spark):
+    """Records side by side, one below the other, of one field, and one of each."""
+    from quillmap.operators import tables as B
+
+    rows = [("rows", r, c, 0.1 + 0.4 * c, 0.1 + 0.05 * r) for r in range(2) for c in range(2)] + [("forms", r, c, 0.1, 0.1 + 0.2 * r + 0.05 * c) for r in range(2) for c in range(2)]
+    rows += [("single", r, 0, 0.1, 0.1 + 0.05 * r) for r in range(3)] + [("both", 0, 0, 0.1, 0.1), ("both", 0, 1, 0.5, 0.1), ("both", 1, 0, 0.1, 0.3), ("both", 1, 1, 0.1, 0.35)]
+    return B.table_kind(spark.createDataFrame([("d", t, r, c, 1, (x, y, 0.1, 0.012)) for t, r, c, x, y in rows], f"doc_id string, table string, row int, column int, page int, box {BOX}"))
+
+
+@page("table string, n long, grid string", [("even", 6, "true"), ("uneven", 6, "false"), ("short", 4, "false"), ("wide", 6, "false"), ("crooked", 6, "false")])
+def tbl_grids(spark):
+    """Even rows; uneven ones, four, some .05 apart, and some that begin in two places."""
+    from quillmap.operators import tables as B
+
+    tops = {"even": [0.1 + 0.02 * k for k in range(6)], "uneven": [0.1, 0.11, 0.14, 0.15, 0.18, 0.19], "short": [0.1 + 0.02 * k for k in range(4)], "wide": [0.1 + 0.05 * k for k in range(6)], "crooked": [0.1 + 0.02 * k for k in range(6)]}
+    rows = [("d", t, 1, k, (0.1 + (0.1 * (k % 2) if t == "crooked" else 0), y, 0.1, 0.012)) for t, ys in tops.items() for k, y in enumerate(ys)]
+    return B.is_grid(spark.createDataFrame(rows, f"doc_id string, table string, page int, row int, box {BOX}"))
+
+
+@page("total_lines long, mapped_lines long, coverage_percent double", [(5, 3, 60.0)])
+def eval_covered(spark):
+    """A line covered by a third, one by a fifth, one whose text a result has, one that has a result's, one untouched."""
+    from quillmap.operators import evaluate as E, index as I
+
+    t = tokens(spark, [(1, 0.1, [("abcdefghij", 0.1)]), (1, 0.2, [("klmnopqrst", 0.1)]), (1, 0.3, [("total", 0.1)]), (1, 0.4, [("grand", 0.1), ("sum", 0.2)]), (1, 0.5, [("rest", 0.1)])])
+    rows = [(0.1, 0.1, 0.033, 0.012, "x1"), (0.1, 0.2, 0.02, 0.012, "x2"), (0.9, 0.9, 0.01, 0.01, "the total due"), (0.9, 0.9, 0.01, 0.01, "grand")]
+    return E.coverage(I.lines(t), spark.createDataFrame([("d", 1, r[:4], r[4]) for r in rows], f"doc_id string, page int, box {BOX}, matched_text string"))
+
+
+@page("status string, place string, text string", [("normalized", "1", "1,450.00")])
+def snk_citations(spark):
+    """Results as one JSON text for each document, read again."""
+    from quillmap.sources.files import citations
+
+    r = spark.createDataFrame([("d", "due", 1, (0.1, 0.2, 0.25, 0.012), "1,450.00", 0.95, "normalized")], f"doc_id string, field string, page int, box {BOX}, matched_text string, confidence double, status string")
+    at = lambda path: F.get_json_object("citations", path)
+    return citations(r).select(at("$[0].status").alias("status"), at("$[0].place.page").alias("place"), at("$[0].reference_text").alias("text"))
