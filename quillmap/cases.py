@@ -779,3 +779,63 @@ def snk_citations(spark):
     r = spark.createDataFrame([("d", "due", 1, (0.1, 0.2, 0.25, 0.012), "1,450.00", 0.95, "normalized")], f"doc_id string, field string, page int, box {BOX}, matched_text string, confidence double, status string")
     at = lambda path: F.get_json_object("citations", path)
     return citations(r).select(at("$[0].status").alias("status"), at("$[0].place.page").alias("place"), at("$[0].reference_text").alias("text"))
+
+
+@page("name string, x double, y double, w double, h double", [
+    ("corners", 0.1, 0.2, 0.3, 0.4), ("part", 0.125, 0.2, 0.05, 0.01), ("least part", 0.1, 0.2, 0.002, 0.01), ("tall", 0.1, 0.196, 0.1, 0.018), ("tall enough", 0.1, 0.2, 0.1, 0.05), ("meet", 0.15, 0.2, 0.05, 0.01), ("hull of some", 0.1, 0.2, 0.5, 0.11),
+    ("edges", 0.1, 0.2, 0.2, 0.21), ("thousandths", 200.0, 100.0, 210.0, 200.0), ("measures", 0.2, 0.21, 0.15, 0.205), ("shares", 0.333333, 0.5, 0.0, 1.0), ("valid", 1.0, 0.0, 0.0, 0.0),
+])
+def fn_boxes(spark):
+    """Boxes and measures of a box of .1 by .01 at (.1, .2)."""
+    lit = F.lit
+    a, b = G.box(lit(0.1), lit(0.2), lit(0.1), lit(0.01)), G.box(lit(0.15), lit(0.2), lit(0.1), lit(0.01))
+    none, four = G.box(lit(0.9), lit(0.9), lit(0.0), lit(0.1)), lambda v: F.struct(*[v[i].cast("double").alias(k) for i, k in enumerate("xywh")])
+    bad = G.box(lit(0.1), lit(0.1), lit(-0.1), lit(0.1))
+    flag = lambda c: c.cast("double")
+    rows = {
+        "corners": G.from_edges(lit(0.4), lit(0.6), lit(0.1), lit(0.2)), "part": G.part(a, lit(1), lit(3), lit(4)), "least part": G.part(a, lit(0), lit(0), lit(4), 0.002), "tall": G.tall(a), "tall enough": G.tall(G.box(lit(0.1), lit(0.2), lit(0.1), lit(0.05))),
+        "meet": G.meet(a, b), "hull of some": G.hull_of_some(F.array(a, none, G.box(lit(0.5), lit(0.3), lit(0.1), lit(0.01)))), "edges": four(G.edges(a)), "thousandths": four(G.thousandths(a)),
+        "measures": four(F.array(G.x1(a), G.y1(a), G.cx(a), G.cy(a))), "shares": four(F.array(G.iou(a, b), G.covered(a, b), G.iou(a, none), G.covered(a, a))),
+        "valid": four(F.array(flag(G.valid(a, lit(1))), flag(G.valid(a, lit(0))), flag(G.valid(bad, lit(1))), flag(G.meet(a, none).isNotNull()))),
+    }
+    got = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("box")) for n, v in rows.items()])))
+    return with_box(got, "xywh")
+
+
+@page("block_id int, text string", [(1, "head"), (3, "cell")])
+def idx_blocks_at(spark):
+    """Blocks that a box meets; touching edges is not meeting."""
+    from quillmap.operators import index as I
+
+    blocks = spark.createDataFrame([("d", 1, k, (x, y, 0.2, 0.1), t) for k, x, y, t in ((1, 0.0, 0.0, "head"), (2, 0.0, 0.1, "body"), (3, 0.1, 0.05, "cell"))] + [("d", 2, 4, (0.0, 0.0, 1.0, 1.0), "other")], f"doc_id string, page int, block_id int, box {BOX}, text string")
+    return I.blocks_at(blocks, spark.createDataFrame([("d", 1, (0.15, 0.0, 0.05, 0.1))], f"doc_id string, page int, query_box {BOX}"))
+
+
+@page("field string, rank int, rank_share double, margin double, many double, gap double, length double", [("a", 1, 1.0, 0.5, 1.098612, 0.0, 3.0), ("a", 2, 0.5, 1.0, 1.098612, 2.0, 1.0), ("b", 1, 1.0, 1.0, 0.693147, 0.0, 2.0)])
+def ctx_features(spark):
+    from quillmap.operators import context as X
+
+    rows = [("a", 1, 0.5, 1, 1, "one"), ("a", 2, None, 3, 1, "x"), ("b", 1, None, 2, None, "zz")]
+    r = spark.createDataFrame([("d", f, k, m, p, h, t, 1.0, (0.1, 0.2, 0.1, 0.01)) for f, k, m, p, h, t in rows], f"doc_id string, field string, rank int, margin double, page int, page_hint int, matched_text string, similarity double, box {BOX}")
+    got = X.features(r)
+    return got.select("field", "rank", F.col("f_rank").alias("rank_share"), F.col("f_margin").alias("margin"), F.round("f_count", 6).alias("many"), F.col("f_page_gap").alias("gap"), F.col("f_length").alias("length"))
+
+
+@page("field string, page int, tier int, matched_text string", [("a", 2, 0, "first"), ("b", 1, 1, "second"), ("b", 3, 1, "far")])
+def rank_tiers(spark):
+    """Each field's first tier that has any candidate."""
+    from quillmap.operators import ranking as R
+
+    schema = f"doc_id string, field string, page int, line_index int, box {BOX}, matched_text string, similarity double, page_hint int"
+    row = lambda f, p, t: ("d", f, p, 0, (0.1, 0.1, 0.1, 0.1), t, 1.0, 1)
+    parts = [spark.createDataFrame(rows, schema) for rows in ([row("a", 2, "first")], [row("a", 1, "late"), row("b", 1, "second"), row("b", 3, "far")])]
+    return R.tiers(parts)
+
+
+@page("sha string, copies long", [("ba7816bf", 2), ("cb8379ac", 1)])
+def src_by_content(spark):
+    """Files told by their content: two equal ones and another."""
+    from quillmap.sources.files import by_content
+
+    files = spark.createDataFrame([("a", bytearray(b"abc")), ("b", bytearray(b"abc")), ("c", bytearray(b"def"))], "path string, content binary")
+    return by_content(files).groupBy(F.substring("sha256", 1, 8).alias("sha")).agg(F.max("copy").cast("long").alias("copies"))
