@@ -839,3 +839,40 @@ def src_by_content(spark):
 
     files = spark.createDataFrame([("a", bytearray(b"abc")), ("b", bytearray(b"abc")), ("c", bytearray(b"def"))], "path string, content binary")
     return by_content(files).groupBy(F.substring("sha256", 1, 8).alias("sha")).agg(F.max("copy").cast("long").alias("copies"))
+
+
+@page("line_index int, text string, x double, w double", [
+    (0, "Example Road", 0.2, 0.16), (1, "Smith, John", 0.1, 0.16), (2, "12-34567", 0.3, 0.08), (3, "TARGET EXT", 0.1, 0.2), (4, "box 53", 0.12, 0.06), (5, "-", -1.0, -1.0),
+])
+def cand_located(spark):
+    """A run of words that is a value as it is, without punctuation, by its digits, by its letters, and the part of
+    a word that has it; and a line that has none."""
+    from quillmap.operators import candidates as C, index as I
+
+    t = tokens(spark, [(1, 0.1, [("at", 0.1), ("Example", 0.2), ("Road", 0.32)]), (1, 0.2, [("Smith,", 0.1), ("John", 0.22)]), (1, 0.3, [("No", 0.1), ("12-34567", 0.3)]), (1, 0.4, [("TARGET", 0.1), ("EXT", 0.27)]), (1, 0.5, [("pobox 53", 0.1)]), (1, 0.6, [("none", 0.1)])])
+    wanted_ = spark.createDataFrame([(0, "example road"), (1, "smith john"), (2, "1234567"), (3, "targetext"), (4, "box 53"), (5, "other")], "line_index int, norm string")
+    got = I.lines(t).select("line_index", "words").join(wanted_, "line_index").withColumn("at", C.locate(F.col("words"), F.col("norm")))
+    none = F.lit(-1.0)
+    return got.select("line_index", F.coalesce("at.text", F.lit("-")).alias("text"), F.coalesce(F.round("at.box.x", 6), none).alias("x"), F.coalesce(F.round("at.box.w", 6), none).alias("w"))
+
+
+@page("field string, page int, drift int, similarity double", [("on", 1, 0, 0.9), ("beside", 2, 1, 0.95 * 0.9), ("beside_number", 2, 1, 0.9), ("any", 7, 2, 0.95 * 0.9), ("free", 3, 0, 0.9)])
+def cand_drifted(spark):
+    """On the hinted page, else beside it, else anywhere; dates off it lose a twentieth, numbers don't."""
+    from quillmap.operators import candidates as C
+
+    rows = [("on", 1, 1, "fuzzy"), ("on", 2, 1, "fuzzy"), ("beside", 2, 1, "normalized_date"), ("beside", 9, 1, "normalized_date"), ("beside_number", 2, 1, "normalized_number"), ("any", 7, 1, "fuzzy"), ("free", 3, None, "fuzzy")]
+    c = spark.createDataFrame([("d", f, p, h, k, 0.9) for f, p, h, k in rows], "doc_id string, field string, page int, page_hint int, match_type string, similarity double")
+    return C.drifted(c).withColumn("similarity", F.round("similarity", 6))
+
+
+@page("field string, status string, matched_text string", [("evidence", "exact", "Example Road,"), ("stripped", "exact", "Express"), ("torn", "exact", "3 3 . 5"), ("number", "normalized", "$77.00"), ("when", "normalized", "2024-03-05"), ("lost", "not_found", "-")])
+def resolve_tiers(spark):
+    """One field for each way of being found: by its evidence, without its punctuation, recovered, as number and as date."""
+    from quillmap.plans.resolve import Options, resolve
+
+    t = tokens(spark, [(1, 0.1, [("12", 0.1), ("Example", 0.14), ("Road,", 0.23)]), (1, 0.2, [("Express", 0.1)]), (1, 0.3, [("Rate", 0.1), ("3", 0.2), ("3", 0.22), (".", 0.24), ("5", 0.26)]), (1, 0.4, [("$77.00", 0.1)]), (1, 0.5, [("March", 0.1), ("5,", 0.17), ("2024", 0.2)])])
+    f = wanted(spark, ("evidence", "99", "int", "", 1), ("stripped", "(Express)", "str", "", 1), ("torn", "33.5", "float", "", 1), ("number", "77", "int", "", 1), ("when", "2024-03-05", "str", "", 1), ("lost", "zzz", "str", "", 1))
+    f = f.withColumn("evidence_text", F.when(F.col("field") == "evidence", "Example Road,"))
+    got = resolve(t, f, Options(strip=True))
+    return got.withColumn("matched_text", F.coalesce("matched_text", F.lit("-")))
