@@ -1,10 +1,10 @@
-"""Queries over the ten operators, with production parameters, and their SQL."""
+"""Queries over the operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillmap.llm import chat, graphdedup, langid, lm, mixing, packing, quality, simhash, topk, warc
+from quillmap.llm import chat, exponion, graphdedup, langid, lm, mixing, packing, quality, simhash, topk, toxicity, warc, whitening
 from quillmap.llm.shared import remainder, table
 
 
@@ -92,8 +92,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), score.alias("score"), F.when(score >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exponion.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    found = toxicity.scored(docs.select("doc_id", "text", "lang"), model)
+    score = F.col("toxicity_score")
+    return found.select("doc_id", held.alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"), F.col("toxic").alias("by_language"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_graph_dedup, op2_language_id, op3_chat, op4_packing, op5_language_model, op6_warc, op7_simhash, op8_mixing, op9_topk, op10_quality)}
+    ops = (op1_graph_dedup, op2_language_id, op3_chat, op4_packing, op5_language_model, op6_warc, op7_simhash, op8_mixing, op9_topk, op10_quality, op11_codes, op12_whitening, op13_toxicity)
+    return {f.__name__: f for f in ops}
 
 
 WARC_SQL = """
@@ -176,6 +195,39 @@ WHERE has = 1 OR NOT (role = 'assistant' OR role = 'user' AND turn >= 1)
 """
 
 
+def _codes_sql(rounds: int) -> str:
+    """Every part against every entry of its position; vectors of 64 components, 64 entries."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, min(((p.x0 - c.x0) ** 2 + (p.x1 - c.x1) ** 2 + (p.x2 - c.x2) ** 2 + (p.x3 - c.x3) ** 2)::BIGINT * 64 + c.entry) AS best
+  FROM p JOIN c{k} AS c ON p.part = c.part GROUP BY p.vec_id, p.part
+)""")
+        if k < rounds:
+            means = ", ".join(f"CASE WHEN m.n IS NULL THEN c.x{i} ELSE (m.x{i} - ((m.x{i} % m.n) + m.n) % m.n) // m.n END AS x{i}" for i in range(4))
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, {means} FROM c{k} AS c LEFT JOIN (
+    SELECT p.part, a.best % 64 AS entry, count(*) AS n, sum(p.x0) AS x0, sum(p.x1) AS x1, sum(p.x2) AS x2, sum(p.x3) AS x3
+    FROM p JOIN a{k} AS a ON p.vec_id = a.vec_id AND p.part = a.part GROUP BY p.part, a.best % 64
+  ) AS m ON c.part = m.part AND c.entry = m.entry
+)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, i AS part, e[4 * i + 1] AS x0, e[4 * i + 2] AS x1, e[4 * i + 3] AS x2, e[4 * i + 4] AS x3 FROM v, range(16) AS r(i)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x0, x1, x2, x3 FROM p QUALIFY entry < 64
+), {", ".join(steps)}, f AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+)
+SELECT f.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(x0 || ',' || x1 || ',' || x2 || ',' || x3, ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM f JOIN v ON f.vec_id = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Learned models, fingerprints and packing have no SQL form; their tests use brute force."""
-    return {"op1_graph_dedup": GRAPH_SQL, "op3_chat": CHAT_SQL, "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL}
+    """Learned models, fingerprints, packing and eigenvectors have no SQL form; their tests use brute force."""
+    return {"op1_graph_dedup": GRAPH_SQL, "op3_chat": CHAT_SQL, "op6_warc": WARC_SQL, "op9_topk": TOPK_SQL, "op11_codes": _codes_sql(2)}

@@ -1,4 +1,4 @@
-"""The ten queries on small tables with nulls, empty texts, repeats and clashing columns, and on empty ones."""
+"""The queries on small tables with nulls, empty texts, repeats and clashing columns, and on empty ones."""
 
 import json
 import zlib
@@ -47,6 +47,8 @@ COLUMNS = {
     "op5_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op6_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op7_simhash": ["doc_id", "fingerprint", "component_id"], "op9_topk": ["query_id", "rank", "vec_id", "distance"], "op10_quality": ["doc_id", "held_out", "score", "predicted"],
     "op8_mixing": ["doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept"], "op3_chat": ["conv_id", "turn", "part", "role", "kind", "call_id", "tool", "level", "status", "errors", "json"],
+    "op11_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"], "op12_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_toxicity": ["doc_id", "held_out", "score", "predicted", "by_language"],
 }
 
 
@@ -56,7 +58,7 @@ def test_query(spark, small, empty, name):
     assert got.columns == COLUMNS[name] and queries.queries()[name](spark, empty).count() == 0
     found = got.collect()
     crc = lambda i, m: None if i is None else zlib.crc32(str(i).encode()) % m
-    for op, m, k in (("op2_language_id", 4, 2), ("op5_language_model", 7, 2), ("op10_quality", 5, 0)):
+    for op, m, k in (("op2_language_id", 4, 2), ("op5_language_model", 7, 2), ("op10_quality", 5, 0), ("op13_toxicity", 3, 1)):
         if name == op:
             assert len(found) == 45 and all(r.held_out == (crc(r.doc_id, m) == k) for r in found)
     if name == "op2_language_id":
@@ -64,6 +66,12 @@ def test_query(spark, small, empty, name):
         assert {r.lang_pred for r in found if r.doc_id in (2, 4, 9, 11)} == {"und"} and [r.lang_pred for r in found].count("und") == 1 + sum(not any(map(str.isalpha, t or "")) for _, t, *_ in rows_of(40, False))
     if name == "op10_quality":
         assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in found)
+    if name == "op13_toxicity":
+        assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in found)
+    if name == "op11_codes":
+        assert len(found) == 215 and all(len(r.code) == 32 for r in found) and len({r.codebooks_sha256 for r in found}) == 1
+    if name == "op12_whitening":
+        assert len(found) == 215 * 32 and all(r.identity_error < 1e-4 and r.n == 215 for r in found)
     if name == "op7_simhash":
         assert all(len(r.fingerprint) == 16 and r.fingerprint == r.fingerprint.lower() for r in found) and len(found) == 45
         assert {r.fingerprint for r in found if r.doc_id in (2,)} == {"0" * 16}

@@ -1,0 +1,129 @@
+"""Product codes and whitening against plain versions."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from quillmap.llm import exponion, whitening
+
+SCHEMA = "vec_id long, embedding array<double>, label int, code string, n long"
+
+
+def vectors(n, seed=1, dims=64):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((9, dims))
+    return [(k, (centres[k % 9] * 0.1 + rng.standard_normal(dims) * 0.05).tolist(), k % 4 if k % 5 else None, "x", 1) for k in range(n)]
+
+
+def odd(rows):
+    """A null, an empty one, null, infinite, NaN and huge components, another length, ties, a repeated id, a whole repeated row, null ids."""
+    bad = [(900, None, 1), (901, [], 1), (902, [None] * 64, 1), (903, [math.inf] * 64, 1), (904, [math.nan] * 64, 1), (905, [0.5] * 63 + [1e300], 1), (906, [0.25] * 12, 1)]
+    return rows + [(*b, "x", 1) for b in bad] + [(907, rows[3][1], 2, "x", 1), (3, rows[5][1], 2, "x", 1), rows[7], (None, rows[8][1], 1, "x", 1), (908, [0.0] * 64, 1, "x", 1)]
+
+
+def left(rows):
+    return [r for r in rows if r[1] and len(r[1]) == 64 and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in r[1])]
+
+
+def plain_codes(rows, size, rounds, parts=16):
+    """Every part against every entry, in Python's integers."""
+    rows = [(r[0], [math.floor(256 * x) for x in r[1]], r[2]) for r in rows]
+    w = len(rows[0][1]) // parts
+    cut = [[tuple(r[1][p * w : (p + 1) * w]) for p in range(parts)] for r in rows]
+    first = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))[:size]
+    books = [[cut[i][p] for i in first] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            groups = {}
+            for c in cut:
+                groups.setdefault(near(c[p], books[p])[1], []).append(c[p])
+            books[p] = [tuple(sum(x) // len(groups[k]) for x in zip(*groups[k])) if k in groups else e for k, e in enumerate(books[p])]
+    found = [[near(c[p], books[p]) for p in range(parts)] for c in cut]
+    errors = [sum(d for d, _ in f) for f in found]
+    sha = hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+    return sorted(((r[0], "".join(f"{k:02x}" for _, k in f), e, sum(x for x, o in zip(errors, rows) if o[2] == r[2]), sha) for r, f, e in zip(rows, found, errors)), key=str)
+
+
+@pytest.mark.parametrize("n,size,rounds", [(150, 64, 2), (60, 8, 4), (20, 64, 1)])
+def test_codes_are_those_of_every_comparison(spark, n, size, rounds):
+    rows = odd(vectors(n))
+    got = exponion.compress(spark.createDataFrame(rows, SCHEMA), size=size, rounds=rounds)
+    assert got.columns == ["vec_id", "label", "code", "error", "label_error", "codebooks_sha256"]
+    got = sorted(((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got.collect()), key=str)
+    assert got == plain_codes(left(rows), size, rounds)
+
+
+def test_labels_joined_by_a_shuffle_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(exponion, "BROADCAST_LABELS", 0)
+    rows = vectors(40)
+    got = exponion.compress(spark.createDataFrame(rows, SCHEMA), size=4).collect()
+    assert sorted(((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got), key=str) == plain_codes(rows, 4, 2)
+    for none in ([], [(1, None, 2, "x", 1)]):
+        assert exponion.compress(spark.createDataFrame(none, SCHEMA)).collect() == [] == whitening.whiten(spark.createDataFrame(none, SCHEMA)).collect()
+
+
+def test_a_search_looks_inside_a_sufficient_radius(spark):
+    rng = np.random.default_rng(4)
+    entries = rng.integers(-40, 40, (3, 50, 4))
+    entries[:, 20:25] = entries[:, 3:4]  # equal entries: the lowest index wins
+    book, x = exponion.Codebooks.of(entries), rng.integers(-60, 60, (500, 3, 4))
+    away = ((x[:, :, None, :] - entries[None]) ** 2).sum(-1)
+    for start in (np.zeros((500, 3), np.int64), rng.integers(0, 50, (500, 3))):
+        code, best = book.nearest(x, start)
+        assert (code == away.argmin(-1)).all() and (best == away.min(-1)).all()
+
+
+def test_lengths_that_parts_do_not_divide(spark):
+    rows = vectors(30, dims=10)
+    got = {r.vec_id: (r.code, r.error) for r in exponion.compress(spark.createDataFrame(rows, SCHEMA), parts=4, size=5).collect()}
+    want = plain_codes([(r[0], r[1] + [0.0, 0.0], r[2]) for r in rows], 5, 2, parts=4)
+    assert got == {w[0]: (w[1], w[2]) for w in want}
+
+
+def plain_whitening(rows, k):
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in r[1]] for r in rows], object)
+    n, s = len(x), x.sum(axis=0)
+    z = ((n * x - s) / n).astype(float)
+    e, v = np.linalg.eigh(z.T @ z / n)
+    e, v = e[::-1][:k], v[:, ::-1][:, :k]
+    return n, [int(d) for d in ((n * x - s) ** 2).sum(axis=1)], z @ v / np.sqrt(e), e / np.trace(z.T @ z / n)
+
+
+def test_whitening_is_that_of_the_covariance(spark):
+    rows = odd([(i, (np.array(v) * np.linspace(1, 9, 64)).tolist(), *r) for i, v, *r in vectors(400, 2)])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = whitening.whiten(df).collect()
+    used = left(rows)
+    n, deviation, z, explained = plain_whitening(used, 32)
+    assert len(got) == 32 * len(used) and {r.n for r in got} == {n} and max(r.identity_error for r in got) < 1e-9 and len({r.identity_error for r in got}) == 1
+    found = {}
+    for r in got:
+        if r.vec_id is not None and r.vec_id not in (3, 7):
+            found.setdefault(r.vec_id, {})[r.component] = r
+    for i, row in enumerate(used):
+        if row[0] in found:
+            own = found[row[0]]
+            assert {r.deviation for r in own.values()} == {deviation[i]}
+            for k in range(32):
+                assert abs(abs(own[k + 1].whitened) - abs(z[i, k])) < 1e-6 and abs(own[k + 1].explained / explained[k] - 1) < 1e-9
+    one = found[10]
+    for k in range(32):  # one sign for all rows
+        sign = np.sign(one[k + 1].whitened * z[[r[0] for r in used].index(10), k])
+        assert all(sign * own[k + 1].whitened * z[i, k] > -1e-6 for i, row in enumerate(used) if (own := found.get(row[0])))
+
+
+def test_variance_that_is_not_there(spark):
+    rows = [(k, [float(k % 5), 1.0, float(k % 5)], 0, "x", 1) for k in range(50)]
+    got = whitening.whiten(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 150 and all(r.whitened == 0 for r in got if r.component > 1) and max(r.identity_error for r in got) < 1e-9
+    (one,) = {(r.whitened, r.explained, r.deviation, r.identity_error) for r in whitening.whiten(spark.createDataFrame(rows[:1], SCHEMA)).collect()}
+    assert one == (0.0, 0.0, 0, 0.0)
+
+
+def test_deviations_beyond_63_bits(spark):
+    centre = whitening.Mean(3, np.array([10, 10]), np.array([1, 2]))
+    assert centre.deviations(np.array([[10, 10], [2**29, 10], [2**40, 10]])) == [5, (3 * (2**29 - 10) - 1) ** 2 + 4, None]
+    assert centre.deviations(np.array([[11, 9]])) == [(3 - 1) ** 2 + (-3 - 2) ** 2]
