@@ -16,10 +16,11 @@ vector y with nearest centre c has none whose nearest centre is d unless
 y.d >= y.c - sqrt(2 - 2t) |c - d|. Where this holds, the vector is compared with
 all vectors at home in that shard, so dealing loses no link, whatever the overlap.
 
-An audit compares some vectors of each shard, first of all those with most links,
-with all members; where its recall is under ``recall`` (by default: where one link is
-missing), all vectors at home in the shard are compared in this way instead of by
-searches. Each row carries the recall that the audit of its shard measured.
+Inside a shard a search can miss what no edge leads to. So an exact check follows each: the
+shard's rows lie in cells about some of them, and a search's vector is compared with the rows
+of every cell that the triangle inequality can't rule out. Links that the search missed are
+added, so the result hangs on no draw, and what was missed is the audit: each row carries the
+recall that the searches of its shard had, measured over all their links.
 
 Equal vectors are collapsed first. Shards over ``block_rows`` rows are cut into
 blocks by a hash, and every block of searches meets every block of the shard,
@@ -47,8 +48,6 @@ ENTRIES = 8
 #: The greedy part of a search goes on while one of so many best known rows is not expanded.
 BEAM = 12
 PAIRS = 1 << 16
-#: Vectors audited in a shard: this many with most links and as many by a hash.
-SLICES = 8
 
 
 def usable(embedding: str, label: str) -> Column:
@@ -153,6 +152,36 @@ def range_search(x: np.ndarray, first: np.ndarray, to: np.ndarray, q: np.ndarray
     return known >= threshold
 
 
+class Cover:
+    """Rows in cells about some of them, each with the largest distance of a member."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        n = len(x)
+        self.x, self.leaders = x, x[np.linspace(0, n - 1, max(int(n**0.5), 1)).astype(np.int64)]
+        like = x @ self.leaders.T
+        at = like.argmax(axis=1)
+        order = np.argsort(at, kind="stable")
+        self.cells = np.split(order, np.searchsorted(at[order], np.arange(1, len(self.leaders))))
+        self.radius = np.array([_away(like[c, k]).max(initial=0) for k, c in enumerate(self.cells)])
+
+    def within(self, q: np.ndarray, threshold: float) -> np.ndarray:
+        """For each query the rows with cosine >= threshold, as a matrix of booleans, by every comparison that the bound leaves."""
+        hits, like = np.zeros((len(q), len(self.x)), bool), q @ self.leaders.T
+        at, apart = like.argmax(axis=1), _away(threshold)
+        for k in np.unique(at):
+            rows = np.flatnonzero(at == k)
+            gap = _away(self.leaders @ self.leaders[k])
+            near = np.flatnonzero(gap <= _away(like[rows, k]).max() + self.radius + apart + 1e-6)
+            columns = np.concatenate([self.cells[c] for c in near])
+            hits[np.ix_(rows, columns)] = q[rows] @ self.x[columns].T >= threshold
+        return hits
+
+
+def _away(cosine: np.ndarray | float) -> np.ndarray:
+    """The distance of unit vectors of a cosine."""
+    return np.sqrt(np.maximum(2 - 2 * np.asarray(cosine), 0))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the pairs (a, b)."""
     parent: dict[int, int] = {}
@@ -188,7 +217,7 @@ def centres(rows: DataFrame, shard_rows: int) -> dict[tuple, np.ndarray]:
         x = x[np.lexsort(x.T)]
         c = x[np.random.default_rng(5).permutation(len(x))[: large[label, dims]]].copy()
         for _ in range(5):
-            at = (x @ c.T).argmax(axis=1)
+            at = np.concatenate([(x[k : k + 1024] @ c.T).argmax(axis=1) for k in range(0, len(x), 1024)])
             sums = np.zeros_like(c)
             np.add.at(sums, at, x)
             length = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -199,6 +228,8 @@ def centres(rows: DataFrame, shard_rows: int) -> dict[tuple, np.ndarray]:
 
 #: Beyond the rounding of cosines of unit vectors.
 SLACK = 1e-9
+#: Vectors dealt out in one go.
+SLICE = 1024
 
 
 def spread(rows: DataFrame, found: dict[tuple, np.ndarray], overlap: int, threshold: float) -> DataFrame:
@@ -209,26 +240,30 @@ def spread(rows: DataFrame, found: dict[tuple, np.ndarray], overlap: int, thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pdf = batch.to_pandas()
-            out = []
-            for (label, dims), g in pdf.groupby(["label", "dims"]):
-                c = held.value.get((label, dims))
-                at = np.zeros((len(g), 1), np.int64)
-                far = []
-                if c is not None:
-                    s = unit(g["embedding"]) @ c.T
-                    k = min(overlap, s.shape[1])
-                    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
-                    far = _beyond(s, at, c, apart)
-                for k in range(at.shape[1]):
-                    out.append(g.assign(shard=at[:, k].astype(np.int32), home=k == 0, extra=False))
-                for who, what in far:
-                    if out:
-                        yield pa.RecordBatch.from_pandas(pd.concat(out), schema, preserve_index=False)
-                    out = [g.iloc[who].assign(shard=what.astype(np.int32), home=False, extra=True)]
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), schema, preserve_index=False)
+            # in slices: a row of cosines is as long as there are centres
+            for k in range(0, len(batch), SLICE):
+                yield from dealt(batch.slice(k, SLICE).to_pandas())
+
+    def dealt(pdf: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (label, dims), g in pdf.groupby(["label", "dims"]):
+            c = held.value.get((label, dims))
+            at = np.zeros((len(g), 1), np.int64)
+            far = []
+            if c is not None:
+                s = unit(g["embedding"]) @ c.T
+                k = min(overlap, s.shape[1])
+                at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                at = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+                far = _beyond(s, at, c, apart)
+            for k in range(at.shape[1]):
+                out.append(g.assign(shard=at[:, k].astype(np.int32), home=k == 0, extra=False))
+            for who, what in far:
+                if out:
+                    yield pa.RecordBatch.from_pandas(pd.concat(out), schema, preserve_index=False)
+                out = [g.iloc[who].assign(shard=what.astype(np.int32), home=False, extra=True)]
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.concat(out), schema, preserve_index=False)
 
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("label", _arrow(rows, "label")), ("dims", pa.int32()), ("embedding", pa.list_(pa.float64())), ("shard", pa.int32()), ("home", pa.bool_()), ("extra", pa.bool_())])
     kind = rows.schema["label"].dataType.simpleString()
@@ -255,9 +290,9 @@ def _arrow(rows: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(rows.schema[column].dataType)
 
 
-def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, block_rows: int, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Per search (a, n null-free, b null) its number of links; per forest edge (a, b, n null).
-    Then (rep, recall): what the audit of the vector's shard measured."""
+def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Per search (a, n, seen, b null) its number of links, and of those that the search itself found;
+    per forest edge (a, b, n null). Then (rep, recall) of the searches in the vector's shard."""
     key = ["label", "dims", "shard"]
     every = cut(spread(rows, centres(rows, shard_rows), overlap, threshold))
     members = every.where("not extra").drop("extra")
@@ -298,27 +333,26 @@ def found_links(rows: DataFrame, threshold: float, overlap: int, shard_rows: int
             own = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
             own = np.where(ids[own] == qids, own, -1)
             x, q, weight = unit(own_rows["embedding"]), unit(queries["embedding"]), own_rows["n"].to_numpy(np.int64)
+            cover = Cover(x)
             for lo in range(0, len(q), 512):
                 part = slice(lo, lo + 512)
-                hits = range_search(x, first, at[inside], q[part], own[part], threshold)
+                found = range_search(x, first, at[inside], q[part], own[part], threshold)
+                hits = found | cover.within(q[part], threshold)
                 mine = np.flatnonzero(own[part] >= 0)
-                hits[mine, own[part][mine]] = False
-                out += [(i, None, k) for i, k in zip(qids[part].tolist(), (hits @ weight).tolist())]
+                found[mine, own[part][mine]] = hits[mine, own[part][mine]] = False
+                out += [(i, None, k, l) for i, k, l in zip(qids[part].tolist(), (hits @ weight).tolist(), (found @ weight).tolist())]
                 a, b = np.nonzero(hits)
-                out += [(i, j, None) for i, j in forest(qids[part][a], ids[b])]
-        return pd.DataFrame(out, columns=["a", "b", "n"], dtype=object).astype("Int64")
+                out += [(i, j, None, None) for i, j in forest(qids[part][a], ids[b])]
+        return pd.DataFrame(out, columns=["a", "b", "n", "seen"], dtype=object).astype("Int64")
 
     home = every.where("home")
-    searched = both.groupBy(*key, "block", "searches").applyInPandas(search, "a long, b long, n long")
-    searched = cut(searched.union(compared(home, every.where("extra"), threshold, block_rows)))
-    audit = cut(audited(home, every, searched, threshold, block_rows))
-    measured = home.join(audit, key).select("rep", "recall")
-    failed = audit.where(F.col("recall") < recall).select(*key)
-    if not failed.limit(1).count():
-        return searched, measured
-    anew = cut(home.join(failed, key))
-    kept = searched.join(anew.select(F.col("rep").alias("a")), "a", "left_anti")
-    return kept.union(compared(anew, every.join(failed, key, "left_semi"), threshold, block_rows)), measured
+    searched = both.groupBy(*key, "block", "searches").applyInPandas(search, "a long, b long, n long, seen long")
+    searched = cut(searched.union(compared(home, every.where("extra"), threshold, block_rows).withColumn("seen", F.lit(None).cast("long"))))
+    links = searched.where("seen is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    shards = home.select("rep", *key)
+    share = F.when(F.sum("n") > 0, F.sum("seen") / F.sum("n")).otherwise(1.0)
+    measured = shards.join(shards.join(links, "rep").groupBy(*key).agg(share.alias("recall")), key).select("rep", "recall")
+    return searched.drop("seen"), measured
 
 
 def compared(asked: DataFrame, others: DataFrame, threshold: float, block_rows: int) -> DataFrame:
@@ -353,26 +387,7 @@ def compared(asked: DataFrame, others: DataFrame, threshold: float, block_rows:
     return both.groupBy(*key, "a", "b").applyInPandas(meet, "a long, b long, n long")
 
 
-def audited(home: DataFrame, every: DataFrame, searched: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """(label, dims, shard, recall): the share of the links of audited vectors that searches found.
-
-    Of the vectors at home in a shard, those that found most links in each of
-    ``SLICES`` slices and one of each slice by a hash are compared with all members.
-    """
-    key = ["label", "dims", "shard"]
-    links = searched.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    known = cut(home.join(links, "rep", "left").fillna(0, ["links"]))
-    hashed = F.xxhash64("rep")
-    picked = known.groupBy(*key, F.pmod(hashed, F.lit(SLICES))).agg(F.max(F.struct("links", "rep")).alias("most"), F.min(F.struct(hashed, "rep")).alias("any"))
-    picked = picked.select(F.explode(F.array("most.rep", "any.rep")).alias("rep")).distinct()
-    asked = cut(known.join(picked, "rep"))
-    there = compared(asked, every, threshold, block_rows).where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("there"))
-    cells = asked.join(there, "rep", "left").groupBy(*key).agg(F.sum("links").alias("links"), F.sum("there").alias("there"))
-    share = F.when(F.coalesce("there", F.lit(0)) > 0, F.col("links") / F.col("there")).otherwise(1.0)
-    return cells.select(*key, share.alias("recall"))
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int = 4, shard_rows: int = SHARD_ROWS, block_rows: int = 4096, recall: float = 1.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int = 4, shard_rows: int = SHARD_ROWS, block_rows: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, recall, kept) for each row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors link if their labels are equal and their cosine in double
@@ -380,14 +395,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int =
     has a null or non-finite component, a null label or a null id links with
     nothing and is its own component. Vectors of different length never link.
     Rows that repeat an id count as vectors of their own; ids are integers. ``recall`` is
-    what the audit of the vector's shard measured before it was compared exactly, null
+    the share of their links that the searches of the vector's shard found before the exact check, null
     where a vector can't link. An empty table gives an empty table; other columns are ignored.
     """
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     own = cut(own.withColumn("fit", usable("embedding", "label") & F.col("vec_id").isNotNull()))
     copies = own.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     rows = cut(copies.withColumn("dims", F.size("embedding")))
-    found, measured = found_links(rows, threshold, overlap, shard_rows, block_rows, recall)
+    found, measured = found_links(rows, threshold, overlap, shard_rows, block_rows)
     found = cut(found)
     counts = cut(found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")))
     nodes = components(found.where("b is not null"))

@@ -63,3 +63,38 @@ def test_the_audit_tells_its_recall(spark, monkeypatch):
     assert {r.recall for r in graphdedup.near_duplicates(df).collect()} == {1.0}
     monkeypatch.setattr(graphdedup, "range_search", lambda x, first, to, q, own, threshold: np.zeros((len(q), len(x)), bool))
     assert {r.recall for r in graphdedup.near_duplicates(df).collect()} == {0.0}
+
+
+def test_small_groups_beside_a_large_one(spark):
+    """Groups that no edge joins: one fills the nearest lists of its own, two others lie 0.985 apart, the rest stand alone."""
+    rng, vectors = np.random.default_rng(21), []
+
+    def group(centre, n):
+        v = centre + rng.standard_normal((n, 64)) * 1e-3
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def direction():
+        v = rng.standard_normal(64)
+        return v / np.linalg.norm(v)
+
+    for label in range(24):
+        a, b = direction(), direction()
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows = np.concatenate([group(direction(), 338), group(a, 66), group(0.985 * a + (1 - 0.985**2) ** 0.5 * b, 66), rng.standard_normal((30, 64))])
+        vectors += [(500 * label + k, v.tolist(), label) for k, v in enumerate(rows)]
+    got = graphdedup.near_duplicates(spark.createDataFrame(vectors, SCHEMA)).collect()
+    assert {r.vec_id: r.n_links for r in got} == brute_force(vectors)
+    # both small groups of a label are one component
+    for r in got:
+        k = r.vec_id % 500
+        assert r.component_id == r.vec_id - k + (0 if k < 338 else 338 if k < 470 else k)
+    assert 0 < min(r.recall for r in got) < 1
+
+
+def test_a_cover_leaves_out_no_link():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([near(rng, 60, 0.02) for _ in range(12)] + [rng.standard_normal((100, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (graphdedup.Cover(x).within(x[::3], 0.98) == (x[::3] @ x.T >= 0.98)).all()
+    assert graphdedup.Cover(x[:1]).within(x[:1], 0.98).tolist() == [[True]]
