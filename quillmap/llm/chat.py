@@ -111,19 +111,36 @@ def _constant(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else _constant(digits)
+
+
+def _text(x: str) -> str:
+    """Surrogates that stand alone become escapes, as UTF-8 has no place for them."""
+    return x.encode("utf-8", "backslashreplace").decode()
+
+
 def parse(kind: str, content: str, schemas: dict) -> tuple[str | None, str | None, str, list[str], list[str]]:
-    """Identifier, tool, canonical JSON, references, errors of a call or result."""
+    """Identifier, tool, canonical JSON, references, errors of a call or result.
+
+    What is no JSON, nested too deep, has a number that no double holds or no text as identifier is kept as it stands, under
+    ``raw``; a name that is no text is an error. Never raises.
+    """
+    raw = canonical({"raw": _text(content)})
     try:
-        got = json.loads(content, parse_constant=_constant)
+        got = json.loads(content, parse_constant=_constant, parse_float=_finite)
+        if not isinstance(got, dict) or not isinstance(got.get("id"), str):
+            return None, None, raw, [], ["no identifier"]
+        if kind == "result":
+            return _text(got["id"]), None, _text(canonical({"content": got.get("content"), "id": got["id"]})), [], []
+        name, arguments = got.get("name"), got.get("arguments", {})
+        known = isinstance(name, str) and name in schemas
+        errors = violations(arguments, schemas[name]) if known else [f"unknown tool {name}" if isinstance(name, str) else "no name"]
+        body, refs = canonical({"arguments": arguments, "id": got["id"], "name": name}), sorted(references(arguments))
     except (ValueError, RecursionError) as e:
-        return None, None, canonical({"raw": content}), [], [f"no JSON: {e}"[:200]]
-    if not isinstance(got, dict) or not isinstance(got.get("id"), str):
-        return None, None, canonical({"raw": content}), [], ["no identifier"]
-    if kind == "result":
-        return got["id"], None, canonical({"content": got.get("content"), "id": got["id"]}), [], []
-    name, arguments = got.get("name"), got.get("arguments", {})
-    errors = [f"unknown tool {name}"] if name not in schemas else violations(arguments, schemas[name])
-    return got["id"], name if isinstance(name, str) else None, canonical({"arguments": arguments, "id": got["id"], "name": name}), sorted(references(arguments)), errors
+        return None, None, raw, [], [_text(f"no JSON: {e}"[:200])]
+    return _text(got["id"]), _text(name) if isinstance(name, str) else None, _text(body), [_text(r) for r in refs], [_text(e) for e in errors]
 
 
 PIECE = "conv_id long, turn long, part int, role string, kind string, call_id string, tool string, body string, refs array<string>, errors array<string>"
