@@ -83,13 +83,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, rank: int = 64, neighbours: int = 11, power: float = 8.0) -> Model:
     """Learn from ``labels`` (doc_id, quality 0/1), joined to ``docs`` on doc_id.
 
-    At most ``sample_rows`` labelled rows are used, those with the smallest
-    hash of their id, of either label half if there are as many: the hot label
-    can't crowd out the other. Labels that are null or neither 0 nor 1 are
+    At most ``sample_rows`` labelled ids are used, those with the smallest
+    hash, of either label half if there are as many: the hot label
+    can't crowd out the other. An id has one place for each of its labels, however many rows
+    repeat it; of different texts of an id the least counts. Labels that are null or neither 0 nor 1 are
     ignored; contradicting labels of an id all vote. Without usable labels the
     model scores 0.5 throughout.
     """
-    rows = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    rows = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
     picked = [(r.doc_id, r.quality) for q in (0, 1) for r in rows.where(F.col("quality") == q).orderBy(*order).limit(sample_rows // 2).collect()]
     spark = docs.sparkSession
@@ -102,9 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, rank: int =
             yield pd.DataFrame({"quality": pdf["quality"], "doc_id": pdf["doc_id"], "grams": found})
 
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(few, "doc_id")
-    # an id that many rows repeat can't take more than its place in the sample
-    seen = joined.mapInPandas(run, "quality int, doc_id long, grams binary")
-    got = seen.orderBy(F.xxhash64("doc_id", "quality"), "grams").limit(sample_rows).toPandas()
+    # one text for each place, before anything is counted: the ids are few, their rows may be many
+    one = joined.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = one.mapInPandas(run, "quality int, doc_id long, grams binary").toPandas()
     if got.empty:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(((1 << BITS) + SHARES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power, 0.5)
     got = got.sort_values(["doc_id", "quality", "grams"], ignore_index=True)
