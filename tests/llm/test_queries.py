@@ -206,3 +206,45 @@ def test_shares_by_value_and_joins_by_a_shuffle(spark, small, monkeypatch):
         mixing.mix(docs, topics=topics)
     with pytest.raises(ValueError):
         mixing.mix(docs, shares={"colour": {"red": 1.0}}, topics=topics)
+
+
+def test_calls_that_no_json_reader_or_schema_expects(spark):
+    """Each of these is told as invalid and none ends the job."""
+    from quillmap.llm import chat
+
+    bodies = ['{"id":"a","name":"search","arguments":{"limit":1e999}}', '{"id":"b","name":["x"]}', '{"id":"c","name":{"x":1}}', '{"id":"d","name":"search","arguments":{"query":"\\ud800"}}', '{"id":"e","name":null}', '{"id":7}', "[" * 100_000,
+              '{"id":"f","name":"search","arguments":{"limit":NaN}}', '{"id":"\\udc00","name":"\\udc00"}', '{"id":"g","name":"search","arguments":' + '{"query":' * 5000 + "1" + "}" * 5000 + "}", '{"id":"h","name":"search","arguments":{"query":"x","limit":1' + "0" * 5000 + "}}"]
+    turns = [(1, i, "assistant", f"<tool_call>{b}</tool_call>") for i, b in enumerate(bodies)] + [(1, 90, "user", '<tool_result>{"id":"d","content":"\\ud800"}</tool_result>'), (2, 0, "user", "long " * 400_000)]
+    got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect() if r.conv_id == 1}
+    assert len(got) == 12
+    assert {k: got[k].status for k in got} == {**{k: "invalid" for k in range(11)}, 3: "ok", 90: "ok"}
+    for r in got.values():
+        assert json.loads(r.json) is not None
+    assert got[3].json == '{"arguments":{"query":"\\\\ud800"},"id":"d","name":"search"}' or json.loads(got[3].json)["arguments"]["query"] == "\ud800"
+
+
+def test_mixing_keeps_columns_of_any_name(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "a", 1, 2, 3, True, "t", 0.5) for i in range(30)],
+                                 "doc_id long, text string, lang string, source string, __p int, __tokens int, __source int, Kept boolean, Topic string, `a.b` double")
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "text", "lang", "source", "__p", "__tokens", "__source", "a.b", "topic", "n_tokens", "probability", "kept"]
+    got.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 30 and all((r["__p"], r["__tokens"], r["__source"], r["a.b"]) == (1, 2, 3, 0.5) for r in rows)
+
+
+def test_a_repeated_id_has_one_place_in_the_sample(spark):
+    hot = spark.sql("select id from range(400) order by xxhash64(id) limit 1").first().id
+    rows = [(i, f"clean text number {i} of many") for i in range(400) if i != hot] + [(hot, f"junk {k}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0) if i != hot else 1) for i in range(400)] + [(hot, 1)] * 50, "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample_rows=200)
+    assert len(model.labels) == 200 and model.labels.sum() == 100
+
+
+def test_very_long_texts(spark):
+    long = "the cat sat on the mat and looked at the dog " * 60_000
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, "word" * 500_000, "en", "b"), (3, "der Hund sah die Katze", "de", "a")], "doc_id long, text string, lang string, source string")
+    assert langid.predicted(docs, langid.fit(docs)).count() == 3
+    assert quality.scored(docs, quality.fit(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))).count() == 3
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(docs).collect()} == {1: 660_000, 2: 1, 3: 5}
