@@ -265,10 +265,10 @@ def cand_exact_tokens(spark, d):
 
 
 #: Prices, and the whole parts of totals, which few pages print.
-@query(INV + """, f AS (
+@query(INV.replace("numtok AS (", "numtok AS MATERIALIZED (") + """, f AS (
   SELECT doc_id, field, CAST(value AS DOUBLE) AS v FROM fld WHERE field LIKE '%.price'
   UNION ALL SELECT doc_id, field, floor(CAST(value AS DOUBLE)) FROM fld WHERE field LIKE '%.total'
-), same AS (
+), same AS MATERIALIZED (
   SELECT f.doc_id, f.field, n.page, n.line_index, n.text AS matched_text, n.x, 1.0::DOUBLE AS similarity FROM f JOIN numtok AS n
   ON f.doc_id = n.doc_id AND CAST(round(f.v * 1000000) AS BIGINT) = CAST(round(n.number * 1000000) AS BIGINT)
 ), part AS (
@@ -636,4 +636,4 @@ def tpl_detected(spark, d):
     return L.detected(f, f.select(F.lit("all").alias("form"), "field").distinct())
 
 
-from quillmap import cases  # noqa: E402, F401  adds its queries
+from quillmap import cases, page_queries  # noqa: E402, F401  add their queries

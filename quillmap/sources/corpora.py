@@ -81,6 +81,27 @@ def invoice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "field", "value", "kind", "context", F.col("page").alias("page_hint"), F.col("page").alias("gold_page"), "gold_line")
 
 
+def invoice_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, field, value, kind, page, gold_line, gold_token): every value of each order and its rows, clean, as a payload has them."""
+    pages = invoice_pages(spark, sf_dir)
+    order = F.concat(F.lit("orders["), F.col("page") - 1, F.lit("]"))
+
+    def leaf(name: Column, value: Column, kind: str, token: int) -> Column:
+        return F.struct(name.alias("field"), value.alias("value"), F.lit(kind).alias("kind"), F.lit(token).alias("gold_token"))
+
+    words = lambda c: F.date_format(c, "MMMM d, yyyy")
+    heads = pages.select("doc_id", "page", F.lit(0).alias("gold_line"), F.inline(F.array(
+        leaf(F.concat(order, F.lit(".number")), F.col("order").cast("string"), "int", 1), leaf(F.concat(order, F.lit(".date")), words("date"), "str", 2),
+        leaf(F.concat(order, F.lit(".total")), printed(F.col("total"), commas=False), "float", 4),
+    )))
+    row = F.concat(order, F.lit(".rows["), F.col("line_index") - 1, F.lit("]"))
+    rows = invoice_rows(spark, sf_dir).join(pages.select("order", "doc_id", "page"), "order").select("doc_id", "page", F.col("line_index").alias("gold_line"), F.inline(F.array(
+        leaf(F.concat(row, F.lit(".part")), F.col("part").cast("string"), "int", 1), leaf(F.concat(row, F.lit(".quantity")), F.col("quantity").cast("string"), "int", 2),
+        leaf(F.concat(row, F.lit(".price")), printed(F.col("price"), commas=False), "float", 3), leaf(F.concat(row, F.lit(".shipped")), words("shipped"), "str", 4),
+    )))
+    return heads.union(rows).select("doc_id", "field", "value", "kind", "page", "gold_line", "gold_token")
+
+
 def prose_lines(docs: DataFrame, per_page: int = 40) -> DataFrame:
     """(doc_id, page, line_index, text): the lines of texts, forty to a page."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
