@@ -636,4 +636,4 @@ def tpl_detected(spark, d):
     return L.detected(f, f.select(F.lit("all").alias("form"), "field").distinct())
 
 
-from quillmap import page_queries  # noqa: E402, F401  adds its queries
+from quillmap import derived_queries, page_queries  # noqa: E402, F401  add their queries
