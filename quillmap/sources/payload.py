@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # Keys that name the page a record comes from.
 PAGE_KEYS = ("source_page", "page", "page_number", "page_no", "page_num")
@@ -44,25 +45,34 @@ def leaves(value: object) -> Iterator[tuple[str, str | None, str, int | None, st
 SCHEMA = "field string, value string, kind string, page_hint int, context string, record string"
 
 
+def _text(x: str | None) -> str | None:
+    """Surrogates that stand alone become escapes, as UTF-8 has no place for them."""
+    return None if x is None else x.encode("utf-8", "backslashreplace").decode()
+
+
 def flatten(payloads: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
-    """Fields of payloads (key, JSON): a table function, a row per leaf.
+    """Fields of payloads (key, JSON): a row per leaf.
 
     A payload that is null, no JSON or nested too deep gives one row of kind ``error``.
     """
-
-    @F.udtf(returnType=SCHEMA)
-    class Leaves:
-        def eval(self, text: str):
-            try:
-                found = list(leaves(json.loads(text)))
-            except (TypeError, ValueError, RecursionError):
-                yield None, text, "error", None, None, None
-                return
-            yield from found
-
-    spark = payloads.sparkSession
-    spark.udtf.register("quillmap_leaves", Leaves)
-    return spark.sql(f"SELECT p.`{key}`, l.* FROM {{payloads}} p, LATERAL quillmap_leaves(p.`{payload}`) l", payloads=payloads)
+    rows = payloads.select(F.col(f"`{key}`"), F.col(f"`{payload}`").cast("string").alias("__payload"))
+    schema = T.StructType([rows.schema[0], *T.StructType.fromDDL(SCHEMA).fields])
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, owner = [], []
+            for i, text in enumerate(batch.column(1)):
+                try:
+                    found = [(_text(f), _text(v), k, p, _text(c), _text(r)) for f, v, k, p, c, r in leaves(json.loads(text.as_py()))]
+                except (TypeError, ValueError, RecursionError):
+                    found = [(None, text.as_py(), "error", None, None, None)]
+                out += found
+                owner += [i] * len(found)
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
 
 
 def from_dicts(payloads: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:

@@ -121,3 +121,13 @@ def test_alignments():
     plan = A.transport(np.array([[0.0, 1.0], [1.0, 0.0]]))
     assert plan.argmax(axis=1).tolist() == [0, 1] and np.allclose(plan.sum(), 1)
     assert A.solve([[1, 2], [1]], lambda i, x, j, y: x != y) == [2, 1] and A.solve([[1], [1]], lambda i, x, j, y: x != y) is None
+
+
+def test_payloads_of_any_kind_become_leaves(spark):
+    from quillmap.sources.payload import flatten
+
+    rows = [(1, '{"a":[{"x":"v","page":3,"y":null}]}'), (None, '{"b":"\\ud800"}'), (2, None), (3, "[" * 100_000), (4, "not"), (5, "{}"), (6, '{"é":1.50}')]
+    got = [tuple(r)[:5] for r in flatten(spark.createDataFrame(rows, "doc_id long, payload string")).collect()]
+    assert [g for g in got if g[0] == 1] == [(1, "a[0].x", "v", "str", 3), (1, "a[0].y", None, "null", 3)]
+    assert (None, "b", "\\ud800", "str", None) in got and (6, "é", "1.5", "float", None) in got
+    assert [g[3] for g in got if g[0] in (2, 3, 4)] == ["error"] * 3 and not [g for g in got if g[0] == 5]
