@@ -139,3 +139,78 @@ def ctx_headers(spark, d):
     heads = t.where("line_index = 0").select("doc_id", "page", F.concat(F.lit("h"), "token_idx").alias("header"), "box")
     got = X.under_header(t.where("line_index > 0"), heads)
     return got.select("doc_id", "page", "line_index", "token_idx", F.coalesce("header", F.lit("none")).alias("header"))
+
+
+@query(INV + """, p AS (SELECT ord, line_index, (ord + line_index) % 5 AS k, price / 100.0::DOUBLE AS a FROM li),
+q AS (SELECT ord, line_index, a, CASE k WHEN 0 THEN a WHEN 1 THEN a * 1.0000004::DOUBLE WHEN 2 THEN a * 1.000003::DOUBLE WHEN 3 THEN a * 1.0001::DOUBLE ELSE a * 100.0::DOUBLE END AS b FROM p)
+SELECT ord AS "order", line_index, abs(a - b) <= greatest(1e-6::DOUBLE * greatest(abs(a), abs(b)), 1e-6::DOUBLE) AS same, abs(a - b) <= greatest(1e-6::DOUBLE, 1e-5::DOUBLE * abs(b)) OR abs(a * 100 - b) <= 1e-3::DOUBLE OR abs(a - b * 100) <= 1e-3::DOUBLE AS near FROM q""")
+def fn_equal_numbers(spark, d):
+    """Prices beside prices a little off, farther off, and as percentages of themselves."""
+    rows = S.invoice_rows(spark, d).withColumn("a", F.col("price") / F.lit(100.0))
+    k, a = (F.col("order") + F.col("line_index")) % 5, F.col("a")
+    rows = rows.withColumn("b", F.when(k == 0, a).when(k == 1, a * 1.0000004).when(k == 2, a * 1.000003).when(k == 3, a * 1.0001).otherwise(a * 100.0))
+    return rows.select("order", "line_index", T.same_number("a", "b").alias("same"), T.near_number("a", "b").alias("near"))
+
+
+@query(INV + r"""SELECT field, regexp_extract(field, '^(.*)\[(\d+)\](.*)$', 1) AS prefix, CAST(regexp_extract(field, '^(.*)\[(\d+)\](.*)$', 2) AS INTEGER) AS idx, regexp_extract(field, '^(.*)\[(\d+)\](.*)$', 3) AS suffix,
+regexp_matches(lower(field), 'total|sum|subtotal|tax_rate|average|ratio|percent|count') AS derived, array_to_string(list_filter(string_split(regexp_replace(lower(field), '[^a-z]+', ' ', 'g'), ' '), lambda w: w <> ''), ' ') AS words,
+array_to_string(list_filter(string_split(regexp_replace(lower(field), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')[1:4], '_') AS key FROM (SELECT DISTINCT field FROM fld)""")
+def fn_field_names(spark, d):
+    """Paths of fields taken apart at their last index, their words, keys and whether they tell of derived values."""
+    f = S.invoice_fields(spark, d).select("field").distinct()
+    path = T.array_path("field")
+    return f.select("field", path["prefix"].alias("prefix"), path["idx"].alias("idx"), path["suffix"].alias("suffix"), T.likely_derived("field").alias("derived"), F.array_join(T.field_words("field"), " ").alias("words"), T.snake_key("field").alias("key"))
+
+
+@query(INV + """, c AS (SELECT doc_id, page, line_index, token_idx, greatest(0, least(1, (x * 612 - 60) / 612)) AS a, greatest(0, least(1, (x + w) * 612 / 612)) AS c, 1 - greatest(0, least(1, y * 792 / 792)) AS b, 1 - greatest(0, least(1, (y + h) * 792 / 792)) AS d FROM tok)
+SELECT doc_id, page, line_index, token_idx, round(least(a, c), 6) AS x, round(least(b, d), 6) AS y, round(abs(c - a), 6) AS w, round(abs(d - b), 6) AS h FROM c""")
+def fn_from_points(spark, d):
+    """Boxes in points of a page of 612 by 792 from its lower edge, some of them begun left of the page."""
+    t = S.invoice_tokens(spark, d)
+    b = G.from_points(F.col("box.x") * 612 - 60, F.col("box.y") * 792, G.x1("box") * 612, G.y1("box") * 792, F.lit(612.0), F.lit(792.0), bottom_left=True)
+    return flat(t.select("doc_id", "page", "line_index", "token_idx", b.alias("box")))
+
+
+@query(PROSE + r"""SELECT text, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\p{M}_\s.,\-$%]', ' ', 'g'), '\s+', ' ', 'g')) AS matchable FROM (SELECT DISTINCT text FROM pt)""")
+def fn_match_texts(spark, d):
+    return S.prose_tokens(S.table(spark, d, "documents")).select("text").distinct().withColumn("matchable", T.for_match("text"))
+
+
+@query(INV + """, ln AS (SELECT doc_id, page, line_index, string_agg(text, ' ' ORDER BY x) AS t FROM tok GROUP BY doc_id, page, line_index),
+tt AS (SELECT doc_id, page, text AS v FROM tok WHERE line_index = 0 AND token_idx = 4),
+r AS (SELECT ln.doc_id, ln.page, ln.line_index, ln.t, CAST(row_number() OVER (PARTITION BY ln.doc_id ORDER BY ln.page, ln.line_index) AS INTEGER) AS id FROM ln JOIN tt USING (doc_id, page) WHERE NOT contains(lower(ln.t), lower(tt.v)))
+SELECT doc_id, id, page, t AS text FROM r WHERE id <= 200""")
+def eval_unmapped(spark, d):
+    """The first two hundred lines of each document that don't print their page's total."""
+    from quillmap.operators import evaluate as E
+
+    t = S.invoice_tokens(spark, d)
+    r = t.where("line_index = 0 and token_idx = 4").select("doc_id", "page", "box", F.col("text").alias("matched_text"))
+    return E.unmapped(I.lines(t), r).select("doc_id", "id", "page", "text")
+
+
+@query(INV + """, f AS (SELECT doc_id, page || '/' || line_index AS record, 'part' AS f, CAST(part AS DOUBLE) AS v FROM li UNION ALL SELECT doc_id, page || '/' || line_index, 'price', price / 100.0::DOUBLE FROM li),
+c AS (SELECT f.doc_id, record, f.f, n.page, n.line_index, count(*) OVER (PARTITION BY f.doc_id, record, f.f) AS n FROM f JOIN numtok AS n ON f.doc_id = n.doc_id AND CAST(round(f.v * 1000000) AS BIGINT) = CAST(round(n.number * 1000000) AS BIGINT))
+SELECT doc_id, record, f AS name, page, line_index FROM c WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY doc_id, record ORDER BY page, line_index, f) = 1""")
+def tbl_record_anchors(spark, d):
+    """Of each row's part and price the first that stands at one place of the document only."""
+    rows = S.invoice_rows(spark, d).join(S.invoice_pages(spark, d).select("order", "doc_id", "page"), "order")
+    record = F.concat_ws("/", "page", "line_index")
+    one = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    f = rows.select("doc_id", record.alias("record"), F.inline(F.array(one("part", F.col("part").cast("string")), one("price", S.printed(F.col("price"), commas=False)))))
+    f = f.select("doc_id", "record", "name", F.concat_ws(".", "record", "name").alias("field"), "value", F.lit(None).cast("int").alias("page_hint"))
+    found = C.numbers(f, I.number_postings(S.invoice_tokens(spark, d))).join(f.select("doc_id", "field", "record", "name"), ["doc_id", "field"])
+    return B.record_anchor(found).select("doc_id", "record", "name", "page", "line_index")
+
+
+@query(INV + """, f AS (SELECT doc_id, field, value FROM fld WHERE field LIKE '%.price'),
+ex AS MATERIALIZED (SELECT f.doc_id, f.field, t.page, t.line_index, t.text FROM f JOIN tok AS t ON f.doc_id = t.doc_id AND lower(t.text) = f.value),
+st AS MATERIALIZED (SELECT f.doc_id, f.field, t.page, t.line_index, t.text FROM f ANTI JOIN ex USING (doc_id, field) JOIN tok AS t ON f.doc_id = t.doc_id AND trim(lower(t.text), ' ,.:;-/_''"()[]{}*&#$€£¥') = f.value),
+nu AS (SELECT f.doc_id, f.field, n.page, n.line_index, n.text FROM f ANTI JOIN ex USING (doc_id, field) ANTI JOIN st USING (doc_id, field) JOIN numtok AS n ON f.doc_id = n.doc_id AND CAST(round(CAST(f.value AS DOUBLE) * 1000000) AS BIGINT) = CAST(round(n.number * 1000000) AS BIGINT))
+SELECT doc_id, field, 0 AS tier, page, line_index, text AS matched_text FROM ex UNION ALL SELECT doc_id, field, 0, page, line_index, text FROM st UNION ALL SELECT doc_id, field, 1, page, line_index, text FROM nu""")
+def rank_tiers(spark, d):
+    """Prices by their print, or else by their number."""
+    from quillmap.operators import ranking as R
+
+    t, f = S.invoice_tokens(spark, d), S.invoice_fields(spark, d).where(F.col("field").endswith(".price"))
+    return R.tiers([C.exact_tokens(f, t), C.numbers(f, I.number_postings(t))]).select("doc_id", "field", "tier", "page", "line_index", "matched_text")
