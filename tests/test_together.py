@@ -1,0 +1,26 @@
+"""Tokens are made of documents that are together already: no query shuffles them."""
+
+import re
+
+import pytest
+
+from conftest import TESTDATA
+from quillmap.queries import QUERIES
+
+NAMES = [
+    "cand_multi_line", "cand_sequences", "cand_date_literals", "cand_grams", "cand_substring_boxes", "rank_tiers", "ctx_neighbours", "tbl_cursor_spans", "idx_gram_postings", "cand_exact_tokens",
+    "eval_unmapped", "cand_substrings", "tbl_aligned_rows", "ctx_headers", "cand_nth_occurrence", "idx_attach_blocks",
+]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_only_orders_and_documents_are_shuffled(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # a shuffle of tokens, lines or candidates goes by more than one key
+    keys = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)}
+    assert keys <= {"doc_id", "order", "l_orderkey"}, keys
