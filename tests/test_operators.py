@@ -63,6 +63,13 @@ def test_numbers_and_pairs(spark, tokens):
     assert places(wide) == [("due", 1, 2, "1,450.00")]
 
 
+def test_phrases_begin_and_end_inside_of_words(spark):
+    t = [("d", 1, i, j, w, (0.1 * j, 0.1 * i, 0.05, 0.01)) for i, line in enumerate(["at sat on", "The bobcat sat only", "cat | on", "bobcat | once", "cat on sat"]) for j, w in enumerate(line.split())]
+    lines = I.lines(spark.createDataFrame(t, TOKENS))
+    f = fields(spark, ("words", "at sat on", "str", "", None), ("signs", "Cat | on", "str", "", None), ("two", "cat on", "str", "", None))
+    assert [p[:3] for p in places(C.phrases(f, lines))] == [("signs", 1, 2), ("signs", 1, 3), ("two", 1, 4), ("words", 1, 0), ("words", 1, 1)]
+
+
 def test_phrases_dates_lines(spark, tokens, lines):
     f = fields(spark, ("street", "12 example road", "str", "", None), ("date", "2026-03-15", "str", "", None), ("address", "12 Example Road, Sector 28,", "str", "", None))
     assert places(C.phrases(f, lines)) == [("street", 1, 4, "12 Example Road,")]
