@@ -5,7 +5,9 @@ import re
 import pytest
 
 from conftest import TESTDATA
+from quillmap.operators import index as I
 from quillmap.queries import QUERIES
+from quillmap.sources import corpora as S
 
 NAMES = [
     "cand_multi_line", "cand_sequences", "cand_date_literals", "cand_grams", "cand_substring_boxes", "rank_tiers", "ctx_neighbours", "tbl_cursor_spans", "idx_gram_postings", "cand_exact_tokens",
@@ -24,3 +26,17 @@ def test_only_orders_and_documents_are_shuffled(spark, name):
     # a shuffle of tokens, lines or candidates goes by more than one key
     keys = {re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)}
     assert keys <= {"doc_id", "order", "l_orderkey"}, keys
+
+
+def test_no_grams_are_broadcast(spark):
+    """Their table looks small enough: a row for each order, times the grams of its code."""
+    plan = QUERIES["cand_noise"](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pages_are_folded_many_at_once(spark):
+    """No group of pandas for each page; the columns are those of the tokens."""
+    t = S.invoice_tokens(spark, TESTDATA)
+    got = I.cluster_lines(t)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString() and got.dtypes == t.dtypes
+    assert got.exceptAll(t).count() == 0 and t.exceptAll(got).count() == 0
