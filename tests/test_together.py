@@ -40,3 +40,30 @@ def test_pages_are_folded_many_at_once(spark):
     got = I.cluster_lines(t)
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString() and got.dtypes == t.dtypes
     assert got.exceptAll(t).count() == 0 and t.exceptAll(got).count() == 0
+
+
+def test_more_orders_are_dealt_to_more_partitions(spark, tmp_path, monkeypatch):
+    """A partition's tokens are sorted in memory, so they must not grow with the table; Spark leaves a given number as it is."""
+    monkeypatch.setattr(S, "ORDERS", 50)
+    rows = S.placed_rows(spark, TESTDATA)
+    assert S.parts(spark, TESTDATA) == 30
+    t = S.invoice_tokens(spark, TESTDATA).groupBy("doc_id", "page").count()
+    assert t.rdd.getNumPartitions() >= 30 and rows.rdd.getNumPartitions() == 30
+
+
+def shuffled_by_document(plan: str) -> set[str]:
+    """What an optimized plan deals out by document, without the numbers of expressions; equal ones share one shuffle."""
+    lines = [(len(re.match(r"[\W]*", x).group()), re.sub(r"#\d+L?", "", re.sub(r"^[\W]*", "", x))) for x in plan.splitlines()]
+    found = set()
+    for i, (depth, x) in enumerate(lines):
+        if x.startswith("RepartitionByExpression [doc_id"):
+            end = next((j for j in range(i + 1, len(lines)) if lines[j][0] <= depth), len(lines))
+            found.add("\n".join(f"{d - depth} {y}" for d, y in lines[i + 1 : end]))
+    return found
+
+
+@pytest.mark.parametrize("name", ["rank_tiers", "eval_scores", "eval_failures", "cand_numbers", "tbl_record_anchors"])
+def test_all_who_read_rows_share_their_shuffle(spark, name):
+    """One of orders and one of rows: filters stay above them, for below they would make other shuffles of them."""
+    plan = QUERIES[name](spark, TESTDATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= len(shuffled_by_document(plan)) <= 2
