@@ -57,6 +57,13 @@ def test_date(spark, text, date):
     assert (got and got.isoformat()) == date
 
 
+def test_short_ways_of_numbers_and_dates_come_to_the_same(spark):
+    got = [r[0] for r in one(spark, ["$1,234.50", "12", "5.", "1,2O4.5O", "1996-01-02", "01/02/1996", "#12", "$", "$5,", "5\n", "1" * 30, "-3", "(1,200)", "§5"], T.number)]
+    assert got == [1234.5, 12.0, 5.0, 1204.5, None, None, None, None, 5.0, 5.0, float("1" * 30), -3.0, -1200.0, 55.0]
+    got = [r[0] and r[0].isoformat() for r in one(spark, ["'1996-01-02|", "__Jan 5, 1995", "#3 1996-01-02", "part 1996-01-02", "5th  MAR 1995", "12 5 1995", "1/2/49"], T.date)]
+    assert got == ["1996-01-02", "1995-01-05", None, None, "1995-03-05", None, "2049-01-02"]
+
+
 def test_flexible_dates(spark):
     got = one(spark, ["1/2/49", "1/2/50", "31-12-2023", "Feb. 3 2020", "3 Feb 2020", "2020.2.3", "x"], T.date_flexible)
     d = datetime.date
