@@ -51,6 +51,17 @@ def test_more_orders_are_dealt_to_more_partitions(spark, tmp_path, monkeypatch):
     assert t.rdd.getNumPartitions() >= 30 and rows.rdd.getNumPartitions() == 30
 
 
+def test_rows_of_more_orders_are_numbered_in_more_partitions(spark, monkeypatch):
+    """The sort of an order's rows and their way on spill, if a partition of the session's number has millions of rows."""
+    usual = S.placed_rows(spark, TESTDATA)
+    monkeypatch.setattr(S, "ORDERS_KEYED", 50)
+    rows = S.placed_rows(spark, TESTDATA)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    keyed = {(re.sub(r"#\d+L?", "", k), n) for k, n in re.findall(r"Exchange hashpartitioning\((.*), (\d+)\)", plan)}
+    assert {n for k, n in keyed if k in ("l_orderkey", "order")} == {"30"}
+    assert rows.exceptAll(usual).count() == 0 and usual.exceptAll(rows).count() == 0
+
+
 def shuffled_by_document(plan: str) -> set[str]:
     """What an optimized plan deals out by document, without the numbers of expressions; equal ones share one shuffle."""
     lines = [(len(re.match(r"[\W]*", x).group()), re.sub(r"#\d+L?", "", re.sub(r"^[\W]*", "", x))) for x in plan.splitlines()]
