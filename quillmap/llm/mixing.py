@@ -10,7 +10,7 @@ raked cell over the cell's tokens is the probability with which each of its
 documents is kept; the draw is a hash of the id, so a rerun keeps the same.
 
 The topics are learned: centres of hashed, weighted word counts, less the mean of
-the text's language, by k-means on a bounded sample. Every document's topic is
+the text's language, by k-means over all documents. Every document's topic is
 then told from its whole text.
 
 The driver rakes the cells in numpy, at some 100 bytes a cell: labels of collections and their
@@ -21,7 +21,7 @@ Up to ``BROADCAST_CELLS`` cells are broadcast to the documents, others are joine
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quillmap.llm.shared import cut, sampled
+from quillmap.llm.shared import cut, fresh_dir
 from quillmap.llm.text import lower_words
 
 TOPICS, BITS = 8, 11
@@ -70,43 +70,130 @@ class Topics:
         return int((self.centres @ self.vector(counts, lang)).argmax())
 
 
-def learn_topics(docs: DataFrame, topics: int = TOPICS, sample_rows: int = 4000, rounds: int = 12) -> Topics:
-    """Topics of ``docs`` (doc_id, text, lang) from at most ``sample_rows`` rows, those of least hash."""
+#: Sums of vectors are whole numbers of these, so that they come out the same in whatever order they are summed.
+UNIT = 2.0**-32
+
+
+class _Counts:
+    """The hashed counts of a batch of texts, one after the other: the text of each count (``row``), its place and itself."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        at, counts = batch.column("at").to_pylist(), batch.column("counts").to_pylist()
+        self.langs, self.n = batch.column("lang").to_pylist(), len(at)
+        self.at, self.counts = np.frombuffer(b"".join(at), np.uint16).astype(np.int64), np.frombuffer(b"".join(counts), np.float32)
+        sizes = np.array([len(x) // 2 for x in at], np.int64)
+        self.row, self.starts = np.repeat(np.arange(self.n), sizes), np.cumsum(sizes) - sizes
+
+    def units(self, idf: np.ndarray) -> np.ndarray:
+        """The weighted counts, each text's scaled to length 1, in whole units."""
+        x = np.log1p(self.counts) * idf[self.at]
+        norm = np.sqrt(np.add.reduceat(x.astype(float) ** 2, self.starts))
+        return np.rint(x / np.maximum(norm, 1e-12)[self.row] / UNIT)
+
+    def by(self, group: np.ndarray, units: np.ndarray, groups: int) -> np.ndarray:
+        """The sum of the units of each group of texts."""
+        return np.bincount((group << BITS)[self.row] + self.at, units, groups << BITS).reshape(groups, -1)
+
+
+def _summed(found: DataFrame, sums: Callable[[_Counts], Iterator[tuple[int, str | None, np.ndarray]]]) -> dict[tuple[int, str | None], np.ndarray]:
+    """The sums over all texts of vectors of whole numbers that ``sums`` gives for each batch, by group and language: added up within
+    a task, then between tasks by Spark, so that the driver gets one vector of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[tuple[int, str | None], np.ndarray] = {}
+        for batch in batches:
+            for k, lang, vector in sums(_Counts(batch)):
+                own[k, lang] = own.get((k, lang), 0) + vector.astype(np.int64)
+        for (k, lang), vector in own.items():
+            at = np.flatnonzero(vector)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(vector[at], pa.int64())], ["k", "lang", "at", "v"])
+
+    out: dict[tuple[int, str | None], np.ndarray] = {}
+    for k, lang, at, v in found.mapInArrow(run, "k int, lang string, at int, v long").groupBy("k", "lang", "at").agg(F.sum("v").alias("v")).collect():
+        out.setdefault((k, lang), np.zeros(1 << BITS, np.int64))[at] = v
+    return out
+
+
+def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = 12) -> Topics:
+    """Topics of ``docs`` (doc_id, text, lang), of all their rows: each text's counts are written once, and read for the weights of words, for the
+    means of languages and in every round. The first centres are ``topics`` different texts, those of least hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h, lang, text in zip(*(batch.column(c) for c in ("hash", "lang", "text"))):
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
                 c = word_counts(lower_words(text.as_py()))
                 at = np.flatnonzero(c)
-                rows.append((h.as_py(), lang.as_py(), at.astype(np.uint16).tobytes(), c[at].tobytes()))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["hash", "lang", "at", "counts"]), schema, preserve_index=False)
-
-    schema = pa.schema([("hash", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("counts", pa.binary())])
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    few = sampled(rows, sample_rows).mapInArrow(run, "hash long, lang string, at binary, counts binary")
-    got = sorted(map(tuple, few.orderBy("hash", "at").limit(sample_rows).collect()), key=lambda r: (r[0], bytes(r[2]), r[1] or ""))
-    x = np.zeros((len(got), 1 << BITS), np.float32)
-    for i, (_, _, at, counts) in enumerate(got):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(counts, np.float32)
-    langs = [r[1] for r in got]
-    full = x.any(axis=1)
-    x, langs = x[full], [l for l, f in zip(langs, full) if f]
-    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
-    x = np.log1p(x) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    means: dict[str | None, np.ndarray] = {None: x.mean(axis=0) if len(x) else np.zeros(1 << BITS, np.float32)}
-    for lang in sorted({l for l in langs if l is not None}):
-        means[lang] = x[[l == lang for l in langs]].mean(axis=0)
-    for i, l in enumerate(langs):
-        x[i] -= means[l if l in means else None]
-    centres = x[np.random.default_rng(3).permutation(len(x))[:topics]].copy()
-    for _ in range(rounds if len(x) else 0):
-        at = (x @ centres.T).argmax(axis=1)
+                rows.append((lang.as_py(), at.astype(np.uint16).tobytes(), c[at].tobytes()))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lang", "at", "counts"]), schema, preserve_index=False)
+
+    schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("counts", pa.binary())])
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "topics")
+    rows.mapInArrow(run, "lang string, at binary, counts binary").where("length(at) > 0").write.parquet(path)
+    found = spark.read.schema("lang string, at binary, counts binary").parquet(path)
+    width = 1 << BITS
+    one = np.ones(1, np.int64)
+
+    def texts(counts: _Counts) -> Iterator[tuple[int, str | None, np.ndarray]]:
+        yield 0, None, np.bincount(counts.at, minlength=width)
+        yield 1, None, one * counts.n
+
+    got = _summed(found, texts)
+    n = int(got[1, None][0]) if got else 0
+    idf = (np.log((1 + n) / (1 + got.get((0, None), np.zeros(width)))) + 1).astype(np.float32)
+    if not n:
+        return Topics(idf, {None: np.zeros(width, np.float32)}, np.zeros((0, width), np.float32))
+
+    def of_languages(counts: _Counts) -> Iterator[tuple[int, str | None, np.ndarray]]:
+        names = list(dict.fromkeys(counts.langs))
+        lang = np.array([names.index(l) for l in counts.langs])
+        for name, vector, m in zip(names, counts.by(lang, counts.units(idf), len(names)), np.bincount(lang)):
+            yield 0, name, vector
+            yield 1, name, one * m
+
+    got = _summed(found, of_languages)
+    mean = lambda total, m: (total * UNIT / m).astype(np.float32)
+    sizes = {lang: int(v[0]) for (k, lang), v in got.items() if k}
+    means: dict[str | None, np.ndarray] = {lang: mean(got[0, lang], m) for lang, m in sizes.items() if lang is not None}
+    means[None] = mean(sum(got[0, lang].astype(float) for lang in sorted(sizes, key=str)), n)
+    known = Topics(idf, means, np.zeros((0, width), np.float32))
+    marked = found.withColumn("hash", F.xxhash64("at", "counts", "lang"))
+    least = [r.hash for r in marked.select("hash").distinct().orderBy("hash").limit(topics).collect()]
+    firsts = {r.hash: r for r in marked.where(F.col("hash").isin(least)).dropDuplicates(["hash"]).collect()}
+
+    def first(r) -> np.ndarray:
+        c = np.zeros(width, np.float32)
+        c[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.counts, np.float32)
+        return known.vector(c, r.lang)
+
+    centres = np.array([first(firsts[h]) for h in least], np.float32)
+
+    def nearest(counts: _Counts) -> Iterator[tuple[int, str | None, np.ndarray]]:
+        names = list(means)
+        place = {l: i for i, l in enumerate(names)}
+        units, lang = counts.units(idf), np.array([place.get(l, place[None]) for l in counts.langs])
+        off, across = np.array([centres @ means[l] for l in names]), np.ascontiguousarray(centres.T)
+        score = np.add.reduceat(across[counts.at] * (units * UNIT).astype(np.float32)[:, None], counts.starts, axis=0) - off[lang]
+        best = score.argmax(axis=1)
+        total = counts.by(best, units, len(centres))
+        for k in np.unique(best).tolist():
+            yield k, None, total[k]
+            # the language's mean is taken off as often as the centre has it
+            for i, m in enumerate(np.bincount(lang[best == k], minlength=len(names)).tolist()):
+                if m:
+                    yield -1 - k, names[i], one * m
+
+    for _ in range(rounds):
+        got, before = _summed(found, nearest), centres
+        centres = before.copy()
         for k in range(len(centres)):
-            if (at == k).any():
-                centres[k] = x[at == k].mean(axis=0)
+            if (k, None) in got:
+                held = {lang: int(v[0]) for (j, lang), v in got.items() if j == -1 - k}
+                centres[k] = (got[k, None] * UNIT - sum(m * means[l].astype(float) for l, m in sorted(held.items(), key=str))) / sum(held.values())
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        if np.array_equal(centres, before):
+            break
     return Topics(idf, means, centres)
 
 

@@ -49,13 +49,3 @@ def remainder(column: str, modulus: int) -> Column:
 def unit_hash(*columns: str) -> Column:
     """A hash of some columns as a number from 0 to 1."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") * F.lit(2.0**-53)
-
-
-def sampled(rows: DataFrame, most: int) -> DataFrame:
-    """About twice ``most`` of ``rows``, all where there are fewer, with their ``hash``; the
-    ``most`` of least hash are among them. A caller that needs a bound limits the result."""
-    n = rows.count()
-    part = min(1.0, 2.0 * most / max(n, 1))
-    found = rows.withColumn("hash", F.xxhash64(*rows.columns))
-    low = F.shiftrightunsigned("hash", 11).cast("double") * F.lit(2.0**-53)
-    return found.where(low < part)

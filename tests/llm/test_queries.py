@@ -183,6 +183,31 @@ def test_mixing_is_plain_raking(spark, small):
     assert {label(None), label("")} <= {r.label for r in margins if r.margin == "source"}
 
 
+def test_topics_are_learned_from_all_rows(spark):
+    """More rows than a sample of 4000: weights, means and centres are those of plain k-means over every one."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"word{t}x{rng.randrange(30)}" for _ in range(12)) if i % 50 else None, (None, "en", "de")[i % 3]) for i in range(5000) for t in [rng.randrange(8)]]
+    got = mixing.learn_topics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=1)
+    counts = [(mixing.word_counts(text.encode().split()), lang) for _, text, lang in rows if text]
+    n, df = len(counts), sum((c > 0).astype(int) for c, _ in counts)
+    assert n == 4900 and np.allclose(got.idf, np.log((1 + n) / (1 + df)) + 1)
+    x = np.log1p(np.array([c for c, _ in counts])) * got.idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    langs = [l for _, l in counts]
+    means = {l: x[[m == l or l is None for m in langs]].mean(axis=0) for l in (None, "en", "de")}
+    assert set(got.means) == set(means) and all(np.allclose(got.means[l], means[l], atol=1e-6) for l in means)
+    # a round more moves the centres to the means of their nearest texts
+    x -= np.array([means[l] for l in langs])
+    assert got.centres.shape == (8, 1 << mixing.BITS)
+    more = mixing.learn_topics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rounds=2)
+    at = (x @ got.centres.T).argmax(axis=1)
+    want = np.array([x[at == k].mean(axis=0) if (at == k).any() else got.centres[k] for k in range(8)])
+    assert np.allclose(more.centres, want / np.linalg.norm(want, axis=1, keepdims=True), atol=1e-4)
+    assert mixing.learn_topics(spark.createDataFrame([], "doc_id long, text string, lang string")).centres.shape[0] == 0
+
+
 def test_what_a_source_can_not_give_the_others_do():
     got = mixing.feasible(np.array([68.0, 16.0, 16.0]), np.array([900.0, 50.0, 50.0]), 700.0)
     assert np.allclose(got, [600, 50, 50])
