@@ -11,7 +11,8 @@ documents is kept; the draw is a hash of the id, so a rerun keeps the same.
 
 The topics are learned: centres of hashed, weighted word counts, less the mean of
 the text's language, by k-means over all documents. Every document's topic is
-then told from its whole text.
+told from its whole text. Texts are split into words twice: once for the counts, of which topics are
+learned and cells summed, and once for the documents that are returned.
 
 The driver rakes the cells in numpy, at some 100 bytes a cell: labels of collections and their
 combinations are few beside documents, and ``MOST_CELLS`` of them fit; more are an error.
@@ -27,10 +28,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillmap.llm.shared import cut, fresh_dir
-from quillmap.llm.text import lower_words
 
 TOPICS, BITS = 8, 11
 MOST_CELLS, BROADCAST_CELLS = 2_000_000, 20_000
@@ -49,6 +49,32 @@ def word_counts(words: list[bytes]) -> np.ndarray:
     return np.zeros(1 << BITS, np.float32)
 
 
+#: The bytes between words. Of a word of 0 to 8 bytes and more: what it has of eight bytes, and the factor that repeats it over them.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_REPEAT = np.array([0] + [sum(1 << i for i in range(0, 64, 8 * k)) for k in range(1, 9)], np.uint64)
+
+
+def text_counts(raw: bytes) -> tuple[np.ndarray, int]:
+    """What ``word_counts`` tells of the words of a text in UTF-8, and how many words it has, without a list of them."""
+    b = np.frombuffer(b"".join((b" ", raw.lower(), b"        ")), np.uint8)
+    space = _SPACE[b]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    n, long_ = len(starts), sizes >= 3
+    starts, sizes = starts[long_], sizes[long_]
+    # eight bytes from every place
+    heads = np.ndarray((len(b) - 7,), "<u8", b, strides=(1,))[starts]
+    eight = np.minimum(sizes, 8)
+    code = ((heads & _OWN[eight]) * _REPEAT[eight] ^ (sizes.astype(np.uint64) << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.bincount((code >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.float32), n
+
+
+def _bytes(texts: pa.Array) -> Iterator[bytes]:
+    """Texts in UTF-8, null as empty."""
+    return (x.as_py() or b"" for x in texts.cast(pa.binary() if texts.type == pa.string() else pa.large_binary()))
+
+
 @dataclass
 class Topics:
     """idf, the mean vector of each language, and the centres."""
@@ -64,7 +90,9 @@ class Topics:
 
     def of(self, words: list[bytes], lang: str | None) -> int:
         """The nearest centre, the first of equals; -1 without a word that counts."""
-        counts = word_counts(words)
+        return self.of_counts(word_counts(words), lang)
+
+    def of_counts(self, counts: np.ndarray, lang: str | None) -> int:
         if not counts.any() or not len(self.centres):
             return -1
         return int((self.centres @ self.vector(counts, lang)).argmax())
@@ -74,14 +102,19 @@ class Topics:
 UNIT = 2.0**-32
 
 
+def _joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a column of binaries holds, one row's after the other's, and how many each has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.binary() else np.int64)[column.offset :][: len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
 class _Counts:
     """The hashed counts of a batch of texts, one after the other: the text of each count (``row``), its place and itself."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
-        at, counts = batch.column("at").to_pylist(), batch.column("counts").to_pylist()
-        self.langs, self.n = batch.column("lang").to_pylist(), len(at)
-        self.at, self.counts = np.frombuffer(b"".join(at), np.uint16).astype(np.int64), np.frombuffer(b"".join(counts), np.float32)
-        sizes = np.array([len(x) // 2 for x in at], np.int64)
+        self.langs, self.n = batch.column("lang").to_pylist(), batch.num_rows
+        at, sizes = _joined(batch.column("at"), np.uint16)
+        self.at, self.counts = at.astype(np.int64), _joined(batch.column("counts"), np.float32)[0]
         self.row, self.starts = np.repeat(np.arange(self.n), sizes), np.cumsum(sizes) - sizes
 
     def units(self, idf: np.ndarray) -> np.ndarray:
@@ -101,7 +134,7 @@ def _summed(found: DataFrame, sums: Callable[[_Counts], Iterator[tuple[int, str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[int, str | None], np.ndarray] = {}
-        for batch in batches:
+        for batch in filter(len, batches):
             for k, lang, vector in sums(_Counts(batch)):
                 own[k, lang] = own.get((k, lang), 0) + vector.astype(np.int64)
         for (k, lang), vector in own.items():
@@ -114,24 +147,43 @@ def _summed(found: DataFrame, sums: Callable[[_Counts], Iterator[tuple[int, str
     return out
 
 
-def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = 12) -> Topics:
-    """Topics of ``docs`` (doc_id, text, lang), of all their rows: each text's counts are written once, and read for the weights of words, for the
-    means of languages and in every round. The first centres are ``topics`` different texts, those of least hash."""
+def label(x: object) -> str:
+    """``=`` and a value; null is empty."""
+    return "" if x is None else f"={x}"
+
+
+_COUNTED = "source string, lang string, tokens long, at binary, counts binary"
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """What topics and cells need of ``docs`` (text, source, lang), written once: the label of the source, the language, the
+    number of words and the counts of those of three bytes and more, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for lang, text in zip(batch.column("lang"), batch.column("text")):
-                c = word_counts(lower_words(text.as_py()))
+            for raw, source, lang in zip(_bytes(batch.column("text")), batch.column("source"), batch.column("lang")):
+                c, n = text_counts(raw)
                 at = np.flatnonzero(c)
-                rows.append((lang.as_py(), at.astype(np.uint16).tobytes(), c[at].tobytes()))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lang", "at", "counts"]), schema, preserve_index=False)
+                rows.append((label(source.as_py()), lang.as_py(), n, at.astype(np.uint16).tobytes(), c[at].tobytes()))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=schema.names), schema, preserve_index=False)
 
-    schema = pa.schema([("lang", pa.string()), ("at", pa.binary()), ("counts", pa.binary())])
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    schema = pa.schema([("source", pa.string()), ("lang", pa.string()), ("tokens", pa.int64()), ("at", pa.binary()), ("counts", pa.binary())])
+    rows = docs.select(F.col("text").cast("string").alias("text"), "source", F.col("lang").cast("string").alias("lang"))
     spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "topics")
-    rows.mapInArrow(run, "lang string, at binary, counts binary").where("length(at) > 0").write.parquet(path)
-    found = spark.read.schema("lang string, at binary, counts binary").parquet(path)
+    rows.mapInArrow(run, _COUNTED).write.parquet(path)
+    return spark.read.schema(_COUNTED).parquet(path)
+
+
+def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = 12) -> Topics:
+    """Topics of ``docs`` (doc_id, text, lang), of all their rows."""
+    return learned(counted(docs.select("text", "lang", F.lit(None).cast("string").alias("source"))), topics, rounds)
+
+
+def learned(rows: DataFrame, topics: int = TOPICS, rounds: int = 12) -> Topics:
+    """Topics of ``counted`` rows, which are read for the weights of words, for the means of languages and in every round.
+    The first centres are ``topics`` different texts, those of least hash."""
+    found = rows.where("length(at) > 0").select("lang", "at", "counts")
     width = 1 << BITS
     one = np.ones(1, np.int64)
 
@@ -173,8 +225,9 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = 12) -> Top
         names = list(means)
         place = {l: i for i, l in enumerate(names)}
         units, lang = counts.units(idf), np.array([place.get(l, place[None]) for l in counts.langs])
-        off, across = np.array([centres @ means[l] for l in names]), np.ascontiguousarray(centres.T)
-        score = np.add.reduceat(across[counts.at] * (units * UNIT).astype(np.float32)[:, None], counts.starts, axis=0) - off[lang]
+        off = np.array([centres @ means[l] for l in names])
+        x = (units * UNIT).astype(np.float32)
+        score = np.stack([np.add.reduceat(centre[counts.at] * x, counts.starts) for centre in centres], axis=1) - off[lang]
         best = score.argmax(axis=1)
         total = counts.by(best, units, len(centres))
         for k in np.unique(best).tolist():
@@ -199,26 +252,40 @@ def learn_topics(docs: DataFrame, topics: int = TOPICS, rounds: int = 12) -> Top
 
 def described(docs: DataFrame, topics: Topics) -> DataFrame:
     """Each row of ``docs`` as a struct ``row``, with its id and text, the labels of its cell and its number of words.
-    A label is ``=`` and the value; null is empty. As a struct a row's columns clash with nothing."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), "source", F.col("lang").cast("string").alias("lang"))
-    schema = T.StructType([*rows.select("row", "id", "text").schema.fields, *T.StructType.fromDDL(_ADDED).fields])
+    As a struct a row's columns clash with nothing; only what labels need goes through Python."""
     held = docs.sparkSession.sparkContext.broadcast(topics)
+    kinds = pa.struct([("__source", pa.string()), ("__lang", pa.string()), ("__topic", pa.string()), ("__tokens", pa.int64())])
+
+    @F.arrow_udf(f"struct<{_ADDED.replace(' ', ':').replace(',:', ',')}>")
+    def told(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, sources, langs in batches:
+            out: list[tuple] = []
+            # text by text: the places of the words of a whole batch take many times its room
+            for raw, source, lang in zip(_bytes(texts), sources, langs):
+                (counts, n), lang = text_counts(raw), lang.as_py()
+                out.append((label(source.as_py()), label(lang), label(held.value.of_counts(counts, lang)), n))
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], fields=list(kinds))
 
-    def label(x: object) -> str:
-        return "" if x is None else f"={x}"
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("string").alias("id"), text.alias("text"), told(text, "source", lang).alias("told"))
+    return rows.select("row", "id", "text", "told.*")
+
+
+def cells_of(rows: DataFrame, topics: Topics) -> DataFrame:
+    """The labels and the number of words that ``described`` tells, of ``counted`` rows."""
+    held = rows.sparkSession.sparkContext.broadcast(topics)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            # text by text: the words of a whole batch take many times its room
-            for text, source, lang in zip(*(batch.column(c) for c in ("text", "source", "lang"))):
-                words, lang = lower_words(text.as_py()), lang.as_py()
-                out.append((label(source.as_py()), label(lang), label(held.value.of(words, lang)), len(words)))
-            more = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "text")), *more], names)
+            langs, found = batch.column("lang").to_pylist(), []
+            for at, counts, lang in zip(batch.column("at"), batch.column("counts"), langs):
+                c = np.zeros(1 << BITS, np.float32)
+                c[np.frombuffer(at.as_py(), np.uint16)] = np.frombuffer(counts.as_py(), np.float32)
+                found.append(label(held.value.of_counts(c, lang)))
+            columns = [batch.column("source"), pa.array(map(label, langs), pa.string()), pa.array(found, pa.string()), batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays(columns, ["__source", "__lang", "__topic", "__tokens"])
 
-    names = schema.fieldNames()
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, _ADDED)
 
 
 def targets(shares: np.ndarray, temper: float) -> np.ndarray:
@@ -343,8 +410,11 @@ def mixed(docs: DataFrame, fraction: float = 0.7, temper: float = 0.5, shares: d
     added = ("topic", "n_tokens", "probability", "kept")
     # Spark's names differ by more than case
     columns = [c for c in docs.columns if c.lower() not in added]
-    rows = described(docs.select(*(F.col(f"`{c}`") for c in columns)), topics or learn_topics(docs))
-    cells, margins = probabilities(rows.select("__source", "__lang", "__topic", "__tokens"), fraction, temper, shares)
+    counts = counted(docs) if topics is None else None
+    topics = learned(counts) if topics is None else topics
+    rows = described(docs.select(*(F.col(f"`{c}`") for c in columns)), topics)
+    told = rows.select("__source", "__lang", "__topic", "__tokens") if counts is None else cells_of(counts, topics)
+    cells, margins = probabilities(told, fraction, temper, shares)
     p = F.when(F.col("__tokens") > 0, F.coalesce("__p", F.lit(0.0))).otherwise(1.0)
     found = rows.join(cells, ["__source", "__lang", "__topic"], "left").withColumn("__p", p)
     topic = F.substring("__topic", 2, 20).cast("int")

@@ -273,3 +273,14 @@ def test_very_long_texts(spark):
     assert langid.predicted(docs, langid.fit(docs)).count() == 3
     assert quality.scored(docs, quality.fit(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))).count() == 3
     assert {r.doc_id: r.n_tokens for r in mixing.mix(docs).collect()} == {1: 660_000, 2: 1, 3: 5}
+
+
+def test_mixing_counts_words_without_a_list_of_them(monkeypatch):
+    """Texts are counted twice in a run; word by word in Python that alone took most of the budget."""
+    from quillmap.llm.text import lower_words
+
+    texts = [None, "", " \n", "a", "ab abc ABCD abcdefg abcdefgh abcdefghijk", "  x\x1cyz\x0b\x0cÄÖÜ ÄÖ\x85zz\u00a0\t\r\n", "one " * 70_000, "é" * 300, "abc"]
+    for text in texts:
+        words = lower_words(text)
+        counts, n = mixing.text_counts((text or "").encode())
+        assert n == len(words) and np.array_equal(counts, mixing.word_counts(words)), text
