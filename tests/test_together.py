@@ -34,6 +34,12 @@ def test_no_grams_are_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_no_forms_of_dates_are_broadcast(spark):
+    """Their table looks as small as the orders: a row for each, times the forms of its date."""
+    plan = QUERIES["cand_date_literals"](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[doc_id#\d+L, form#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[doc_id", plan)
+
+
 def test_pages_are_folded_many_at_once(spark):
     """No group of pandas for each page; the columns are those of the tokens."""
     t = S.invoice_tokens(spark, TESTDATA)
