@@ -209,3 +209,18 @@ def test_records_stand_where_rows_and_columns_cross(spark):
     assert again == {k: (r.page, r.box) for k, r in got.items()}
     lost = spark.createDataFrame(fields(("x[0].y", "absent"), ("x[0].z", None, "null")), FIELD)
     assert [(r.status, r.page, r.confidence) for r in resolve_records(t, lost).collect()] == [("not_found", None, 0.0)]
+
+
+def test_kept_rows_stay_dealt_by_document(spark):
+    """Tokens written once are grouped and joined without a shuffle."""
+    from conftest import TESTDATA
+    from quillmap.operators import index as I
+    from quillmap.sources import corpora as S
+    from quillmap.sources.shared import kept
+
+    t, parts = S.invoice_tokens(spark, TESTDATA), S.parts(spark, TESTDATA)
+    own = kept(t, parts)
+    met = I.lines(own).join(own.select("doc_id", "page", "line_index", "token_idx").hint("merge"), ["doc_id", "page", "line_index"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and f"SelectedBucketsCount: {parts} out of {parts}" in plan
+    assert own.exceptAll(t).count() == 0 and t.exceptAll(own).count() == 0
