@@ -224,3 +224,17 @@ def test_kept_rows_stay_dealt_by_document(spark):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and f"SelectedBucketsCount: {parts} out of {parts}" in plan
     assert own.exceptAll(t).count() == 0 and t.exceptAll(own).count() == 0
+
+
+def test_staged_query_tells_how_documents_are_dealt(spark, monkeypatch):
+    """Else its tables are checkpoints, and each stage shuffles them again."""
+    from conftest import TESTDATA
+    from quillmap.plans import staged
+    from quillmap.queries import QUERIES
+    from quillmap.sources import corpora as S
+
+    told = []
+    first = lambda tokens, fields, **options: told.append(options["parts"]) or fields.selectExpr("*", "'none' AS stage", "'not_found' AS status", "0 AS page")
+    monkeypatch.setattr(staged, "resolve_staged", first)
+    QUERIES["resolve_staged"](spark, TESTDATA)
+    assert told == [S.parts(spark, TESTDATA)]
